@@ -1 +1,260 @@
-"""MinHash near-dedup with odd sketches (being written)."""
+"""MinHash near-dedup with odd sketches: bands of MinHash samples give candidates, parity bitmaps of the samples estimate their similarity
+by XOR population counts, and links are confirmed on the full shingle sets."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import cut, hash_parts, table, text_or_empty
+from tessera.llm.components import components
+
+WORDS, PERCENT = 3, 85
+#: At similarity 0.85 a pair misses all bands with probability (1 - 0.85**7)**48 < 1e-8.
+ROWS, BANDS = 7, 48
+SAMPLES, BITS = ROWS * BANDS, 512
+_U = np.uint64
+_rng = np.random.default_rng(20240229)
+_TIMES = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1))[None, :]
+_MASKS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)[None, :]
+_MIX = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) | _U(1)
+_BASE = int(_rng.integers(1 << 40, 1 << 62)) | 1
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose every input bit moves about half of the output bits."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and its inverse modulo 2**64 for i up to n; kept between calls, since batches repeat."""
+    if len(_powers.kept[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        out = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _powers.kept = tuple(out)
+    return _powers.kept
+
+
+_powers.kept = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text. Words of all texts are hashed at once by differences of one running polynomial."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    b = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+    b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
+    gap = (b == 32) | ((b >= 9) & (b <= 13))
+    start = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
+    end = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+    power, inverse = _powers(len(b) + 1)
+    run = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + _U(1)) * power[: len(b)], out=run[1:])
+    h = mix((run[end] - run[start]) * inverse[start] + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    edge = np.searchsorted(start, np.cumsum([1, *(len(r) + 1 for r in raw)]))
+    joined = h.copy()
+    rolled = [joined]
+    for k in range(1, words):
+        nxt = mix(rolled[-1][: max(0, len(h) - k)] * _U(0xD6E8FEB86659FD93) + h[k:])
+        rolled.append(nxt)
+    out = []
+    for a, z in zip(edge, edge[1:]):
+        n = z - a
+        if n == 0:
+            out.append(h[:0])
+        elif n < words:
+            out.append(rolled[n - 1][a : a + 1] ^ _U(n))
+        else:
+            out.append(np.unique(rolled[words - 1][a : z - words + 1]))
+    return out
+
+
+def samples(own: np.ndarray) -> np.ndarray:
+    """The MinHash samples of a set."""
+    x = (own >> _U(32)).astype(np.uint32)[:, None]
+    least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(x), 256):
+        np.minimum(least, ((x[k : k + 256] * _TIMES) ^ _MASKS).min(0), out=least)
+    return least
+
+
+def band_keys(sample: np.ndarray) -> np.ndarray:
+    x = mix(sample.astype(np.uint64) * _MIX + _MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
+    return mix(x + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def odd_sketch(sample: np.ndarray) -> np.ndarray:
+    """The parity of how many samples fall on each bit."""
+    at = mix(sample.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << _U(32))) % _U(BITS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS) & 1).view(np.uint64)
+
+
+def similarity(differing: float) -> float:
+    """The similarity that a count of differing bits of two sketches estimates."""
+    return 1 + BITS / (4 * SAMPLES) * math.log(max(1e-9, 1 - 2 * differing / BITS))
+
+
+def _bits_at(similar: float, sigmas: float = 6.0) -> int:
+    """As many differing bits as a pair of this similarity has at most, but for a probability beyond `sigmas` deviations."""
+    low = max(0.05, similar - sigmas * math.sqrt(similar * (1 - similar) / SAMPLES))
+    mean = BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - low) / BITS))
+    return min(BITS, math.ceil(mean + sigmas / 2 * math.sqrt(BITS) / 2))
+
+
+MOST_BITS = _bits_at(PERCENT / 100)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether 100 * intersection >= 85 * union, on the full sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < PERCENT * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _near(x: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, sketches: np.ndarray) -> list[int]:
+    """Those of `others` that are linked with x: by size, then by odd sketch, then on the full sets."""
+    small, large = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+    others = others[100 * small >= PERCENT * large]
+    differing = np.bitwise_count(sketches[others] ^ sketches[x]).sum(1)
+    return [int(o) for o in others[differing <= MOST_BITS] if linked(sets[o], sets[x])]
+
+
+def _described(texts: pd.Series) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    sets = shingle_sets(texts.tolist())
+    return sets, np.array([len(s) for s in sets], np.int64), np.array([odd_sketch(samples(s)) for s in sets]).reshape(len(sets), BITS // 64)
+
+
+def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for whole in batches:
+        size = whole["text"].str.len().cumsum().to_numpy()
+        for b in np.split(np.arange(len(whole)), np.flatnonzero(np.diff(size // 4_000_000)) + 1):
+            part = whole.iloc[b]
+            sets = shingle_sets(part["text"].tolist())
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"].to_numpy(),
+                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                "n_shingles": [len(s) for s in sets],
+                "bands": [band_keys(samples(s)) if len(s) else np.zeros(0, np.int64) for s in sets],
+            }).astype({"doc_id": "Int64"})
+
+
+def _link_groups(g: pd.DataFrame) -> pd.DataFrame:
+    """Within each (comp, block): which texts are connected, by a search that compares each text with all that are not yet reached."""
+    g = g.sort_values(["comp", "block", "node"], kind="stable").reset_index(drop=True)
+    sets, sizes, sketches = _described(g["text"])
+    node, root = g["node"].to_numpy(), g["node"].to_numpy().copy()
+    new = np.flatnonzero((g["comp"].diff() != 0) | (g["block"].diff() != 0))
+    for a, z in zip(new, [*new[1:], len(g)]):
+        left = np.arange(a, z)
+        while len(left):
+            first, left = left[0], left[1:]
+            queue = [int(first)]
+            while queue and len(left):
+                got = _near(queue.pop(), left, sets, sizes, sketches)
+                root[got] = node[first]
+                queue += got
+                left = left[~np.isin(left, got)] if got else left
+    return pd.DataFrame({"node": node, "root": root})
+
+
+def _link_across(g: pd.DataFrame) -> pd.DataFrame:
+    """Links of the texts marked `out` with the block's texts under other labels, one for each label."""
+    g = g.reset_index(drop=True)
+    sets, sizes, sketches = _described(g["text"])
+    node, label, out, where = (g[c].to_numpy() for c in ("node", "label", "out", "where"))
+    rows = []
+    for w in np.unique(where):
+        inside = np.flatnonzero(~out & (where == w))
+        for x in np.flatnonzero(out & (where == w)):
+            for o in _near(int(x), inside[label[inside] != label[x]], sets, sizes, sketches):
+                rows.append((node[x], node[o]))
+    return pd.DataFrame(rows, columns=["node", "root"], dtype="int64")
+
+
+def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """(u, v) edges between texts that are linked, enough of them to connect what all links connect.
+
+    texts: node, text. candidates: node, comp. A component of over block_docs texts is dealt to blocks. Each block also gets the
+    component's first text, so tight groups connect through it; texts outside a component's largest part are then compared with
+    every other block.
+    """
+    comp = candidates.join(sizes, "node").groupBy("comp").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
+    comp = comp.select("comp", F.ceil(F.greatest(F.col("_n") / block_docs, F.col("_s") / block_shingles)).cast("int").alias("blocks"))
+    placed = candidates.join(comp, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    total = sizes.join(placed.select("node"), "node", "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
+    bins = hash_parts(total, block_shingles // 4)
+    spread = placed.withColumn("block", F.explode(F.when(F.col("node") == F.col("comp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    spread = spread.withColumn("bin", F.pmod(F.xxhash64("comp", "block"), F.lit(bins)))
+    with_text = texts.join(spread, "node").select("bin", "comp", "block", "node", "text")
+    found = cut(with_text.groupBy("bin").applyInPandas(_link_groups, "node long, root long"), "links").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    hot = placed.where(F.col("blocks") > 1)
+    if hot.isEmpty():
+        return found
+    label = components(found)
+    labelled = hot.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "comp", "block", "blocks", "label")
+    parts = labelled.groupBy("comp", "label").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("comp").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+    labelled = labelled.join(largest, "comp")
+    outside = labelled.where(F.col("label") != F.col("largest"))
+    if outside.isEmpty():
+        return found
+    chunks = outside.groupBy("comp").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("chunks"))
+    here = labelled.join(chunks, "comp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("out", F.lit(False))
+    there = outside.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("out", F.lit(True))
+    columns = ["node", "label", "out", F.xxhash64("comp", "block", "chunk").alias("where")]
+    both = here.select(columns).unionByName(there.select(columns))
+    across = texts.join(both, "node").groupBy("where").applyInPandas(_link_across, "node long, root long")
+    return found.unionByName(cut(across, "links").select(F.col("node").alias("u"), F.col("root").alias("v")))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 2_000, block_shingles: int = 2_000_000) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles (long), component_id, kept.
+
+    Texts with equal shingle sets are one class, whose smallest doc_id stands for it; classes that share a band of samples are
+    candidates, and candidates are confirmed on the full sets. Null and empty texts have no shingles and are linked with nothing. Rows
+    that share a doc_id are one document for the links. A row with a null doc_id is linked with nothing, has a null component_id and is
+    kept. Ties do not occur, as ids order all. Empty tables give empty results. Other columns are neither read nor returned.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = cut(own.mapInPandas(_describe, "doc_id long, digest binary, n_shingles long, bands array<long>"), "minhash")
+    usable = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("_last")).where(F.col("v") < F.col("_last")).drop("_last")
+    stars = banded.join(buckets, "band").where(F.col("node") > F.col("v")).select(F.col("node").alias("u"), "v").distinct()
+    near = components(stars)
+    candidates = cut(near.select("node", F.col("root").alias("comp")).unionByName(near.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()), "candidates")
+    sizes = classes.select("node", "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    texts = own.withColumnRenamed("doc_id", "node")
+    root = components(_verified(texts, candidates, sizes, block_docs, block_shingles))
+    by_class = classes.select("digest", "node").join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    # The rows of a much copied class are narrow and on the side that adaptive execution splits.
+    out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left").drop("digest")
+    same = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    return out.withColumn("component_id", same).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_dedup keeps, one for each doc_id, with docs' columns; rows with a null id stay."""
+    ids = near_dedup(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("kept")).select("doc_id")
+    stay = docs.where(F.col(id_col).isNotNull()).join(ids.withColumnRenamed("doc_id", "_kept_id").distinct(), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    return stay.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))

@@ -1,10 +1,11 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from tessera.llm import license_scan, mixing, packing, quality_classifier, quality_rules, secret_scan
+from tessera.llm import license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_secret_scan": secret_scan.op7_secret_scan,

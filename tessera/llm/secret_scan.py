@@ -109,3 +109,9 @@ def redacted(text: Column) -> Column:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the secrets of its texts replaced, and n_chars, where docs has it, set to the new length."""
+    out = docs.withColumn(text_col, redacted(F.col(text_col)))
+    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
