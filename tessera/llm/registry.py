@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from tessera.llm import license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan
+from tessera.llm import license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_mixing": mixing.op8_mixing,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE}
