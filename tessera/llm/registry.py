@@ -1,8 +1,9 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from tessera.llm import license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup
+from tessera.llm import gif_media, html_extraction, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_near_dedup": near_dedup.op4_near_dedup,
@@ -10,6 +11,7 @@ QUERIES = {
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_mixing": mixing.op8_mixing,
+    "op9_gif_media": gif_media.op9_gif_media,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE}
