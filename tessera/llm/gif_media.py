@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table, text_or_empty
+from tessera.llm.common import cut, small_batches, table, text_or_empty
 
 WIDTH, ROWS = 64, 65_535
 _TABLE = 4096
@@ -248,7 +248,7 @@ def frame_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "medi
                 except (ValueError, IndexError, struct.error):
                     continue
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInPandas(rows, "doc_id long, frame int, delay_ms int, width int, height int, pixels binary, histogram array<long>")
+    return small_batches(media).select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInPandas(rows, "doc_id long, frame int, delay_ms int, width int, height int, pixels binary, histogram array<long>")
 
 
 def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,7 +277,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media: each text's bytes, padded by 0 to a positive multiple of 64, as a GIF in a stored table."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return cut(own.mapInPandas(_store, "doc_id long, n_bytes long, media binary"), "media")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import boosting, dom
-from tessera.llm.common import table
+from tessera.llm.common import small_batches, table
 from tessera.llm.example_pages import example_pages
 
 
@@ -76,7 +76,7 @@ def html_extraction(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
                 texts = model.texts(part["html"].tolist())
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]}).astype({"page_id": "Int64"})
 
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    own = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return own.mapInPandas(extract, "page_id long, url string, text string, n_chars long")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, hash_parts, table, text_or_empty
+from tessera.llm.common import cut, hash_parts, small_batches, table, text_or_empty
 from tessera.llm.components import components
 
 WORDS, PERCENT = 3, 85
@@ -24,6 +25,7 @@ _rng = np.random.default_rng(20240229)
 _TIMES = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1))[None, :]
 _MASKS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)[None, :]
 _MIX = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) | _U(1)
+_BLOCK, _SPACES = 1 << 19, re.compile(rb"[\x20\x09-\x0D]")
 _BASE = int(_rng.integers(1 << 40, 1 << 62)) | 1
 
 
@@ -50,9 +52,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _powers.kept = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. Words of all texts are hashed at once by differences of one running polynomial."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+def _word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, by differences of one running polynomial, and how many words each text has."""
     b = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
     gap = (b == 32) | ((b >= 9) & (b <= 13))
@@ -62,21 +63,47 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     run = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + _U(1)) * power[: len(b)], out=run[1:])
     h = mix((run[end] - run[start]) * inverse[start] + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-    edge = np.searchsorted(start, np.cumsum([1, *(len(r) + 1 for r in raw)]))
-    joined = h.copy()
-    rolled = [joined]
+    return h, np.diff(np.searchsorted(start, np.cumsum([1, *(len(r) + 1 for r in raw)])))
+
+
+def _stretches(raw: bytes) -> Iterator[bytes]:
+    """A long text in parts that end between words."""
+    at = 0
+    while at < len(raw):
+        space = _SPACES.search(raw, at + _BLOCK)
+        end = space.start() if space else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def _sets(h: np.ndarray, counts: np.ndarray, words: int) -> list[np.ndarray]:
+    rolled = [h]
     for k in range(1, words):
-        nxt = mix(rolled[-1][: max(0, len(h) - k)] * _U(0xD6E8FEB86659FD93) + h[k:])
-        rolled.append(nxt)
-    out = []
-    for a, z in zip(edge, edge[1:]):
-        n = z - a
-        if n == 0:
-            out.append(h[:0])
-        elif n < words:
-            out.append(rolled[n - 1][a : a + 1] ^ _U(n))
+        rolled.append(mix(rolled[-1][: max(0, len(h) - k)] * _U(0xD6E8FEB86659FD93) + h[k:]))
+    out, a = [], 0
+    for n in counts.tolist():
+        if n >= words:
+            out.append(np.unique(rolled[-1][a : a + n - words + 1]))
         else:
-            out.append(np.unique(rolled[words - 1][a : z - words + 1]))
+            out.append(rolled[n - 1][a : a + 1] ^ _U(n) if n else h[:0])
+        a += n
+    return out
+
+
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, from blocks of short texts or parts of long ones, so the memory is bounded."""
+    out, block, size = [], [], 0
+    for text in [*texts, None]:
+        raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+        if block and (text is None or size + len(raw) > _BLOCK):
+            out += _sets(*_word_hashes(block), words)
+            block, size = [], 0
+        if len(raw) > _BLOCK:
+            h = np.concatenate([_word_hashes([part])[0] for part in _stretches(raw)])
+            out += _sets(h, np.array([len(h)]), words)
+        elif text is not None:
+            block.append(raw)
+            size += len(raw)
     return out
 
 
@@ -140,17 +167,14 @@ def _described(texts: pd.Series) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for whole in batches:
-        size = whole["text"].str.len().cumsum().to_numpy()
-        for b in np.split(np.arange(len(whole)), np.flatnonzero(np.diff(size // 4_000_000)) + 1):
-            part = whole.iloc[b]
-            sets = shingle_sets(part["text"].tolist())
-            yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(),
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "n_shingles": [len(s) for s in sets],
-                "bands": [band_keys(samples(s)) if len(s) else np.zeros(0, np.int64) for s in sets],
-            }).astype({"doc_id": "Int64"})
+    for part in batches:
+        sets = shingle_sets(part["text"].tolist())
+        yield pd.DataFrame({
+            "doc_id": part["doc_id"].to_numpy(),
+            "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+            "n_shingles": [len(s) for s in sets],
+            "bands": [band_keys(samples(s)) if len(s) else np.zeros(0, np.int64) for s in sets],
+        }).astype({"doc_id": "Int64"})
 
 
 def _link_groups(g: pd.DataFrame) -> pd.DataFrame:
@@ -196,8 +220,8 @@ def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_d
     comp = candidates.join(sizes, "node").groupBy("comp").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
     comp = comp.select("comp", F.ceil(F.greatest(F.col("_n") / block_docs, F.col("_s") / block_shingles)).cast("int").alias("blocks"))
     placed = candidates.join(comp, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    total = sizes.join(placed.select("node"), "node", "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
-    bins = hash_parts(total, block_shingles // 4)
+    total = sizes.join(placed.select("node"), "node", "left_semi").agg(F.count("*"), F.sum("n_shingles")).first()
+    bins = max(hash_parts(total[0], block_docs // 2), hash_parts(total[1] or 0, block_shingles // 2))
     spread = placed.withColumn("block", F.explode(F.when(F.col("node") == F.col("comp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     spread = spread.withColumn("bin", F.pmod(F.xxhash64("comp", "block"), F.lit(bins)))
     with_text = texts.join(spread, "node").select("bin", "comp", "block", "node", "text")
@@ -222,7 +246,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_d
     return found.unionByName(cut(across, "links").select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 2_000, block_shingles: int = 2_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 500, block_shingles: int = 1_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id, kept.
 
     Texts with equal shingle sets are one class, whose smallest doc_id stands for it; classes that share a band of samples are
@@ -230,7 +254,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that share a doc_id are one document for the links. A row with a null doc_id is linked with nothing, has a null component_id and is
     kept. Ties do not occur, as ids order all. Empty tables give empty results. Other columns are neither read nor returned.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = cut(own.mapInPandas(_describe, "doc_id long, digest binary, n_shingles long, bands array<long>"), "minhash")
     usable = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")

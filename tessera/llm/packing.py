@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, hash_parts, table, text_or_empty
+from tessera.llm.common import cut, hash_parts, small_batches, table, text_or_empty
 
 CAPACITY = 2048
 _ENCODERS: dict = {}
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bp
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return own.mapInPandas(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table, text_or_empty
+from tessera.llm.common import cut, small_batches, table, text_or_empty
 
 RULES_VERSION = "1"
 #: The base rules (kind, pattern, least characters of the value, group of the value) and then the added ones, in order.
@@ -55,7 +55,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan_new(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text", version: str = RULES_VERSION) -> DataFrame:
     """Findings of the blobs of docs that the ledger has not under this rule version: the rows to append to the ledger."""
-    blobs = docs.select(F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("blob"), text_or_empty(text_col).alias("text"))
+    blobs = small_batches(docs).select(F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("blob"), text_or_empty(text_col).alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
     once = blobs.groupBy("blob").agg(F.first("text").alias("text"))
@@ -113,5 +113,5 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the secrets of its texts replaced, and n_chars, where docs has it, set to the new length."""
-    out = docs.withColumn(text_col, redacted(F.col(text_col)))
+    out = small_batches(docs).withColumn(text_col, redacted(F.col(text_col)))
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, hash_parts, table, text_or_empty
+from tessera.llm.common import cut, hash_parts, small_batches, table, text_or_empty
 from tessera.llm.near_dedup import _powers, mix
 
 LENGTH, GRAM = 400, 100
-_CHUNK = 1 << 22
+_CHUNK = 1 << 19
 _U = np.uint64
 
 
@@ -210,7 +210,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_f
     keep_first=False both lose all that reaches `length`; with keep_first=True repeated rows count as one text. Null ids are kept.
     Empty tables give empty results. Other columns are neither read nor returned.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
     source = own.select("_row", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
     spans = repeated_spans(source, length, gram, keep_first, most).groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("s"))
     both = own.join(spans, "_row", "left").select("doc_id", "text", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
