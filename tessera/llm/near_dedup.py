@@ -222,10 +222,12 @@ def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_d
     placed = candidates.join(comp, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     total = sizes.join(placed.select("node"), "node", "left_semi").agg(F.count("*"), F.sum("n_shingles")).first()
     bins = max(hash_parts(total[0], block_docs // 2), hash_parts(total[1] or 0, block_shingles // 2))
-    spread = placed.withColumn("block", F.explode(F.when(F.col("node") == F.col("comp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    spread = spread.withColumn("bin", F.pmod(F.xxhash64("comp", "block"), F.lit(bins)))
-    with_text = texts.join(spread, "node").select("bin", "comp", "block", "node", "text")
-    found = cut(with_text.groupBy("bin").applyInPandas(_link_groups, "node long, root long"), "links").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    # The texts of candidates are shuffled out of all texts once; the table that holds them serves the second comparison too.
+    everywhere = F.when(F.col("node") == F.col("comp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    spread = placed.withColumn("home", F.col("block")).withColumn("block", F.explode(everywhere))
+    with_text = cut(texts.join(spread.select("node", "comp", "block", "home"), "node"), "candidate-texts")
+    batches = with_text.select(F.pmod(F.xxhash64("comp", "block"), F.lit(bins)).alias("bin"), "comp", "block", "node", "text")
+    found = cut(batches.groupBy("bin").applyInPandas(_link_groups, "node long, root long"), "links").select(F.col("node").alias("u"), F.col("root").alias("v"))
     hot = placed.where(F.col("blocks") > 1)
     if hot.isEmpty():
         return found
@@ -242,7 +244,8 @@ def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_d
     there = outside.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("out", F.lit(True))
     columns = ["node", "label", "out", F.xxhash64("comp", "block", "chunk").alias("where")]
     both = here.select(columns).unionByName(there.select(columns))
-    across = texts.join(both, "node").groupBy("where").applyInPandas(_link_across, "node long, root long")
+    at_home = with_text.where(F.col("block") == F.col("home")).select("node", "text")
+    across = at_home.join(both, "node").groupBy("where").applyInPandas(_link_across, "node long, root long")
     return found.unionByName(cut(across, "links").select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
