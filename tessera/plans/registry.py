@@ -1,4 +1,107 @@
 """All queries of the library outside the llm subpackage, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import exprs as X
+from tessera.plans import geometry, operations, serving
+from tessera.plans.canonical import Canonical
+from tessera.plans.release import Release
+from tessera.plans.sql import ORACLES
+from tessera.plans.timeline import timeline
+from tessera.sources.roles import Roles
+from tessera.streaming.limiter import rate_limit_admissions
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def _canonical(make: Callable[[Canonical], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: make(Canonical(Roles(spark, folder)))
+
+
+def _roles(make: Callable[[Roles], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: make(Roles(spark, folder))
+
+
+def _wanted(c: Canonical) -> DataFrame:
+    return c.roles._orders.where(F.col("o_orderkey") % 3 == 0).select("sample_id")
+
+
+def _stains(c: Canonical) -> DataFrame:
+    g, n = F.col("stain_group"), F.col("stain_name")
+    return c.roles.cleaned.select(g, n).distinct().select(
+        g, n, X.hne_by_name_or_group(g, n).alias("canonical_hne"), X.ihc_by_group(g).alias("canonical_ihc"), X.hne_collapsed(g, n).alias("collapsed_hne"), X.exclusive_subtype(g, n).alias("subtype"),
+        X.hne_by_substring(g, n).alias("substring_hne"), X.ihc_by_substring(g).alias("substring_ihc"), X.hne_diagnostic(g).alias("diagnostic_hne"), X.ihc_diagnostic(g, n).alias("diagnostic_ihc"),
+    )
+
+
+def _membership(c: Canonical) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    wanted = c.roles.table("customer").select(F.lit("study_0").alias("study_id"), F.lit("patient").alias("resource_type"), F.concat(F.lit("P-"), F.lpad(key, 7, "0")).alias("resource_id"))
+    return serving.index_membership(serving.resources(c), wanted)
+
+
+def _merge(c: Canonical) -> DataFrame:
+    index = serving.resources(c)
+    return serving.index_merge(index, index.where((F.col("study_id") == "study_1") & (F.col("resource_type") == "slide")))
+
+
+def _derivation(c: Canonical) -> DataFrame:
+    own = c.roles.cleaned.select("block_id", "block_label").distinct()
+    return own.select("block_id", "block_label", X.block_fields(F.col("block_id"), F.col("block_label")).alias("f")).select("block_id", "block_label", "f.*")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "best_path_per_image": _canonical(lambda c: c.paths),
+    "sample_sequencing_date": _canonical(lambda c: c.sequencing),
+    "patient_sample_pairs": _canonical(lambda c: c.pairs),
+    "patient_reference_sample": _canonical(lambda c: c.references),
+    "procedure_dates": _canonical(lambda c: c.procedures),
+    "slide_procedure_dates": _canonical(lambda c: c.slide_dates),
+    "block_matches": _canonical(lambda c: c.block_matches),
+    "part_matches": _canonical(lambda c: c.part_matches),
+    "unmatched_associations": _canonical(lambda c: c.unmatched),
+    "canonical_associations": _canonical(lambda c: c.associations),
+    "sample_summary": _canonical(lambda c: c.summary),
+    "summary_lookup": _canonical(lambda c: c.summaries_of(_wanted(c))),
+    "live_sample_summary": _canonical(lambda c: c.live_summary(_wanted(c))),
+    "sample_match_counts": _canonical(lambda c: c.match_counts),
+    "patient_slide_listing": _canonical(lambda c: c.listing("P-0000007")),
+    "counted_samples": _canonical(serving.counted_samples),
+    "resource_patients": _canonical(serving.resource_patients),
+    "resource_manifest_stats": _canonical(serving.manifest_stats),
+    "search_patients": _canonical(lambda c: serving.search_patients(c, "P-00000")),
+    "search_samples": _canonical(lambda c: serving.search_samples(c, "P-000001")),
+    "search_slides": _canonical(lambda c: serving.search_slides(c, "12")),
+    "patient_suggestions": _canonical(lambda c: serving.suggestions(serving.search_patients(c, "P-00000"), "patient")),
+    "resource_index": _canonical(serving.resources),
+    "index_suggestions": _canonical(lambda c: serving.index_suggestions(serving.resources(c), "study_1", "slide", "1")),
+    "index_membership": _canonical(_membership),
+    "index_merge": _canonical(_merge),
+    "registry_best": _canonical(lambda c: serving.best_registry(c.roles.registry)),
+    "thumbnail_candidates": _canonical(serving.thumbnail_candidates),
+    "thumbnail_retry": _canonical(lambda c: serving.thumbnail_candidates(c, failures=True)),
+    "thumbnail_shards": _canonical(serving.thumbnail_shards),
+    "registry_upsert": _canonical(serving.registry_upsert),
+    "thumbnail_manifest": _canonical(serving.thumbnail_manifest),
+    "release_part": _canonical(lambda c: Release(c).parts()),
+    "release_block": _canonical(lambda c: Release(c).blocks()),
+    "release_slide": _canonical(lambda c: Release(c).slides()),
+    "release_placement": _canonical(lambda c: Release(c).placements()),
+    "release_patient": _canonical(lambda c: Release(c).patients()),
+    "release_violations": _canonical(lambda c: Release(c).violations()),
+    "timeline_events": _canonical(lambda c: timeline(c.associations)),
+    "stain_classifier_matrix": _canonical(_stains),
+    "block_field_derivation": _canonical(_derivation),
+    "tile_geometry": _roles(lambda r: geometry.tile_geometry(geometry.tile_requests(r))),
+    "decode_plan": _roles(lambda r: geometry.decode_plan(geometry.tile_requests(r))),
+    "thumbnail_plan": _roles(lambda r: geometry.thumbnail_plan(geometry.slides(r))),
+    "latency_percentiles": _roles(lambda r: operations.latency_percentiles(r.table("events"))),
+    "metric_histogram": _roles(lambda r: operations.metric_histogram(r.table("events"))),
+    "cache_prune_plan": _roles(lambda r: operations.cache_prune_plan(operations.cache_entries(r.table("part")))),
+    "rate_limit_admissions": _roles(lambda r: rate_limit_admissions(r.table("events"))),
+}
