@@ -3,9 +3,10 @@ patients are summarised from it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
@@ -17,16 +18,21 @@ COLUMNS = ["match_level", "patient_id", "sample_id", "image_id", "part_key", "pa
 
 
 class Canonical:
-    """The steps as lazy DataFrames. Both unions carry the same columns, so that Spark can reuse exchanges of shared steps."""
+    """The steps as lazy DataFrames.
 
-    def __init__(self, roles: Roles) -> None:
-        self.roles = roles
+    Steps that several later ones read go through `stage`, as their consumers keep different columns and Spark then reuses no exchange:
+    without it the inputs would be scanned more than a hundred times. The default keeps them on the executors, memory first, then disk;
+    a job over very large tables passes a function that writes a table and reads it back.
+    """
+
+    def __init__(self, roles: Roles, stage: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> None:
+        self.roles, self.stage = roles, stage
 
     @cached_property
     def paths(self) -> DataFrame:
         """The best path of each image."""
         known = self.roles.inventory.where(F.col("image_id").isNotNull() & F.col("path").isNotNull())
-        return first_by(known, ["image_id"], [X.path_rank(F.col("path")), F.col("path")])
+        return self.stage(first_by(known, ["image_id"], [X.path_rank(F.col("path")), F.col("path")]))
 
     @cached_property
     def sequencing(self) -> DataFrame:
@@ -48,7 +54,7 @@ class Canonical:
 
     @cached_property
     def patients(self) -> DataFrame:
-        return self.pairs.where(F.col("mrn").isNotNull()).select("patient_id", "mrn").distinct()
+        return self.stage(self.pairs.where(F.col("mrn").isNotNull()).select("patient_id", "mrn").distinct())
 
     @cached_property
     def procedures(self) -> DataFrame:
@@ -60,7 +66,7 @@ class Canonical:
     @cached_property
     def slide_dates(self) -> DataFrame:
         own = self.roles.cleaned.where(F.col("image_id").isNotNull()).select("mrn", "accession_number", "image_id").join(self.patients, "mrn")
-        return own.join(self.procedures, "accession_number", "left").select("patient_id", "image_id", F.col("procedure_date").try_cast("date").alias("procedure_date")).distinct()
+        return self.stage(own.join(self.procedures, "accession_number", "left").select("patient_id", "image_id", F.col("procedure_date").try_cast("date").alias("procedure_date")).distinct())
 
     def _with_places(self, slides: DataFrame, date: Column, path) -> DataFrame:
         fallback = self.slide_dates.withColumnRenamed("procedure_date", "_fallback")
@@ -74,7 +80,7 @@ class Canonical:
             "*", F.lit("BLOCK").alias("match_level"), X.matched_part_key(b, i).alias("part_key"), X.part_of_block(b).alias("part_number"),
             F.col("part_description").alias("path_dx_title"), X.block_key(i, b).alias("block_key"), b.alias("block_number"),
         )
-        return self._with_places(own, F.col("dop").try_cast("date"), lambda p: p)
+        return self.stage(self._with_places(own, F.col("dop").try_cast("date"), lambda p: p))
 
     @cached_property
     def part_matches(self) -> DataFrame:
@@ -84,7 +90,7 @@ class Canonical:
             F.col("spec_title").alias("path_dx_title"), X.block_key(i, F.col("block_number"), F.col("block_label")).alias("block_key"),
         )
         own = own.join(self.block_matches.select("patient_id", "sample_id", "image_id"), ["patient_id", "sample_id", "image_id"], "left_anti")
-        return self._with_places(own, F.col("procedure_text").try_cast("date"), lambda p: F.coalesce(p, F.col("slide_url")))
+        return self.stage(self._with_places(own, F.col("procedure_text").try_cast("date"), lambda p: F.coalesce(p, F.col("slide_url"))))
 
     @cached_property
     def matched(self) -> DataFrame:

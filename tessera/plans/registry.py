@@ -46,7 +46,7 @@ def _membership(c: Canonical) -> DataFrame:
 
 
 def _merge(c: Canonical) -> DataFrame:
-    index = serving.resources(c)
+    index = c.stage(serving.resources(c))
     return serving.index_merge(index, index.where((F.col("study_id") == "study_1") & (F.col("resource_type") == "slide")))
 
 

@@ -47,7 +47,7 @@ class Release:
     def violations(self) -> DataFrame:
         """rule and n for every rule; nothing may be written while a count is above 0, except for rules that a caller waives."""
         # Five aggregates read the rows; they are kept, as the plan beneath them is deep.
-        a = self.rows.persist()
+        a = self.c.stage(self.rows)
         blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
         unmatched = F.upper("match_level") == "UNMATCHED"
         by_row = {
