@@ -54,11 +54,11 @@ def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[st
     grams = w.where(F.size("_w") >= K).select("_row", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: F.xxhash64(at(i), at(i + 1)))).alias("pos", "gram"))
     t = template_grams(docs.sparkSession, phrases, templates)
     votes = grams.join(F.broadcast(t), "gram").select("_row", "template", "label", "base", "size", "pos", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
-    # Votes on a diagonal of a short phrase all belong to one place of it, as diagonals are starts.
+    # Places are counted, not votes: rows that share a row key vote once each for the same span.
     diagonals = votes.groupBy("_row", "template", "label", "base", "size", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("place").alias("places")
+        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("place").alias("places")
     )
-    exact = diagonals.where(F.col("base") & (F.col("votes") == F.col("size") - (K - 1))).select("_row", "label", "base", F.col("lo").alias("start"), (F.col("hi") + K).alias("end"), F.lit(1.0).alias("share"))
+    exact = diagonals.where(F.col("base") & (F.size("places") == F.col("size") - (K - 1))).select("_row", "label", "base", F.col("lo").alias("start"), (F.col("hi") + K).alias("end"), F.lit(1.0).alias("share"))
     by = Window.partitionBy("_row", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > slip).cast("int"), F.lit(1))
     merged = diagonals.where(~F.col("base")).withColumn("_new", new).withColumn("_run", F.sum("_new").over(by))

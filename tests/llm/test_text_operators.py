@@ -71,6 +71,13 @@ def test_license_templates_need_their_words(spark):
     assert got == {1: "mit", 2: "cc-by,cc-by-nc-4.0", 3: ""}
 
 
+def test_license_scan_of_repeated_rows(spark):
+    text = "under the MIT License ok. GNU General Public License, licensed under CC BY 4.0"
+    got = license_scan.license_scan(frame(spark, [(1, text, "a"), (1, text, "a"), (None, text, "b"), (None, text, "b")])).collect()
+    assert [(r.n_base, r.first_word, r.last_word, r.base_labels) for r in got] == [(3, 2, 11, "cc-by,gpl,mit")] * 4
+    assert len({r.labels for r in got}) == 1
+
+
 def brute_secrets(text):
     t, out = text or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
