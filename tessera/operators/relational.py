@@ -29,15 +29,27 @@ def appended_counts(rows: DataFrame, counts: DataFrame, key: str, columns: list[
     return rows.join(counts.select(key, *columns), key, "left").na.fill(0, columns)
 
 
-def contiguous_shards(df: DataFrame, order: list[Column], per_shard: int, most: int) -> DataFrame:
-    """shard (from 0): runs of equal length in an order, at least per_shard rows each, in at most `most` shards.
+def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds rank (long, from 0) in an order.
 
     Ranks come from the sorted range partitions' row counts, so no task sees all rows. The sorted rows are kept, since both passes must
     see the same partitions."""
-    n = df.count()
-    shards = max(1, min(most, -(-n // per_shard)))
-    size = max(1, -(-n // shards))
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33)).persist()
     counts = sorted_.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
-    return sorted_.join(F.broadcast(starts), "_p").withColumn("shard", F.floor((F.col("_start") + F.col("_i")) / size).cast("int")).drop("_p", "_i", "_start")
+    return sorted_.join(F.broadcast(starts), "_p").withColumn("rank", F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
+
+
+def contiguous_shards(df: DataFrame, order: list[Column], per_shard: int, most: int) -> DataFrame:
+    """shard (from 0): runs of equal length in an order, at least per_shard rows each, in at most `most` shards."""
+    n = df.count()
+    shards = max(1, min(most, -(-n // per_shard)))
+    size = max(1, -(-n // shards))
+    return ranked(df, order).withColumn("shard", F.floor(F.col("rank") / size).cast("int")).drop("rank")
+
+
+def round_robin_shards(df: DataFrame, order: list[Column], tasks: int) -> DataFrame:
+    """shard (from 0): every tasks-th row in an order."""
+    if tasks < 1:
+        raise ValueError("there must be a task")
+    return ranked(df, order).withColumn("shard", F.pmod(F.col("rank"), F.lit(tasks)).cast("int")).drop("rank")

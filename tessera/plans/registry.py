@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
-from tessera.plans import geometry, operations, serving
+from tessera.plans import geometry, operations, requests, serving
 from tessera.plans.canonical import Canonical
 from tessera.plans.release import Release
 from tessera.plans.sql import ORACLES
@@ -28,7 +28,7 @@ def _roles(make: Callable[[Roles], DataFrame]) -> Callable[[SparkSession, str],
 
 
 def _wanted(c: Canonical) -> DataFrame:
-    return c.roles._orders.where(F.col("o_orderkey") % 3 == 0).select("sample_id")
+    return c.roles._orders.select("sample_id")
 
 
 def _stains(c: Canonical) -> DataFrame:
@@ -78,6 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_samples": _canonical(lambda c: serving.search_samples(c, "P-000001")),
     "search_slides": _canonical(lambda c: serving.search_slides(c, "12")),
     "patient_suggestions": _canonical(lambda c: serving.suggestions(serving.search_patients(c, "P-00000"), "patient")),
+    "sample_suggestions": _canonical(lambda c: serving.suggestions(serving.search_samples(c, "P-000001"), "sample")),
+    "slide_suggestions": _canonical(lambda c: serving.suggestions(serving.search_slides(c, "12"), "slide")),
+    "search_routing": _roles(requests.search_routing),
+    "slide_metadata": _canonical(requests.slide_metadata),
+    "slide_bindings": _canonical(requests.bindings_of_first_study),
+    "preferred_associations": _canonical(requests.preferred_associations),
     "resource_index": _canonical(serving.resources),
     "index_suggestions": _canonical(lambda c: serving.index_suggestions(serving.resources(c), "study_1", "slide", "1")),
     "index_membership": _canonical(_membership),
@@ -86,6 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "thumbnail_candidates": _canonical(serving.thumbnail_candidates),
     "thumbnail_retry": _canonical(lambda c: serving.thumbnail_candidates(c, failures=True)),
     "thumbnail_shards": _canonical(serving.thumbnail_shards),
+    "candidate_slices": _canonical(requests.candidate_slices),
+    "publish_counts": _roles(lambda r: requests.publish_counts(r.registry)),
+    "thumbnail_responses": _canonical(requests.thumbnail_responses),
+    "slide_addresses": _roles(requests.slide_addresses),
+    "slide_properties": _roles(requests.slide_properties),
+    "token_decisions": _roles(requests.token_decisions),
     "registry_upsert": _canonical(serving.registry_upsert),
     "thumbnail_manifest": _canonical(serving.thumbnail_manifest),
     "release_part": _canonical(lambda c: Release(c).parts()),

@@ -39,10 +39,16 @@ def search_slides(c: Canonical, prefix: str) -> DataFrame:
 
 
 def suggestions(found: DataFrame, kind: str) -> DataFrame:
-    """type, id, label and sublabel of search results; empty parts of a sublabel go."""
-    identity = f"{kind}_id" if kind != "slide" else "image_id"
-    parts = {"patient": ["cancer_type", "slide_count"], "sample": ["patient_id", "cancer_type"], "slide": ["patient_id", "stain_name"]}[kind]
-    return found.select(F.lit(kind).alias("type"), F.col(identity).alias("id"), F.col(identity).alias("label"), F.concat_ws(" · ", *[X.nonblank(F.trim(F.col(p).cast("string"))) for p in parts]).alias("sublabel"))
+    """type, id, label and sublabel of search results; a sublabel has no separator at its ends."""
+    identity = F.col("image_id" if kind == "slide" else f"{kind}_id")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    dot = F.lit(" · ")
+    sublabel = {
+        "patient": lambda: F.btrim(F.concat(part("cancer_type"), dot, part("slide_count"), F.lit(" slides")), F.lit(" ·")),
+        "sample": lambda: part("cancer_type"),
+        "slide": lambda: F.btrim(F.concat(part("patient_id"), dot, part("stain_name")), F.lit(" ·")),
+    }[kind]()
+    return found.select(F.lit(kind).alias("type"), identity.alias("id"), identity.alias("label"), sublabel.alias("sublabel"))
 
 
 def _study(patient):
@@ -122,8 +128,8 @@ def thumbnail_manifest(c: Canonical) -> DataFrame:
 
 
 def resource_patients(c: Canonical) -> DataFrame:
-    """The patients of a clinical file (every second customer) that have slides, with their viewer address."""
-    listed = c.roles.table("customer").where(F.col("c_custkey") % 2 == 0).select(F.concat(F.lit("P-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("patient_id"))
+    """The patients of a clinical file (the customers) that have slides, with their viewer address."""
+    listed = c.roles.table("customer").select(F.concat(F.lit("P-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("patient_id"))
     known = listed.join(c.associations.select("patient_id"), "patient_id", "left_semi").distinct()
     return known.select("patient_id", F.lit("WSI_VIEWER").alias("resource_id"), F.concat(F.lit("/patient/wsiHESlides?studyId=study&caseId="), "patient_id").alias("url"))
 

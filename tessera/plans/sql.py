@@ -65,7 +65,7 @@ summary AS (
     count(DISTINCT image_id) FILTER (WHERE NOT can_serve_tiles AND i) non_servable_ihc_slide_count, max((can_serve_tiles AND h)::INT) has_hne, max((can_serve_tiles AND i)::INT) has_ihc,
     coalesce(array_to_string(list_sort(list(DISTINCT stain_name) FILTER (WHERE can_serve_tiles AND (h OR i) AND stain_name IS NOT NULL)), ';'), '') stain_types
   FROM flags GROUP BY 1, 2),
-wanted AS (SELECT 'P-' || lpad(o_custkey::VARCHAR, 7, '0') || '-T' || o_orderkey sample_id FROM orders WHERE o_orderkey % 3 = 0),
+wanted AS (SELECT 'P-' || lpad(o_custkey::VARCHAR, 7, '0') || '-T' || o_orderkey sample_id FROM orders),
 counts AS (SELECT sample_id, count(*) n_slides, count_if(match_level = 'PART')::BIGINT n_part, count_if(match_level = 'BLOCK')::BIGINT n_block FROM can WHERE sample_id IS NOT NULL GROUP BY 1),
 res AS (
   SELECT DISTINCT 'study_' || (substr(patient_id, 3, 7)::INT % 3) study_id, unnest([{'t': 'patient', 'id': patient_id, 'p': NULL, 's': NULL}, {'t': 'sample', 'id': sample_id, 'p': NULL, 's': NULL}, {'t': 'slide', 'id': image_id, 'p': patient_id, 's': slide_path}]) u FROM can),
@@ -76,7 +76,7 @@ reg1 AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY image_id ORDE
 serv AS (SELECT image_id, (min({'r': (NOT starts_with(path, 's3://primary/'))::INT, 'p': path})).p AS path FROM inv WHERE starts_with(path, 's3://') GROUP BY 1),
 cand AS (SELECT s.image_id, s.path FROM serv s LEFT JOIN reg1 r USING (image_id) WHERE r.image_id IS NULL OR (status = 'success' AND source_path <> path)),
 done AS (SELECT image_id, path source_path, if(image_id::BIGINT % 9 = 0, 'failed', 'success') status, make_timestamp(1800000000000000) rendered_at FROM cand),
-rp AS (SELECT DISTINCT patient_id FROM can WHERE substr(patient_id, 3)::BIGINT % 2 = 0),
+rp AS (SELECT DISTINCT patient_id FROM can WHERE substr(patient_id, 3)::BIGINT IN (SELECT c_custkey FROM customer)),
 rel AS (SELECT *, substr(patient_id, 3)::BIGINT % 3 + 1 study, substr(patient_id, 3)::BIGINT patient, split_part(sample_id, '-T', 2)::BIGINT sample, split_part(reference_sample_id, '-T', 2)::BIGINT reference FROM can),
 geo0 AS (
   SELECT p_partkey slide_id, (p_size * 1500 + p_partkey % 700 + 100)::BIGINT width, (p_partkey * 37 % 40000 + 90)::BIGINT height, (p_size % 6 + 1)::INT levels FROM part),
@@ -131,7 +131,37 @@ LEFT JOIN (SELECT m.patient_id, count(DISTINCT image_id) FILTER (WHERE starts_wi
     "search_patients": over("SELECT patient_id, max(cancer_type) cancer_type, count(*) slide_count FROM blockm WHERE starts_with(patient_id, 'P-00000') GROUP BY 1 ORDER BY 1 LIMIT 8"),
     "search_samples": over("SELECT sample_id, patient_id, max(cancer_type) cancer_type FROM blockm WHERE starts_with(sample_id, 'P-000001') GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 8"),
     "search_slides": over("SELECT DISTINCT image_id, patient_id, stain_name FROM blockm WHERE starts_with(image_id, '12') ORDER BY ALL LIMIT 8"),
-    "patient_suggestions": over("SELECT 'patient' AS \"type\", patient_id id, patient_id \"label\", max(cancer_type) || ' · ' || count(*) sublabel FROM blockm WHERE starts_with(patient_id, 'P-00000') GROUP BY patient_id ORDER BY patient_id LIMIT 8"),
+    "patient_suggestions": over("SELECT 'patient' AS \"type\", patient_id id, patient_id \"label\", max(cancer_type) || ' · ' || count(*) || ' slides' sublabel FROM blockm WHERE starts_with(patient_id, 'P-00000') GROUP BY patient_id ORDER BY patient_id LIMIT 8"),
+    "sample_suggestions": over("SELECT 'sample' AS \"type\", sample_id id, sample_id \"label\", max(cancer_type) sublabel FROM blockm WHERE starts_with(sample_id, 'P-000001') GROUP BY sample_id, patient_id ORDER BY sample_id, patient_id LIMIT 8"),
+    "slide_suggestions": over("SELECT 'slide' AS \"type\", image_id id, image_id \"label\", patient_id || ' · ' || stain_name sublabel FROM (SELECT DISTINCT image_id, patient_id, stain_name FROM blockm WHERE starts_with(image_id, '12') ORDER BY ALL LIMIT 8)"),
+    "search_routing": r"""
+SELECT DISTINCT text, CASE WHEN regexp_matches(trim(text), '(?i)^P-[0-9].*-T') THEN 'sample' WHEN lower(trim(text)) LIKE 'p-%' THEN 'patient' WHEN regexp_matches(trim(text), '^[0-9]') THEN 'slide' END kind
+FROM (SELECT unnest(['P-' || lpad(c_custkey::VARCHAR, 7, '0'), 'p-' || lpad(c_custkey::VARCHAR, 7, '0') || '-t1', ' ' || c_custkey || ' ', c_name, 'P-']) AS text FROM customer)""",
+    "slide_metadata": over("SELECT image_id, stain_name, stain_group, magnification, file_size_bytes FROM can QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY patient_id) = 1"),
+    "slide_bindings": over("SELECT study_id, resource_id image_id, patient_id, source_path FROM idx WHERE study_id = 'study_0' AND resource_type = 'slide' AND resource_id IN (SELECT image_id FROM best)"),
+    "preferred_associations": over(f"""
+SELECT {_MATCH} FROM (SELECT {_MATCH} FROM bm UNION ALL SELECT {_MATCH} FROM pm UNION ALL SELECT {_MATCH} FROM um) QUALIFY row_number() OVER (PARTITION BY trim(patient_id), trim(image_id) ORDER BY
+  CASE WHEN starts_with(slide_path, 's3://primary/') THEN 0 WHEN starts_with(slide_path, 's3://') THEN 1 ELSE 2 END, list_position(['BLOCK', 'PART', 'UNMATCHED'], match_level), sample_id IS NULL, coalesce(sample_id, '~~~~~~~~'),
+  if(regexp_full_match(part_number, '[0-9]+'), lpad(part_number, 8, '0'), '~~~~~~~~'),
+  coalesce(nullif(trim(block_number), ''), nullif(regexp_extract(trim(block_label), '^([0-9]+)', 1), ''), nullif(trim(block_label), ''), '~~~~~~~~'),
+  coalesce(stain_group, '~~~~~~~~'), coalesce(stain_name, '~~~~~~~~'), part_description IS NULL, part_description, procedure_date IS NULL, image_id, part_key NULLS FIRST, block_key NULLS FIRST, part_type NULLS FIRST, path_dx_title NULLS FIRST,
+  block_label NULLS FIRST, magnification NULLS FIRST, file_size_bytes NULLS FIRST, procedure_date NULLS FIRST, slide_path NULLS FIRST, part_number NULLS FIRST, block_number NULLS FIRST) = 1"""),
+    "candidate_slices": over("SELECT image_id, path, ((row_number() OVER (ORDER BY image_id) - 1) % 7)::INT shard FROM cand"),
+    "publish_counts": over("SELECT count_if(status = 'success')::BIGINT success_count, count_if(status <> 'success')::BIGINT failure_count, count(*) record_count FROM reg"),
+    "thumbnail_responses": over("""
+, ask AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber)::VARCHAR image_id, if(l_returnflag <> 'N', 'study_' || l_suppkey, NULL) study, (l_quantity * 50 - 60)::INT w, l_linenumber * 400 - 500 h FROM lineitem),
+man AS (SELECT s.image_id FROM serv s JOIN reg1 r ON r.image_id = s.image_id AND source_path = path WHERE status = 'success'),
+ans AS (SELECT image_id, greatest(1, least(w, 2048))::INT width, greatest(1, least(h, 2048))::INT height, study, image_id IN (SELECT image_id FROM man) AS has FROM ask)
+SELECT image_id, width, height, if(has, 'ok', 'placeholder') status, CASE WHEN NOT has THEN 'missing' WHEN width >= 512 AND height >= 512 THEN 'master' ELSE 'resized' END reason, if(has, NULL, 45)::INT ttl,
+  'thumbnail:' || coalesce(study || ':', '') || image_id || ':' || width || ':' || height cache_key FROM ans""").replace("\n\n,", "\n,"),
+    "slide_addresses": over("SELECT DISTINCT image_id, path, if(starts_with(path, 's3://'), split_part(path, '/', 3), NULL) bucket, if(starts_with(path, 's3://'), split_part(path, '/', 4), NULL) object_key, 's3://primary/thumbnails/masters/' || image_id || '.jpg' artifact_uri FROM inv"),
+    "slide_properties": """
+SELECT p_partkey slide_id, if(p_partkey % 29 = 0, 0.0, ('0.' || (p_size + 10))::DOUBLE)::DOUBLE mpp_x, if(p_partkey % 29 = 0 OR p_size % 7 = 0, 0.0, 0.25)::DOUBLE mpp_y, if(p_partkey % 29 = 0 OR p_size % 2 <> 0, '', p_brand) vendor,
+  if(p_partkey % 29 = 0 OR p_partkey % 5 = 0, NULL, p_size % 4 * 10 + 10)::BIGINT objective_power FROM part""",
+    "token_decisions": """
+SELECT o_orderkey token_id, CASE WHEN o_orderkey % 41 = 0 THEN 'algorithm' WHEN o_orderstatus = 'P' THEN 'audience' WHEN o_orderkey % 37 = 0 THEN 'subject' WHEN o_orderkey % 31 = 0 THEN 'study' WHEN o_orderkey % 23 = 0 THEN 'version'
+  WHEN day + o_custkey * 3000000 - 1000 <= 1000000000 THEN 'expired' WHEN day > 1000000060 THEN 'issued' WHEN o_custkey * 3000000 - 1000 <= 0 OR o_custkey * 3000000 - 1000 > 300000000 THEN 'lifetime' END refusal
+FROM (SELECT *, epoch(o_orderdate)::BIGINT AS day FROM orders)""",
     "resource_index": over("SELECT * FROM idx"),
     "index_suggestions": over("SELECT DISTINCT resource_id FROM idx WHERE study_id = 'study_1' AND resource_type = 'slide' AND starts_with(lower(resource_id), '1') ORDER BY lower(resource_id), resource_id LIMIT 8"),
     "index_membership": over("SELECT 'study_0' study_id, 'patient' resource_type, p.patient_id resource_id FROM (SELECT 'P-' || lpad(c_custkey::VARCHAR, 7, '0') patient_id FROM customer) p WHERE EXISTS (SELECT 1 FROM idx WHERE study_id = 'study_0' AND resource_type = 'patient' AND resource_id = p.patient_id)"),

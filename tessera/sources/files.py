@@ -28,6 +28,24 @@ def clinical_ids(spark: SparkSession, path: str, column: str = "PATIENT_ID") ->
     return ids
 
 
+def positional_ids(spark: SparkSession, path: str, header_lines: int = 5) -> DataFrame:
+    """The first column (id) of a clinical TSV after its header_lines first lines that are not blank, whatever they hold."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    # The header stands at the start of the file's first split, in the order that the split is read.
+    head = lines.where(F.col("_b") == 0).orderBy("_i").limit(header_lines).agg(F.max("_i")).first()[0]
+    return lines.where((F.col("_b") > 0) | (F.col("_i") > F.lit(head))).select(F.get(F.split("value", "\t", -1), 0).alias("id"))
+
+
+def study_identifier(spark: SparkSession, folder: str) -> str:
+    """The study id that a folder's meta file states, else the folder's name."""
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/meta_study.txt")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return name
+    stated = spark.read.text(f"{folder}/meta_study.txt").where(F.col("value").startswith("cancer_study_identifier:")).first()
+    return stated["value"].split(":", 1)[1].strip() if stated else name
+
+
 def without_attributes(spark: SparkSession, path: str, out: str, attributes: list[str]) -> list[str]:
     """Writes a clinical TSV without some columns, its '#' rows too, and returns the columns that went. Rows are padded to the header.
 
@@ -90,6 +108,36 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return e.select("image_id", "s.uri", side("width"), side("height"), F.coalesce("s.content_type", F.lit("image/jpeg")).alias("content_type"), "s.source_uri")
 
 
+def index_revision(spark: SparkSession, path: str) -> str:
+    """The revision of an index file: it changes with its bytes."""
+    return spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 16)).first()[0]
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The resource index of a version 2 file in long form: study_id, resource_type, resource_id, patient_id, source_path. A file that is
+    malformed, has another version, or binds a slide to no patient is an error."""
+    study = "struct<patients:array<string>,samples:array<string>,slides:map<string,struct<patient_id:string,source_path:string>>>"
+    raw = spark.read.schema(f"version int, studies map<string,{study}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if not raw.where((F.col("version") == 2) & F.col("studies").isNotNull()).take(1):
+        raise ValueError(f"{path} is no index of version 2")
+    own = raw.select(F.explode("studies").alias("study_id", "s"))
+    if not own.where(F.col("s.slides").isNull()).isEmpty():
+        raise ValueError("a study has no slide bindings")
+    slides = own.select("study_id", F.explode("s.slides").alias("resource_id", "b"))
+    if not slides.where(F.coalesce("b.patient_id", F.lit("")) == "").isEmpty():
+        raise ValueError("a slide is bound to no patient")
+    none = F.lit(None).cast("string")
+    ids = lambda kind: own.select("study_id", F.lit(kind).alias("resource_type"), F.explode(f"s.{kind}s").alias("resource_id"), none.alias("patient_id"), none.alias("source_path")).distinct()
+    return ids("patient").unionByName(ids("sample")).unionByName(slides.select("study_id", F.lit("slide").alias("resource_type"), "resource_id", "b.patient_id", "b.source_path"))
+
+
+def write_index(nested: DataFrame, path: str) -> None:
+    """A version 2 index file of rows (study_id, patients, samples, slides). It is one document, so one task writes it."""
+    by_id = lambda a, b: F.when(a["study_id"] < b["study_id"], -1).otherwise(1)  # noqa: E731  ids are distinct
+    studies = F.map_from_entries(F.array_sort(F.collect_list(F.struct("study_id", F.struct("patients", "samples", "slides"))), by_id)).alias("studies")
+    nested.agg(studies).select(F.lit(2).alias("version"), "studies").coalesce(1).write.mode("overwrite").json(path)
+
+
 def publish(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Writes beside the target, reads back, and moves it into place, so readers see the old or the new rows."""
     spark, staged = df.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"

@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 from tessera.functions import exprs as X
+from tessera.functions import service as S
 from tessera.operators import relational
-from tessera.plans import geometry, operations, serving
+from tessera.plans import geometry, nightly, operations, requests, serving
 from tessera.plans.timeline import timeline
-from tessera.sources import files
+from tessera.sources import files, statements
 from tessera.streaming.limiter import admit, rate_limit_admissions, rate_limit_stream
 
 
@@ -103,6 +104,78 @@ def test_files(spark, tmp_path):
     assert files.read_release(spark, str(tmp_path / "rel"), "part").count() == 4
 
 
+def test_more_files(spark, tmp_path):
+    study = tmp_path / "study_x"
+    study.mkdir()
+    assert files.study_identifier(spark, str(study)) == "study_x"
+    (study / "meta_study.txt").write_text("name: n\ncancer_study_identifier: own \n")
+    assert files.study_identifier(spark, str(study)) == "own"
+    (study / "data.txt").write_text("#a\tb\n\n#c\td\n#S\tS\n#1\t1\nSAMPLE_ID\tX\nS1\t1\n  \nS2\nS1\t3\n")
+    assert sorted(values(files.positional_ids(spark, str(study / "data.txt")), "id")) == ["S1", "S1", "S2"]
+    index = {"version": 2, "studies": {"s1": {"patients": ["P1", "P1"], "samples": None, "slides": {"7": {"patient_id": "P1", "source_path": None}}}, "s2": {"slides": {}}}}
+    path = tmp_path / "index.json"
+    path.write_text(json.dumps(index))
+    rows = files.read_index(spark, str(path))
+    assert sorted(tuple(r) for r in rows.fillna("").collect()) == [("s1", "patient", "P1", "", ""), ("s1", "slide", "7", "P1", "")]
+    files.write_index(serving.nested_index(rows), str(tmp_path / "again"))
+    assert files.read_index(spark, str(tmp_path / "again")).exceptAll(rows).isEmpty() and rows.exceptAll(files.read_index(spark, str(tmp_path / "again"))).isEmpty()
+    first = files.index_revision(spark, str(path))
+    for wrong in ({**index, "version": 1}, {"version": 2}, {"version": 2, "studies": {"s": {"slides": None}}}, {"version": 2, "studies": {"s": {"slides": {"7": {"patient_id": ""}}}}}):
+        path.write_text(json.dumps(wrong))
+        with pytest.raises(ValueError):
+            files.read_index(spark, str(path))
+    assert len(first) == 16 and files.index_revision(spark, str(path)) != first
+
+
+def test_statements(spark):
+    spark.createDataFrame([("1", "P2", "b"), ("1", "P1", "a"), ("2", "P1", "c'")], "image_id string, patient_id string, stain_name string").selectExpr("*", "'IHC' stain_group", "'40x' magnification", "5 file_size_bytes").createOrReplaceTempView("slide_rows")
+    assert [r.stain_name for r in statements.slide_row(spark, "slide_rows", "1").collect()] == ["a"]
+    assert [r.stain_name for r in statements.slide_row(spark, "slide_rows", "1", "P2").collect()] == ["b"]
+    assert statements.slide_row(spark, "slide_rows", "1' OR '1' = '1").isEmpty()
+
+
+def test_service_rules(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("c")).first()["c"]
+    text = lambda t: F.lit(t).cast("string")
+    assert [get(S.flag(text(t), True)) for t in (" TRUE ", "0", None)] == [True, False, True]
+    with pytest.raises(Exception, match="invalid boolean"):
+        get(S.flag(text("yes")))
+    assert [get(S.optional_int(text(t))) for t in ("12", " 7 ", "", "1.5", None)] == [12, 7, None, None, None]
+    assert [get(S.side(F.lit(n))) for n in (-3, 5, 9999)] == [1, 5, 2048]
+    assert [get(S.placeholder_ttl(F.lit(r), F.lit(n), F.lit(m))) for r, n, m in (("missing", 60, 0), ("missing", 60, 45), ("missing", 0, 45), ("broken", 60, 45))] == [60, 45, 1, None]
+    roots = {"s3://b/t/manifest.json": "s3://b/t/masters", "s3://b/t/": "s3://b/t/masters", "s3://b/t/m-manifest.json": "s3://b/t/masters", " ": "", "manifest.json": "./masters"}
+    assert [get(S.masters_root(text(u))) for u in roots] == list(roots.values())
+    assert [(get(S.bucket(text(u))), get(S.object_key(text(u)))) for u in ("s3://b/k/x.svs", "s3://b/", "file:///b/k", None)] == [("b", "k/x.svs")] + [(None, None)] * 3
+    assert get(S.cache_key("tile", S.scoped(text(None), text("7")), F.lit(1), F.lit(2), F.lit(3))) == "tile:7:1:2:3"
+    properties = [{"tiffslide.mpp-x": "0.5", "openslide.mpp-x": "9", "openslide.vendor": "v"}, {"tiffslide.mpp-x": "wide", "tiffslide.vendor": "v"}]
+    got = spark.createDataFrame([(p,) for p in properties], "p map<string,string>").coalesce(1).select(S.slide_properties(F.col("p")).alias("p")).collect()
+    assert [tuple(r.p) for r in got] == [(0.5, 0.0, "v", None), (0.0, 0.0, "", None)]
+
+
+def test_claims(spark):
+    good = ("HS256", "JWT", "viewer", "wsi:read", "u", "s", 1, 1500, 900)
+    bad = {"algorithm": (0, "none"), "audience": (2, "x"), "subject": (4, None), "study": (5, " "), "version": (6, 2), "expired": (7, 1000), "issued": (8, 1061), "lifetime": (8, 100)}
+    rows = [good] + [good[:k] + (v,) + good[k + 1 :] for k, v in bad.values()]
+    df = spark.createDataFrame(rows, "alg string, typ string, aud string, scope string, sub string, study_id string, wsi_auth_version long, exp long, iat long").coalesce(1)
+    assert values(df.select(S.claim_refusal(F.lit(1000), "viewer", 1000).alias("r")), "r") == [None, *bad]
+
+
+def test_suggestions_and_slices(spark):
+    found = spark.createDataFrame([("P1", None, 3), ("P2", "x", 0)], "patient_id string, cancer_type string, slide_count int").coalesce(1)
+    assert values(serving.suggestions(found, "patient"), "sublabel") == ["3 slides", "x · 0 slides"]
+    slides = spark.createDataFrame([("1", "P1", None), ("2", None, "H&E")], "image_id string, patient_id string, stain_name string").coalesce(1)
+    assert values(serving.suggestions(slides, "slide"), "sublabel") == ["P1", "H&E"]
+    ids = spark.createDataFrame([(f"{k:02}",) for k in range(7)], "i string")
+    assert [s for _, s in sorted(map(tuple, relational.round_robin_shards(ids, [F.col("i")], 3).collect()))] == [0, 1, 2, 0, 1, 2, 0]
+    assert tuple(requests.publish_counts(spark.createDataFrame([("success",), ("failed",), (None,)], "status string")).first()) == (1, 2, 3)
+
+
+def test_nightly(spark, tmp_path):
+    counts = [[t.count() for t in nightly.refresh(spark, "/root/testdata/sf0.001", str(tmp_path))] for _ in range(2)]  # each run replaces the tables
+    assert counts[0] == counts[1] and min(counts[0]) > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
