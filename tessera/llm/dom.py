@@ -124,7 +124,9 @@ def parse(source: str) -> Tree:
         tokens, label = _attributes(m[3] or m[6] or "")
         if name in BLOCK:
             if name in ("html", "body"):
-                tree.tokens[0] = tuple(dict.fromkeys(tree.tokens[0] + tokens)) if name == "body" else tree.tokens[0]
+                if name == "body":
+                    tree.tokens[0] = tuple(dict.fromkeys(tree.tokens[0] + tokens))
+                    tree.label[0] = label
                 continue
             ends, scope = CLOSES.get(name, ()), SCOPE.get(name, ())
             for k in range(len(stack) - 1, 0, -1):

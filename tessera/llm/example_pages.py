@@ -27,6 +27,7 @@ class Page:
         self.named = rng.random() < 0.8  # pages whose parts have names
         self.semantic = rng.random() < 0.6  # pages with nav, article, footer
         self.sloppy = rng.random() < 0.3  # unclosed elements
+        self.bare = rng.random() < 0.15  # pages whose article has no element of its own
 
     def odds(self, p: float) -> bool:
         return self.rng.random() < p
@@ -154,6 +155,8 @@ class Page:
         if self.odds(0.12):
             inside += self.comments()
         shape = self.rng.random()
+        if self.bare:
+            return self.prose(20, 200) if self.odds(0.15) else inside
         if self.semantic:
             body = f'<{(t := self.pick(["article", "article", "main", "article"]))}{self.name("main") if self.odds(0.5) else ""} data-y="1">{inside}</{t}>'
             return f'<main data-y="1">{body}</main>' if self.odds(0.2) and t != "main" else body
@@ -166,6 +169,8 @@ class Page:
         return self.box("share", self.links(2, 5), self.pick(["div", "ul", "p"]), 0)
 
     def whole(self) -> str:
+        if self.bare and self.odds(0.3):
+            return f'<body data-y="1">{self.article()}</body>'
         before = [make() for make, p in ((self.notice, 0.15), (self.navigation, 0.75), (self.advert, 0.4), (self.form, 0.1), (self.notice, 0.08), (self.side, 0.12)) if self.odds(p)]
         if self.odds(0.35):
             inside = f"<{(t := self.pick(['h1', 'div', 'p', 'a']))}>{self.words(1, 4)}</{t}>" + "".join(before[:2])
@@ -174,7 +179,7 @@ class Page:
         body = "".join(before) + self.article() + "".join(after)
         for _ in range(int(self.rng.integers(0, 3))):
             body = f"<div{self.pick(['', ' class=wrapper', ' id=page', ' class=container', ' class=row'])}>{body}</div>"
-        page = f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body>{body}</body></html>"
+        page = f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title></head><body{' data-y="1"' if self.bare else ''}>{body}</body></html>"
         return page[: int(len(page) * self.rng.uniform(0.5, 1))] if self.odds(0.1) else page
 
 

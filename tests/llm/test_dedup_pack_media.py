@@ -203,6 +203,13 @@ def test_pages(spark):
         assert (got[i].url, got[i].text, got[i].n_chars) == (url, text, len(text))
 
 
+def test_articles_without_an_element_of_their_own():
+    one, two = "Para number one is here with some words to read, and to keep.", "The second of the paragraphs has words as well, and more of them than the first."
+    both, nav, foot = f"<p>{one}</p><p>{two}</p>", '<nav><a href="/a">Home</a><a href="/b">News</a></nav>', "<footer>&copy; site</footer>"
+    cases = {both: f"{one} {two}", f"<html><body>{both}</body></html>": f"{one} {two}", f"<body>{nav}<h1>Title</h1>{both}{foot}": f"Title {one} {two}", f"{one} {two}": f"{one} {two}"}
+    assert html_extraction.train().texts(list(cases)) == list(cases.values())
+
+
 def test_extraction_of_unseen_pages_and_odd_rows(spark):
     model, right, of = html_extraction.train(), 0, 0
     for page in example_pages(60, seed=77):
