@@ -14,12 +14,21 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea template noscript iframe svg math object canvas audio video select button option head".split())
+#: Of RAW: read to the end of the file where unclosed; the others that may stand within themselves; what may stand in a head.
+TO_THE_END = frozenset("script style title textarea noscript iframe".split())
+NESTS = frozenset("svg math object template".split())
+HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
+OPTION_ENDS = frozenset("option optgroup select datalist".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 TAGS = sorted(BLOCK) + ["#run", "#inline"]
 TAG_ID = {t: k for k, t in enumerate(TAGS)}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_PAIR = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|iframe)\b[^>]*(?:(?<=/)>|>.*?(?:</\1\b[^>]*>|\Z)|\Z)|<(/?)(svg|math|object|template|canvas|audio|video|select|button)(?![^\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    re.S | re.I,
+)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label|aria-hidden|hidden|style|data-y)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARK = re.compile(r"[.,;:!?]")
@@ -63,11 +72,80 @@ def _attributes(source: str) -> tuple[tuple[str, ...], int | None]:
     return tuple(dict.fromkeys(tokens)), label
 
 
+def _pairs(source: str) -> dict[int, int]:
+    """Where elements that are dropped as a whole end, by where their content begins; unclosed ones are left out."""
+    ends, opened = {}, {}
+    for m in _PAIR.finditer(source):
+        name = (m[3] or "").lower()
+        if not name:
+            continue
+        own = opened.setdefault(name, [])
+        if m[2]:
+            if own:
+                ends[own.pop()] = m.end()
+        elif not m[4].endswith("/"):
+            if name not in NESTS:
+                own.clear()
+            own.append(m.end())
+    return ends
+
+
+def _after(source: str, at: int, name: str, end: int | None, stack: list[tuple[str, int]]) -> int:
+    """Where a dropped element ends whose content begins at `at`: with its own end tag or before that of a block around it; an unclosed
+    one ends before the next tag of a block, an option before what cannot stand in it."""
+    inside: list[str] = []
+    while at < (len(source) if end is None else end):
+        m = _TOKEN.search(source, at)
+        if m is None:
+            break
+        at, tag, closing = m.end(), (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
+        if name == "option" and tag in OPTION_ENDS:
+            return at if closing and tag == name else m.start()
+        if tag in TO_THE_END and (name, tag) != ("svg", "title") and not closing and not (m[3] or m[6] or "").endswith("/"):
+            at = _raw_end(source, at, tag)
+        elif tag in BLOCK and tag not in ("html", "body"):
+            if end is None:
+                return m.start()
+            if not closing:
+                inside.append(tag)
+            elif tag in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(tag) :]
+            elif any(t == tag for t, _ in stack):
+                return m.start()
+    return len(source) if end is None else end
+
+
+def _raw_end(source: str, at: int, name: str) -> int:
+    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+    return end.end() if end else len(source)
+
+
+def _head_end(source: str, at: int, pairs: dict[int, int]) -> int:
+    """After the end tag of a head, or before the first text or element of the body."""
+    while at < len(source):
+        m = _TOKEN.search(source, at)
+        if m is None or source[at : m.start()].strip():
+            break
+        name = (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            if name == "head":
+                return m.end()
+        elif name and name not in HEAD and name not in ("html", "head"):
+            return m.start()
+        at = m.end()
+        if not (m[1] or m[4] or (m[3] or m[6] or "").endswith("/")):
+            if name in TO_THE_END or name == "noframes":
+                at = _raw_end(source, at, name)
+            elif name == "template":
+                at = _after(source, at, name, pairs.get(at), [])
+    return at
+
+
 def parse(source: str) -> Tree:
     """Lenient: implied end tags, stray end tags, unclosed elements and pages that end early."""
     tree = Tree()
     stack: list[tuple[str, int]] = [("#root", tree.add("html", -1))]
-    run, links, apart, at = -1, 0, True, 0
+    run, links, apart, at, pairs = -1, 0, True, 0, _pairs(source)
 
     def say(text: str) -> None:
         nonlocal run, apart
@@ -107,8 +185,12 @@ def parse(source: str) -> Tree:
             continue
         if name in RAW:
             if name == "head" or not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>|(?=<body\b)" if name == "head" else rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                if name == "head":
+                    at = _head_end(source, at, pairs)
+                elif name in TO_THE_END:
+                    at = _raw_end(source, at, name)
+                else:
+                    at = _after(source, at, name, pairs.get(at), stack)
             tree.inputs[stack[-1][1]] += name in ("select", "button", "textarea")
             continue
         if name in VOID:
