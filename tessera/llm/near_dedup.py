@@ -17,9 +17,14 @@ from tessera.llm.common import cut, hash_parts, small_batches, table, text_or_em
 from tessera.llm.components import components
 
 WORDS, PERCENT = 3, 85
-#: At similarity 0.85 a pair misses all bands with probability (1 - 0.85**7)**48 < 1e-8.
-ROWS, BANDS = 7, 48
-SAMPLES, BITS = ROWS * BANDS, 512
+SAMPLES, BITS = 336, 512
+
+
+def band_rows(percent: int) -> int:
+    """The most samples a band may have so that a pair at this similarity misses all bands with a probability under 1e-7: 7 at 85, 6 at 80."""
+    return max((r for r in range(1, 9) if (1 - (percent / 100) ** r) ** (SAMPLES // r) < 1e-7), default=1)
+
+
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _TIMES = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1))[None, :]
@@ -116,9 +121,10 @@ def samples(own: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(sample: np.ndarray) -> np.ndarray:
-    x = mix(sample.astype(np.uint64) * _MIX + _MIX).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
-    return mix(x + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def band_keys(sample: np.ndarray, rows: int) -> np.ndarray:
+    bands = SAMPLES // rows
+    x = mix(sample.astype(np.uint64) * _MIX + _MIX)[: bands * rows].reshape(bands, rows).sum(1, dtype=np.uint64)
+    return mix(x + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def odd_sketch(sample: np.ndarray) -> np.ndarray:
@@ -142,45 +148,46 @@ def _bits_at(similar: float, sigmas: float = 6.0) -> int:
 MOST_BITS = _bits_at(PERCENT / 100)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 100 * intersection >= 85 * union, on the full sets."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether 100 * intersection >= percent * union, on the full sets."""
     if len(a) > len(b):
         a, b = b, a
-    if not len(a) or 100 * len(a) < PERCENT * len(b):
+    if not len(a) or 100 * len(a) < percent * len(b):
         return False
     at = np.searchsorted(b, a)
     both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _near(x: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, sketches: np.ndarray) -> list[int]:
+def _near(x: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, sketches: np.ndarray, percent: int, most_bits: int) -> list[int]:
     """Those of `others` that are linked with x: by size, then by odd sketch, then on the full sets."""
     small, large = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
-    others = others[100 * small >= PERCENT * large]
+    others = others[100 * small >= percent * large]
     differing = np.bitwise_count(sketches[others] ^ sketches[x]).sum(1)
-    return [int(o) for o in others[differing <= MOST_BITS] if linked(sets[o], sets[x])]
+    return [int(o) for o in others[differing <= most_bits] if linked(sets[o], sets[x], percent)]
 
 
-def _described(texts: pd.Series) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    sets = shingle_sets(texts.tolist())
+def _described(texts: pd.Series, words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    sets = shingle_sets(texts.tolist(), words)
     return sets, np.array([len(s) for s in sets], np.int64), np.array([odd_sketch(samples(s)) for s in sets]).reshape(len(sets), BITS // 64)
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _describe(batches: Iterator[pd.DataFrame], words: int, rows: int) -> Iterator[pd.DataFrame]:
     for part in batches:
-        sets = shingle_sets(part["text"].tolist())
+        sets = shingle_sets(part["text"].tolist(), words)
         yield pd.DataFrame({
             "doc_id": part["doc_id"].to_numpy(),
             "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
             "n_shingles": [len(s) for s in sets],
-            "bands": [band_keys(samples(s)) if len(s) else np.zeros(0, np.int64) for s in sets],
+            "bands": [band_keys(samples(s), rows) if len(s) else np.zeros(0, np.int64) for s in sets],
         }).astype({"doc_id": "Int64"})
 
 
-def _link_groups(g: pd.DataFrame) -> pd.DataFrame:
+def _link_groups(g: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     """Within each (comp, block): which texts are connected, by a search that compares each text with all that are not yet reached."""
     g = g.sort_values(["comp", "block", "node"], kind="stable").reset_index(drop=True)
-    sets, sizes, sketches = _described(g["text"])
+    sets, sizes, sketches = _described(g["text"], words)
+    most_bits = _bits_at(percent / 100)
     node, root = g["node"].to_numpy(), g["node"].to_numpy().copy()
     new = np.flatnonzero((g["comp"].diff() != 0) | (g["block"].diff() != 0))
     for a, z in zip(new, [*new[1:], len(g)]):
@@ -189,28 +196,29 @@ def _link_groups(g: pd.DataFrame) -> pd.DataFrame:
             first, left = left[0], left[1:]
             queue = [int(first)]
             while queue and len(left):
-                got = _near(queue.pop(), left, sets, sizes, sketches)
+                got = _near(queue.pop(), left, sets, sizes, sketches, percent, most_bits)
                 root[got] = node[first]
                 queue += got
                 left = left[~np.isin(left, got)] if got else left
     return pd.DataFrame({"node": node, "root": root})
 
 
-def _link_across(g: pd.DataFrame) -> pd.DataFrame:
+def _link_across(g: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
     """Links of the texts marked `out` with the block's texts under other labels, one for each label."""
     g = g.reset_index(drop=True)
-    sets, sizes, sketches = _described(g["text"])
+    sets, sizes, sketches = _described(g["text"], words)
+    most_bits = _bits_at(percent / 100)
     node, label, out, where = (g[c].to_numpy() for c in ("node", "label", "out", "where"))
     rows = []
     for w in np.unique(where):
         inside = np.flatnonzero(~out & (where == w))
         for x in np.flatnonzero(out & (where == w)):
-            for o in _near(int(x), inside[label[inside] != label[x]], sets, sizes, sketches):
+            for o in _near(int(x), inside[label[inside] != label[x]], sets, sizes, sketches, percent, most_bits):
                 rows.append((node[x], node[o]))
     return pd.DataFrame(rows, columns=["node", "root"], dtype="int64")
 
 
-def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_docs: int, block_shingles: int, words: int, percent: int) -> DataFrame:
     """(u, v) edges between texts that are linked, enough of them to connect what all links connect.
 
     texts: node, text. candidates: node, comp. A component of over block_docs texts is dealt to blocks. Each block also gets the
@@ -227,7 +235,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_d
     spread = placed.withColumn("home", F.col("block")).withColumn("block", F.explode(everywhere))
     with_text = cut(texts.join(spread.select("node", "comp", "block", "home"), "node"), "candidate-texts")
     batches = with_text.select(F.pmod(F.xxhash64("comp", "block"), F.lit(bins)).alias("bin"), "comp", "block", "node", "text")
-    found = cut(batches.groupBy("bin").applyInPandas(_link_groups, "node long, root long"), "links").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    found = cut(batches.groupBy("bin").applyInPandas(lambda g: _link_groups(g, words, percent), "node long, root long"), "links").select(F.col("node").alias("u"), F.col("root").alias("v"))
     hot = placed.where(F.col("blocks") > 1)
     if hot.isEmpty():
         return found
@@ -245,20 +253,25 @@ def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_d
     columns = ["node", "label", "out", F.xxhash64("comp", "block", "chunk").alias("where")]
     both = here.select(columns).unionByName(there.select(columns))
     at_home = with_text.where(F.col("block") == F.col("home")).select("node", "text")
-    across = at_home.join(both, "node").groupBy("where").applyInPandas(_link_across, "node long, root long")
+    across = at_home.join(both, "node").groupBy("where").applyInPandas(lambda g: _link_across(g, words, percent), "node long, root long")
     return found.unionByName(cut(across, "links").select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 500, block_shingles: int = 1_000_000) -> DataFrame:
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 500, block_shingles: int = 1_000_000,
+    words: int = WORDS, percent: int = PERCENT,
+) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles (long), component_id, kept.
 
+    Shingles have `words` words; two texts are linked when 100 * intersection >= percent * union of their shingle sets.
     Texts with equal shingle sets are one class, whose smallest doc_id stands for it; classes that share a band of samples are
     candidates, and candidates are confirmed on the full sets. Null and empty texts have no shingles and are linked with nothing. Rows
     that share a doc_id are one document for the links. A row with a null doc_id is linked with nothing, has a null component_id and is
     kept. Ties do not occur, as ids order all. Empty tables give empty results. Other columns are neither read nor returned.
     """
+    per_band = band_rows(percent)
     own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = cut(own.mapInPandas(_describe, "doc_id long, digest binary, n_shingles long, bands array<long>"), "minhash")
+    rows = cut(own.mapInPandas(lambda batches: _describe(batches, words, per_band), "doc_id long, digest binary, n_shingles long, bands array<long>"), "minhash")
     usable = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
@@ -268,7 +281,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = cut(near.select("node", F.col("root").alias("comp")).unionByName(near.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()), "candidates")
     sizes = classes.select("node", "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     texts = own.withColumnRenamed("doc_id", "node")
-    root = components(_verified(texts, candidates, sizes, block_docs, block_shingles))
+    root = components(_verified(texts, candidates, sizes, block_docs, block_shingles, words, percent))
     by_class = classes.select("digest", "node").join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     # The rows of a much copied class are narrow and on the side that adaptive execution splits.
     out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left").drop("digest")
@@ -276,9 +289,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("component_id", same).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that near_dedup keeps, one for each doc_id, with docs' columns; rows with a null id stay."""
-    ids = near_dedup(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("kept")).select("doc_id")
+    ids = near_dedup(docs, id_col, text_col, words=words, percent=percent).where(F.col("doc_id").isNotNull() & F.col("kept")).select("doc_id")
     stay = docs.where(F.col(id_col).isNotNull()).join(ids.withColumnRenamed("doc_id", "_kept_id").distinct(), F.col(id_col) == F.col("_kept_id"), "left_semi")
     return stay.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
