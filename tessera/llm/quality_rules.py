@@ -66,19 +66,30 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     return lines.select("doc_id", "host", F.xxhash64(normalised(F.col("_l"))).alias("line"), F.size(_words(F.col("_l"))).cast("long").alias("line_words"))
 
 
-def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """(host, line) of lines in over max_docs distinct documents of the host. Two steps, so that no key's rows meet before they are counted."""
-    return lines.select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+def frequent_lines(lines: DataFrame, max_docs: int, host_docs: DataFrame | None = None, max_share: float = 0.0) -> DataFrame:
+    """(host, line) of lines in over max_docs distinct documents of the host. Two steps, so that no key's rows meet before they are counted.
+
+    With host_docs (host, host_docs), a line must also be in over max_share of the host's documents; max_docs is then the floor.
+    """
+    often = lines.select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+    return often if host_docs is None else often.join(host_docs, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).drop("host_docs")
+
+
+def documents_per_host(docs: DataFrame, id_col: str, host_col: str) -> DataFrame:
+    """host, host_docs: its distinct documents; null ids are one document, as in the line counts."""
+    own = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(id_col).alias("doc_id")).distinct()
+    return own.groupBy("host").agg(F.count("*").alias("host_docs"))
 
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    max_docs: int = 100, min_left: float = 0.5, salts: int = 64,
+    max_docs: int = 100, min_left: float = 0.5, salts: int = 64, max_share: float | None = None,
 ) -> DataFrame:
     """Base counts and the verdict of the cross-document line rule.
 
     Lines are normalised and hashed; a line that over max_docs distinct documents of one host hold is removed, and a document that keeps
-    under min_left of its words is depleted. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
+    under min_left of its words is depleted. With max_share, such a line must also be in over that share of the host's distinct documents,
+    so that with a small max_docs as floor the verdict does not depend on the size of the table. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, n_line_words_removed (long), kept.
 
     A null text is empty: no words, so base_failed. A null host is a host of its own (""). Null ids are kept and treated as one
@@ -87,7 +98,8 @@ def quality_rules(
     """
     base = base_counts(docs, id_col, text_col)
     lines = line_rows(docs, id_col, text_col, host_col)
-    often = frequent_lines(lines, max_docs).select("host", "line", F.lit(True).alias("_often"))
+    host_docs = None if max_share is None else documents_per_host(docs, id_col, host_col)
+    often = frequent_lines(lines, max_docs, host_docs, max_share or 0.0).select("host", "line", F.lit(True).alias("_often"))
     left = salted_join(lines, often, ["host", "line"], salts, F.xxhash64("doc_id"), "left")
     removed = left.groupBy(F.col("doc_id").alias("_id")).agg(
         F.sum("line_words").alias("_all"), F.sum(F.when(F.col("_often"), F.col("line_words")).otherwise(0)).alias("_lost")
