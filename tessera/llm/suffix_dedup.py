@@ -2,8 +2,9 @@
 
 Every window of LENGTH bytes has one owner, the least hash among its grams (the leftmost on ties). Equal windows have equal owners at the
 same place, so the windows that an owner has in a row make a segment, and segments need to be compared only with those of the same gram.
-A segment that occurs twice as a whole is repeated. The others whose gram occurs again, near the ends of a repeated passage, go to
-suffix arrays, a bounded batch of grams in each task.
+A segment that occurs twice as a whole is repeated: counting equal segments stands in for the arrays there, since all its windows have
+the same earlier match. The others whose gram occurs again, near the ends of a repeated passage, go to suffix arrays, a bounded batch of
+grams in each task.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def _repeated(length: int, keep_first: bool):
     return find
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, most: int = 4_000, batch_bytes: int = 1_500_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, most: int = 1_000, batch_bytes: int = 1_500_000) -> DataFrame:
     """(_row, a, b): byte ranges of texts that are covered by repeated strings of `length` bytes; they may overlap.
 
     docs: _row (equal for repeated rows), doc_id, text. keep_first leaves the first occurrence, by doc_id and place, unmarked. A gram with
@@ -150,7 +151,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     hit = seg.join(again, ["gram", "own"])
     if keep_first:
         hit = hit.where((F.col("_row") != F.col("r_row")) | (F.col("first") != F.col("r_first")))
-    spans = hit.select("_row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    # A table of its own, so that adaptive execution can split the keys of much copied segments; copies of a row share a _row.
+    spans = cut(hit.select("_row", F.col("first").alias("a"), (F.col("last") + length).alias("b")), "whole-segments")
     several = each.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > 1)
     open_ = each.join(several, "gram").select("gram", "k", "r._row", "r._doc", "r.first", "r.last", "r.at")
     lists = open_.groupBy("_row").agg(F.collect_list(F.struct("gram", "k", "_doc", "first", "last", "at")).alias("s"))
@@ -198,13 +200,15 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = text.encode("utf-8", "surrogatepass")
             gone = merged(list(zip(a, b))) if a is not None else []
             edges = [0, *(x for s in gone for x in s), len(raw)]
-            kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
-            rows.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [int(x) for x in edges[1:-1]]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
+            kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2])) if gone else raw
+            left = kept.decode("utf-8", "ignore") if gone else text
+            rows.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), left, [int(x) for x in edges[1:-1]]))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "spans"]).astype({"doc_id": "Int64"})
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (starts and ends of the removed runs, in turn).
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", most: int = 1_000) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what remains; bytes of a character that is cut in
+    two are left out of it, not of the hash), spans (starts and ends of the removed runs, in turn).
 
     A null text is empty, and texts under `length` bytes lose nothing. Repeated rows are two texts with the same bytes, so with
     keep_first=False both lose all that reaches `length`; with keep_first=True repeated rows count as one text. Null ids are kept.
@@ -212,10 +216,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_f
     """
     own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
     source = own.select("_row", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
-    spans = repeated_spans(source, length, gram, keep_first, most).groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("s"))
+    spans = repeated_spans(source, length, gram, keep_first, most).groupBy("_row").agg(F.collect_set(F.struct("a", "b")).alias("s"))
     both = own.join(spans, "_row", "left").select("doc_id", "text", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-    return both.mapInPandas(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return both.mapInPandas(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans array<long>")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"))
+    """The digest of each document and what remains of its text. Most bytes go by counts of equal segments; the arrays decide the segments
+    at the ends of repeated passages."""
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
