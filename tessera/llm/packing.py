@@ -4,11 +4,12 @@ merged up a tree as items of further best-fit rounds."""
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, hash_parts, small_batches, table, text_or_empty
@@ -18,28 +19,29 @@ _ENCODERS: dict = {}
 
 
 def encoder(vocabulary: str):
-    """texts -> lists of ids of the public tokenizer <vocabulary>.json. Its rank file gives the same ids several times as fast; texts that
-    hold a special token's string go to the tokenizer itself."""
+    """texts -> arrays of ids of the public tokenizer <vocabulary>.json."""
     if vocabulary not in _ENCODERS:
-        import base64
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        special = [t.content for t in whole.get_added_tokens_decoder().values()]
+        _ENCODERS[vocabulary] = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    whole = _ENCODERS[vocabulary]
+    return lambda texts: [np.array(e.ids, "<u4") for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-        def encode(text: str) -> list[int]:
-            if any(s in text for s in special):
-                return whole.encode(text, add_special_tokens=False).ids
-            return fast.encode_ordinary(text)
 
-        _ENCODERS[vocabulary] = encode
-    return _ENCODERS[vocabulary]
+def _slices(lengths: list[int], most: int) -> Iterator[slice]:
+    """Slices of rows whose lengths add up to at most `most`, or of one longer row."""
+    at, size = 0, 0
+    for k, n in enumerate(lengths):
+        if k > at and size + n > most:
+            yield slice(at, k)
+            at, size = k, 0
+        size += n
+    if lengths:
+        yield slice(at, len(lengths))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,12 +50,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bp
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary)
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = np.array([*encode(text), 0], "<u4")
-                first = len(ids) % capacity or capacity
-                edges = [0, *range(first, len(ids) + 1, capacity)]
-                rows += [(doc, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(edges, edges[1:]))]
+            rows, texts = [], b["text"].tolist()
+            for part in _slices([len(t) for t in texts], 1 << 20):
+                for doc, ids in zip(b["doc_id"].iloc[part], encode(texts[part])):
+                    ids = np.append(ids, np.zeros(1, "<u4"))
+                    first = len(ids) % capacity or capacity
+                    edges = [0, *range(first, len(ids) + 1, capacity)]
+                    rows += [(doc, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(edges, edges[1:]))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
@@ -85,42 +88,52 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return of, at, fills
 
 
-def _pack(items: DataFrame, parts: int, level: int, capacity: int, key: list[str]) -> DataFrame:
-    """items with size and the columns of key, packed within each of `parts` parts: adds bin, offset and fill."""
+def _pack(items: DataFrame, parts: int, level: int, capacity: int, key: list[str], fan_in: int, nearly: int) -> DataFrame:
+    """items with size and the columns of key, packed within each of `parts` parts: adds bin, offset, fill and goes_on.
+
+    goes_on marks bins that the next level may fill: those with room, but of equally full bins over half only fan_in, for best-fit leaves
+    at most one bin under half in a part, and a group of fan_in parts so has at most fan_in bins that fit into others.
+    """
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["size", *key], ascending=[False, *[True] * len(key)], kind="stable")
         of, at, fills = best_fit(g["size"].tolist(), capacity)
         first = (level << 52) + (int(g["part"].iloc[0]) << 26)
-        return g.assign(bin=np.array(of, "int64") + first, offset=np.array(at, "int64"), fill=np.array(fills, "int64")[of]).drop(columns="part")
-
-    schema = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", bin long, offset long, fill long"
+        seen: Counter = Counter()
+        open_ = []
+        for fill in fills:
+            seen[fill] += 1
+            open_.append(fill <= capacity - nearly and (fill <= capacity // 2 or seen[fill] <= fan_in))
+        of = np.array(of, "int64")
+        return g.assign(bin=of + first, offset=np.array(at, "int64"), fill=np.array(fills, "int64")[of], goes_on=np.array(open_)[of]).drop(columns="part")
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", bin long, offset long, fill long, goes_on boolean"
     return items.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("long")).groupBy("part").applyInPandas(pack, schema)
 
 
 def pack(parts_of: DataFrame, capacity: int = CAPACITY, per_part: int = 8_000, fan_in: int = 8, nearly: int = 8) -> DataFrame:
-    """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32).
+    """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32); an empty table gives an empty result.
 
     Level 0 packs parts of about per_part items. A bin with less than `nearly` room, or less than the smallest open bin's fill, leaves.
-    The others are items of the next level, which has a fan_in-th of the parts. Of two bins that fit together one is at most half full;
-    with S such bins in all, no level can use more than S fuller bins of one fill, so only those go on and a part stays small.
+    The others are items of the next level, which has a fan_in-th of the parts. What goes on from a part is bounded by fan_in bins a
+    fill, so the last level's one part stays small whatever the input. Whole pieces are sequences of their own, with negative numbers.
+    Repeated rows and null ids are items like others; ties of size are settled by doc_id and piece, and equal rows are interchangeable.
     """
-    whole = parts_of.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    whole = parts_of.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     items = parts_of.where(F.col("length") < capacity).withColumn("size", F.col("length"))
     parts = hash_parts(items.count(), per_part)
-    placed = cut(_pack(items, parts, 1, capacity, ["doc_id", "piece"]), "packed").drop("size")
-    bins = placed.groupBy("bin").agg(F.max("fill").alias("size"))
+    placed = cut(_pack(items, parts, 1, capacity, ["doc_id", "piece"], fan_in, nearly), "packed").drop("size")
+    one_each = lambda df: df.groupBy("bin").agg(F.max("fill").alias("size"), F.max("goes_on").alias("goes_on")).where("goes_on").drop("goes_on")
+    bins = one_each(placed)
     to, level = None, 1
     while parts > 1:
-        state = bins.where(F.col("size") <= capacity - nearly).agg(F.min("size"), F.count_if(F.col("size") <= capacity // 2)).first()
+        state = bins.agg(F.min("size"), F.count_if(F.col("size") <= capacity // 2)).first()
         least, small = state[0], state[1]
         if not small:
             break
         parts, level = -(-parts // fan_in), level + 1
-        open_bins = bins.where((F.col("size") <= capacity - nearly) & (F.col("size") <= capacity - least))
-        rank = F.row_number().over(Window.partitionBy("size").orderBy("bin"))
-        useful = open_bins.withColumn("_k", rank).where((F.col("_k") <= small) | (F.col("size") <= capacity // 2)).drop("_k")
-        moved = cut(_pack(useful.withColumnRenamed("bin", "from"), parts, level, capacity, ["from"]), "merged")
+        useful = bins.where(F.col("size") <= capacity - least)
+        moved = cut(_pack(useful.withColumnRenamed("bin", "from"), parts, level, capacity, ["from"], fan_in, nearly), "merged")
         step = moved.select("from", "bin", "offset")
         if to is None:
             to = step
@@ -128,7 +141,7 @@ def pack(parts_of: DataFrame, capacity: int = CAPACITY, per_part: int = 8_000, f
             on = step.select(F.col("from").alias("bin"), F.col("bin").alias("_bin"), F.col("offset").alias("_offset"))
             older = to.join(on, "bin", "left").select("from", F.coalesce("_bin", "bin").alias("bin"), (F.col("offset") + F.coalesce("_offset", F.lit(0))).alias("offset"))
             to = cut(older.unionByName(step.join(to, "from", "left_anti")), "moves")
-        bins = moved.groupBy("bin").agg(F.max("fill").alias("size"))
+        bins = one_each(moved)
     if to is not None:
         by = to.select(F.col("from").alias("bin"), F.col("bin").alias("_bin"), F.col("offset").alias("_offset"))
         placed = placed.join(by, "bin", "left").withColumn("offset", F.col("offset") + F.coalesce("_offset", F.lit(0))).withColumn("bin", F.coalesce("_bin", "bin"))
