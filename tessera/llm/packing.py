@@ -3,7 +3,9 @@ merged up a tree as items of further best-fit rounds."""
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,18 +20,62 @@ CAPACITY = 2048
 _ENCODERS: dict = {}
 
 
-def encoder(vocabulary: str):
-    """texts -> arrays of ids of the public tokenizer <vocabulary>.json."""
-    if vocabulary not in _ENCODERS:
-        import os
+class _Words(dict):
+    """The ids of each word that was asked for, as bytes."""
+
+    def __init__(self, tokenize) -> None:
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
+        others = [b for b in range(256) if b not in printed]
+        self.tokenize, self.written, self.chars = tokenize, {b: 256 + k for k, b in enumerate(others)}, 0
+        self.space = chr(self.written[32])
+
+    def __missing__(self, word: str) -> bytes:
+        self.chars += len(word)
+        bare = word[word[0] == " " :]
+        if bare.isascii() and bare.isalpha():
+            written = word if bare is word else self.space + bare
+        else:
+            written = word.encode().decode("latin-1").translate(self.written)
+        ids = array("I", [t.id for t in self.tokenize(written)]).tobytes()
+        self[word] = ids
+        return ids
 
+
+class Encoder:
+    """texts -> arrays of ids of the public tokenizer <vocabulary>.json.
+
+    Where that splits by its byte-level pattern only, the ids of a word follow from the word alone: texts are split by the same pattern, and
+    the tokenizer's model encodes each new word once. Texts that hold a special token's string, and other tokenizers, take the whole way.
+    """
+
+    def __init__(self, vocabulary: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         import public_tokenizers
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        byte_level = isinstance(self.whole.pre_tokenizer, pre_tokenizers.ByteLevel) and not self.whole.pre_tokenizer.add_prefix_space and self.whole.normalizer is None
+        self.split = regex.compile(public_tokenizers.PATTERN).findall if byte_level else None
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.words = _Words(self.whole.model.tokenize)
+
+    def _by_words(self, text: str) -> np.ndarray:
+        if len(self.words) > 1 << 19 or self.words.chars > 1 << 23:
+            self.words.clear()
+            self.words.chars = 0
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), "<u4")
 
-        _ENCODERS[vocabulary] = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    whole = _ENCODERS[vocabulary]
-    return lambda texts: [np.array(e.ids, "<u4") for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        by_words = [self.split is not None and not any(s in t for s in self.special) for t in texts]
+        rest = iter(self.whole.encode_batch_fast([t for t, fast in zip(texts, by_words) if not fast], add_special_tokens=False))
+        return [self._by_words(t) if fast else np.array(next(rest).ids, "<u4") for t, fast in zip(texts, by_words)]
+
+
+def encoder(vocabulary: str) -> Encoder:
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def _slices(lengths: list[int], most: int) -> Iterator[slice]:

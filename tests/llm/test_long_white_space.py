@@ -31,3 +31,10 @@ def test_many_parts_fill_as_well_as_one(spark):
         bins[per_part] = len({r.sequence_id for r in got})
         assert len(got) == len(sizes) and len({(r.sequence_id, r.offset) for r in got}) == len(got)
     assert bins[500] <= bins[6000] * 1.03
+
+
+def test_words_of_all_code_points():
+    encode = packing.encoder("byte_bpe_50k")
+    texts = [f"a{chr(c)}1{chr(c)}{chr(c)} {chr(c)}b  {chr(c)}\n{chr(c)} " for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or c % 17 == 0)]
+    want = encode.whole.encode_batch_fast(texts, add_special_tokens=False)
+    assert all(x.tolist() == y.ids for x, y in zip(encode(texts), want))
