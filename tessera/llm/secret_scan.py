@@ -3,9 +3,8 @@ version that the ledger has not seen are scanned, and findings are joined back t
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,105 +12,150 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, small_batches, table, text_or_empty
 
-RULES_VERSION = "1"
-#: The base rules (kind, pattern, least characters of the value, group of the value) and then the added ones, in order.
-RULES = [
-    ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
-    ("access", r"AKIA[A-Z0-9]+", 20, 0),
-    ("hex", r"[0-9a-f]+", 24, 0),
-    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40, 0),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, 0),
-    ("google", r"AIza[A-Za-z0-9_-]{35}", 39, 0),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30, 0),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 20, 0),
-]
-BASE = 3
-_COMPILED = [(kind, re.compile(p if kind != "hex" else r"[0-9a-f]{24,}"), least, group) for kind, p, least, group in RULES]
+#: Rule sets by version; of each rule its kind, pattern, least characters of the value and the value's group, in order. The
+#: versions are scanned and kept apart, so that a change of the added rules rescans no blob for the base ones.
+RULE_SETS = {
+    "base-1": [
+        ("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+        ("access", r"AKIA[A-Z0-9]+", 20, 0),
+        ("hex", r"[0-9a-f]+", 24, 0),
+    ],
+    "added-1": [
+        ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 40, 0),
+        ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, 0),
+        ("google", r"AIza[A-Za-z0-9_-]{35}", 39, 0),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 30, 0),
+        ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 20, 0),
+    ],
+}
+BASE = [kind for kind, *_ in RULE_SETS["base-1"]]
+#: Kinds in the order in which spans that start together are listed.
+KINDS = [kind for rules in RULE_SETS.values() for kind, *_ in rules]
+_COMPILED = {version: [(kind, re.compile(p if kind != "hex" else r"[0-9a-f]{24,}"), least, group) for kind, p, least, group in rules] for version, rules in RULE_SETS.items()}
 _KEYWORD = re.compile(r"(?ai)passw|secret|token|api_?key")
+_LEDGER = "blob string, version string, spans array<struct<kind:string,start:int,end:int>>"
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
+def find(text: str, versions: Iterable[str] = RULE_SETS) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed. Runs of 24 and more hex digits are what [0-9a-f]+ finds and the
     length rule keeps, since runs are maximal."""
     found = []
-    for k, (kind, pattern, least, group) in enumerate(_COMPILED):
-        if kind == "assign" and not _KEYWORD.search(text):
-            continue
-        found += [(m.start(), k, m.end(), kind) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+    for version in versions:
+        for kind, pattern, least, group in _COMPILED[version]:
+            if kind == "assign" and not _KEYWORD.search(text):
+                continue
+            found += [(m.start(), KINDS.index(kind), m.end(), kind) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return [(kind, start, end) for start, _, end, kind in sorted(found)]
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    base = [r[0] for r in RULES[:BASE]]
     for b in batches:
         rows = []
-        for blob, text in zip(b["blob"], b["text"]):
-            spans = find(text)
-            own = [s for s in spans if s[0] in base]
-            join = lambda xs: ",".join(f"{kind}:{a}:{z}" for kind, a, z in xs)
-            rows.append((blob, *(sum(s[0] == k for s in own) for k in base), hashlib.sha256(join(own).encode()).hexdigest(), join(spans)))
-        yield pd.DataFrame(rows, columns=["blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        for blob, versions, text in zip(b["blob"], b["versions"], b["text"]):
+            rows += [(blob, v, [{"kind": k, "start": a, "end": z} for k, a, z in find(text, [v])]) for v in versions]
+        yield pd.DataFrame(rows, columns=["blob", "version", "spans"])
 
 
-def scan_new(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text", version: str = RULES_VERSION) -> DataFrame:
-    """Findings of the blobs of docs that the ledger has not under this rule version: the rows to append to the ledger."""
-    blobs = small_batches(docs).select(F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("blob"), text_or_empty(text_col).alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    once = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    return once.mapInPandas(_scan, "blob string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumn("version", F.lit(version))
+def address(text_col: str = "text") -> Column:
+    """The content address of a text; a null is the empty text."""
+    return F.sha2(text_or_empty(text_col).cast("binary"), 256)
 
 
-def secret_scan(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex (long), base_sha256, spans, blob.
+def scan_new(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text", versions: Iterable[str] = RULE_SETS) -> DataFrame:
+    """(blob, version, spans) of the pairs of a blob of docs and a rule version that the ledger has not: the rows to append to it.
+
+    Blobs are narrowed to the unseen ones before any text is shuffled, and each is scanned once, for all its unseen versions."""
+    wanted = F.array(*[F.lit(v) for v in versions])
+    blobs = small_batches(docs).select(address(text_col).alias("blob"), text_or_empty(text_col).alias("text"))
+    if ledger is None:
+        blobs = blobs.withColumn("versions", wanted)
+    else:
+        seen = ledger.groupBy(F.col("blob").alias("_blob")).agg(F.collect_set("version").alias("_seen"))
+        blobs = blobs.join(seen, F.col("blob") == F.col("_blob"), "left").withColumn("versions", F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<string>"))))
+        blobs = blobs.where(F.size("versions") > 0)
+    once = blobs.groupBy("blob").agg(F.first("versions").alias("versions"), F.first("text").alias("text"))
+    return once.mapInPandas(_scan, _LEDGER)
+
 
-    ledger_path is a table that earlier calls wrote; this call appends what it scans. Without one, a fresh ledger in the shared folder is
-    used. A null text is empty; an empty text has no spans ('' and the hash of ''). Repeated rows and copies are one blob, scanned once,
-    and each gets its row. Null ids are kept. Empty tables give empty results. Other columns are neither read nor returned.
+def scanned(docs: DataFrame, ledger_path: str | None = None, text_col: str = "text", versions: Iterable[str] = RULE_SETS) -> DataFrame:
+    """(blob, spans) of every blob of docs that has a span, all versions' spans in order, after the ledger was brought up to date.
+
+    The ledger is a table of (blob, version, spans), read again after what is new was appended; pairs that two writers append at the
+    same time are equal. Without a path a fresh ledger in the shared folder is used.
     """
-    spark = docs.sparkSession
+    spark, versions = docs.sparkSession, list(versions)
     if ledger_path is None:
-        found = cut(scan_new(docs, None, text_col), "blob-ledger")
+        ledger = cut(scan_new(docs, None, text_col, versions), "blob-ledger")
     else:
         try:
-            old = spark.read.parquet(ledger_path)
+            old = spark.read.schema(_LEDGER).parquet(ledger_path)
         except Exception as e:  # the first call finds no ledger
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = None
-        new = cut(scan_new(docs, old, text_col), "blob-ledger")
-        new.write.mode("append").parquet(ledger_path)
-        found = spark.read.parquet(ledger_path).where(F.col("version") == RULES_VERSION).dropDuplicates(["blob"])
-    paths = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("blob"))
+        cut(scan_new(docs, old, text_col, versions), "blob-ledger-new").write.mode("append").parquet(ledger_path)
+        ledger = spark.read.schema(_LEDGER).parquet(ledger_path)
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("s.kind"))
+    one = ledger.where(F.col("version").isin(versions) & (F.size("spans") > 0)).select("blob", F.explode("spans").alias("s"))
+    spans = one.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), rank.alias("rank"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end")))).alias("spans"))
+    return spans
+
+
+def secret_scan(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", versions: Iterable[str] = RULE_SETS) -> DataFrame:
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex (long), base_sha256, spans, blob.
+
+    Every row is a path of its text, a historical version among others if docs holds several rows for one id. ledger_path is a table that
+    earlier calls wrote; this call appends what it scans. A null text is empty; an empty text has no spans ('' and the hash of '').
+    Repeated rows and copies are one blob, scanned once, and each gets its row. Null ids are kept. Empty tables give empty results. Other
+    columns are neither read nor returned.
+    """
+    found = scanned(docs, ledger_path, text_col, versions)
+    joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
+    own = F.filter(spans, lambda s: s["kind"].isin(BASE))
+    of_kind = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in BASE]
+    paths = docs.select(F.col(id_col).alias("doc_id"), address(text_col).alias("blob"))
     # The paths of a much copied blob are narrow rows on the side that adaptive execution splits; each blob has one row of findings.
-    return paths.join(found.drop("version"), "blob").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
+    return paths.join(found, "blob", "left").select("doc_id", *counts, F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"), "blob")
+
+
+def _replaced(texts: pd.Series, spans: pd.Series) -> list[str | None]:
+    out = []
+    for text, found in zip(texts, spans):
+        if text is None or found is None:
+            out.append(text)
+            continue
+        parts, at = [], 0
+        for s in found:
+            if s["start"] >= at:
+                parts += [text[at : s["start"]], "[SECRET]"]
+            at = max(at, s["end"])
+        out.append("".join([*parts, text[at:]]))
+    return out
 
 
-def redacted(text: Column) -> Column:
-    """The text with every found span replaced by [SECRET]; a null stays null."""
+def redacted_documents(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with every found span of its texts replaced by [SECRET], and n_chars, where docs has it, set to the new length.
 
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        out, at = [], 0
-        for _, start, end in find(text):
-            if start >= at:
-                out += [text[at:start], "[SECRET]"]
-            at = max(at, end)
-        return "".join([*out, text[at:]])
+    The spans come from the ledger by content address; only texts with spans meet Python again. No row goes: null and empty texts, null
+    ids and repeated rows stay as they are. An empty table gives an empty result. Columns of any other name pass through.
+    """
 
     @F.pandas_udf("string")
-    def redact(texts: pd.Series) -> pd.Series:
-        return pd.Series([one(t) for t in texts], index=texts.index, dtype=object)
+    def replace(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series(_replaced(texts, spans), index=texts.index, dtype=object)
 
-    return redact(text)
+    found = scanned(docs, ledger_path, text_col)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), address(text_col).alias("blob"))
+    both = cut(row.join(found, "blob", "left").select("row", "spans"), "documents-with-spans")
+    changed = both.where(F.col("spans").isNotNull()).withColumn("new", replace(F.col(f"row.`{text_col}`"), F.col("spans")))
+    fields = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    new = fields | {text_col: F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    take = lambda df, columns: df.select(*[c.alias(name) for name, c in columns.items()])
+    return take(both.where(F.col("spans").isNull()), fields).unionByName(take(changed, new))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are paths of a ledger that starts empty: each distinct text is scanned once for each of the two rule versions."""
     return secret_scan(table(spark, sf_dir, "documents"))
-
-
-def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the secrets of its texts replaced, and n_chars, where docs has it, set to the new length."""
-    out = small_batches(docs).withColumn(text_col, redacted(F.col(text_col)))
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -99,18 +99,49 @@ def test_secret_scan(spark, odd_rows, documents):
 
 def test_ledger_scans_only_what_is_new(spark, odd_rows, tmp_path):
     path = str(tmp_path / "ledger")
-    secret_scan.secret_scan(frame(spark, odd_rows[:6]), path).collect()
+    secret_scan.secret_scan(frame(spark, odd_rows[:6]), path, versions=["base-1"]).collect()
     first = spark.read.parquet(path).count()
+    assert first == len({t or "" for _, t, _ in odd_rows[:6]})
+    new = secret_scan.scan_new(frame(spark, odd_rows), spark.read.parquet(path)).collect()
+    assert {r.version for r in new} == {"base-1", "added-1"} and len({(r.blob, r.version) for r in new}) == len(new)
     got = secret_scan.secret_scan(frame(spark, odd_rows), path).collect()
-    assert len(got) == len(odd_rows) and spark.read.parquet(path).count() == len({t or "" for _, t, _ in odd_rows}) > first
+    assert sorted(map(str, got)) == sorted(map(str, secret_scan.secret_scan(frame(spark, odd_rows)).collect()))
+    assert len(got) == len(odd_rows) and spark.read.parquet(path).count() == 2 * len({t or "" for _, t, _ in odd_rows}) == first + len(new)
     assert secret_scan.scan_new(frame(spark, odd_rows), spark.read.parquet(path)).isEmpty()
 
 
+def test_added_spans_and_historical_versions(spark, tmp_path):
+    key, later = "ghp_" + "a1" * 20, "xoxb-" + "1234567890ab"
+    history = [(1, f"v1 {key} AIza{'b' * 35} end", "a"), (1, f"v2 {later} -----BEGIN RSA PRIVATE KEY-----", "a"), (1, "v3 clean", "a"), (2, f"v1 {key} AIza{'b' * 35} end", "b"), (3, "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "b")]
+    want = Counter()
+    for i, t, _ in history:
+        spans = []
+        for kind, pattern in (("github", "gh[pousr]_[A-Za-z0-9]{36,}"), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}"), ("google", "AIza[A-Za-z0-9_-]{35}"), ("jwt", r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----")):
+            spans += [(m.start(), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, t, re.A)]
+        want[(i, ",".join(s for _, s in sorted(spans + [(m.start(), f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]{24,}", t)])))] += 1
+    got = secret_scan.secret_scan(frame(spark, history), str(tmp_path / "ledger")).collect()
+    assert Counter((r.doc_id, r.spans) for r in got) == want
+
+
 def test_redaction(spark):
     df = secret_scan.redacted_documents(frame(spark, [(1, "a password = abcdef123 b", "s"), (2, None, "s"), (3, "clean", "s")]))
     assert [(r.text, r.n_chars) for r in df.orderBy("doc_id").collect()] == [("a [SECRET] b", 12), (None, None), ("clean", 5)]
 
 
+def test_redaction_of_odd_rows(spark, odd_rows):
+    docs = frame(spark, odd_rows + [(30, "token: abcdef token: abc secret=abcdefg", "a")])
+    got = secret_scan.redacted_documents(docs)
+    assert got.columns == docs.columns and secret_scan.redacted_documents(docs.limit(0)).isEmpty()
+    rules = [r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"]
+
+    def plain(t):
+        for rule in rules:
+            t = re.sub(rule, "[SECRET]", t) if t else t
+        return t
+
+    assert Counter((r.doc_id, r.text, r.source) for r in got.collect()) == Counter((r.doc_id, plain(r.text), r.source) for r in docs.collect())
+
+
 def test_quality_classifier(spark):
     df = quality_classifier.op6_quality_classifier(spark, "/root/testdata/sf0.01")
     labels = dict(duckdb.sql("SELECT doc_id, quality FROM '/root/testdata/sf0.01/labels.parquet'").fetchall())
