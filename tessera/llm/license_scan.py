@@ -6,70 +6,72 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessera.llm.common import lower_ascii, table, text_or_empty
+from tessera.llm.common import cut, lower_ascii, table, text_or_empty
+from tessera.llm.license_texts import SENTENCES, TEXTS
 
 #: What separates words, and the base phrases with their labels.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Sentences by which texts state a license, written out as words, with the label that the scan adds.
-TEMPLATES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "you may not use this file except in compliance with the license": "apache-2.0",
-    "this work is licensed under the gnu general public license version 3": "gpl-3.0",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "licensed under cc by nc 4 0": "cc-by-nc-4.0",
-    "licensed under cc by 4 0": "cc-by-4.0",
-    "licensed under cc by sa 4 0": "cc-by-sa-4.0",
-    "this work is licensed under a creative commons attribution": "cc-by",
-    "mozilla public license version 2 0": "mpl-2.0",
-}
-K = 2
+#: Words a gram: of phrases and sentences, and of whole license texts.
+SHORT, LONG = 2, 5
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), BREAK), lambda w: w != "")
 
 
-def template_grams(spark: SparkSession, phrases: dict[str, str], templates: dict[str, str]) -> DataFrame:
-    """(gram, template, place, label, size, base): a row for each k-gram of each template. Its size is that of the two fixed lists."""
-    rows = [(n, p, label, base) for base, part in ((True, phrases), (False, templates)) for n, (p, label) in enumerate(part.items(), 1000 * (not base))]
-    t = spark.createDataFrame(rows, "template int, phrase string, label string, base boolean").withColumn("_w", F.split("phrase", " "))
-    at = lambda i: F.get("_w", i)
-    return t.select("template", "label", "base", F.size("_w").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: F.xxhash64(at(i), at(i + 1)))).alias("place", "gram"))
+def _grams(words: Column, k: int) -> Column:
+    """The rolling k-grams of an array of words: place, hash, first and last word."""
+    at = lambda i: F.get(words, i)
+    gram = lambda i: F.struct(
+        i.alias("at"), F.lit(k).alias("k"), F.xxhash64(*[at(i + j) for j in range(k)]).alias("gram"), at(i).alias("w"), at(i + k - 1).alias("z")
+    )
+    none = F.array().cast("array<struct<at:int,k:int,gram:bigint,w:string,z:string>>")
+    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), gram)).otherwise(none)
+
 
+def template_grams(spark: SparkSession, phrases: dict[str, str], sentences: dict[str, str], texts: dict[str, str]) -> DataFrame:
+    """A row for each place of each template: its gram, k, first and last word, label, size, and base. Its size is that of the fixed lists."""
+    rows = [(True, SHORT, p, label) for p, label in phrases.items()] + [(False, SHORT, p, label) for p, label in sentences.items()] + [(False, LONG, p, label) for label, p in texts.items()]
+    t = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "template int, base boolean, k int, wording string, label string").withColumn("_w", words_of(F.col("wording")))
+    grams = F.when(F.col("k") == SHORT, _grams(F.col("_w"), SHORT)).otherwise(_grams(F.col("_w"), LONG))
+    return t.select("template", "label", "base", F.size("_w").alias("size"), F.explode(grams).alias("g")).select(
+        "template", "label", "base", "size", F.col("g.k").alias("k"), F.col("g.at").alias("place"), F.col("g.gram").alias("gram"), F.col("g.w").alias("_tw"), F.col("g.z").alias("_tz")
+    )
 
-def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, slip: int = 3, min_share: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def spans(
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences: dict[str, str] = SENTENCES, texts: dict[str, str] = TEXTS, slip: int = 3, min_share: float = 0.85, text_col: str = "text",
+) -> DataFrame:
     """The verified spans: _row, label, base, start, end (words, end exclusive), share (of the template's grams that voted).
 
-    A base phrase is found where every gram of it votes on one diagonal next to each other. A template is found where neighbouring
-    diagonals, at most `slip` apart, and starts within its length have votes from min_share of its places.
+    A gram votes where its hash and its first and last word are those of the template's place, so that the words of a run of votes are
+    compared one by one. A base phrase is found where all its grams vote on one diagonal. For a template, each diagonal is merged with
+    those at most `slip` words away (a twentieth of a longer template's words), so a span is at most that much longer than the template;
+    it counts where the merged votes have min_share of the places, at the strongest diagonal of its neighbourhood.
     """
-    w = docs.select(F.col("_row"), words_of(text_or_empty(text_col)).alias("_w"))
-    at = lambda i: F.get("_w", i)
-    grams = w.where(F.size("_w") >= K).select("_row", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: F.xxhash64(at(i), at(i + 1)))).alias("pos", "gram"))
-    t = template_grams(docs.sparkSession, phrases, templates)
-    votes = grams.join(F.broadcast(t), "gram").select("_row", "template", "label", "base", "size", "pos", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
+    w = docs.select("_row", words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
+    grams = w.select("_row", F.explode(F.concat(_grams(F.col("_w"), SHORT), _grams(F.col("_w"), LONG))).alias("g")).select("_row", "g.*")
+    t = template_grams(docs.sparkSession, phrases, sentences, texts)
+    votes = grams.join(F.broadcast(t), ["gram", "k"]).where((F.col("w") == F.col("_tw")) & (F.col("z") == F.col("_tz")))
     # Places are counted, not votes: rows that share a row key vote once each for the same span.
-    diagonals = votes.groupBy("_row", "template", "label", "base", "size", "diagonal").agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("place").alias("places")
-    )
-    exact = diagonals.where(F.col("base") & (F.size("places") == F.col("size") - (K - 1))).select("_row", "label", "base", F.col("lo").alias("start"), (F.col("hi") + K).alias("end"), F.lit(1.0).alias("share"))
-    by = Window.partitionBy("_row", "template").orderBy("diagonal")
-    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > slip).cast("int"), F.lit(1))
-    merged = diagonals.where(~F.col("base")).withColumn("_new", new).withColumn("_run", F.sum("_new").over(by))
-    found = merged.groupBy("_row", "template", "label", "base", "size", "_run").agg(
-        F.min("lo").alias("start"), (F.max("hi") + K).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("_n")
-    ).withColumn("share", F.col("_n") / (F.col("size") - (K - 1)))
-    found = found.where((F.col("share") >= min_share) & (F.col("end") - F.col("start") <= F.col("size") + 2 * slip))
-    return exact.unionByName(found.select(exact.columns))
-
-
-def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    diagonals = cut(votes.groupBy("_row", "template", "label", "base", "size", "k", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places")), "diagonals")
+    all_places = F.col("size") - (F.col("k") - 1)
+    exact = diagonals.where(F.col("base") & (F.size("places") == all_places))
+    exact = exact.select("_row", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("share"))
+    reach = F.greatest(F.lit(slip), F.floor(F.col("size") / 20)).cast("int")
+    most = max([slip, *(len(x.split()) // 20 for x in texts.values())])
+    near = Window.partitionBy("_row", "template").orderBy("diagonal").rangeBetween(-most, most)
+    own = F.struct(F.size("places").alias("n"), (-F.col("diagonal")).alias("d"), F.col("diagonal"), "places")
+    around = diagonals.where(~F.col("base")).withColumn("_list", F.collect_list(own).over(near)).withColumn("_near", F.filter("_list", lambda x: F.abs(x["diagonal"] - F.col("diagonal")) <= reach))
+    found = around.where(F.array_max("_near")["d"] == -F.col("diagonal"))
+    ends = F.flatten(F.transform("_near", lambda x: F.transform(x["places"], lambda p: p + x["diagonal"])))
+    found = found.withColumn("share", F.size(F.array_distinct(F.flatten(F.col("_near.places")))) / all_places).where(F.col("share") >= min_share)
+    found = found.select("_row", "label", "base", F.array_min(ends).alias("start"), (F.array_max(ends) + F.col("k")).alias("end"), "share")
+    return exact.unionByName(found)
+
+
+def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences: dict[str, str] = SENTENCES, texts: dict[str, str] = TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best span's share, else 0).
 
     Null and empty texts have no words, no labels ('') and score 0. Repeated rows are told apart by a row key, so each gets its own row;
@@ -78,7 +80,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # One row for each (id, text): repeated rows carry equal results, so their key may be shared.
     keyed = d.withColumn("_row", F.xxhash64("doc_id", "text"))
-    s = spans(keyed.select("_row", "text"), phrases, templates, text_col="text").distinct()
+    s = spans(keyed.select("_row", "text"), phrases, sentences, texts).distinct()
     base = F.col("base")
     per = s.groupBy("_row").agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
