@@ -13,7 +13,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = near_dedup.WORDS, percent: int = near_dedup.PERCENT) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near-duplicates stays: texts that share `percent` of their shingles of `words` words."""
     return near_dedup.deduplicated(docs, words=words, percent=percent)
 

@@ -10,10 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, hash_parts, small_batches, table, text_or_empty
+from tessera.llm.common import cut, hash_parts, salted_join, small_batches, table, text_or_empty
 from tessera.llm.components import components
 
 WORDS, PERCENT = 3, 85
@@ -159,101 +159,140 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _near(x: int, others: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, sketches: np.ndarray, percent: int, most_bits: int) -> list[int]:
-    """Those of `others` that are linked with x: by size, then by odd sketch, then on the full sets."""
-    small, large = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
-    others = others[100 * small >= percent * large]
-    differing = np.bitwise_count(sketches[others] ^ sketches[x]).sum(1)
-    return [int(o) for o in others[differing <= most_bits] if linked(sets[o], sets[x], percent)]
+class _Texts:
+    """Texts of a group with their sizes and sketches; a shingle set is made when a pair survives both filters."""
 
+    def __init__(self, g: pd.DataFrame, words: int, percent: int) -> None:
+        self.texts, self.words, self.percent, self.most_bits = g["text"].tolist() if "text" in g else None, words, percent, _bits_at(percent / 100)
+        self.sizes = g["n_shingles"].to_numpy(np.int64)
+        self.sketches = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), BITS // 64)
+        self.sets: dict[int, np.ndarray] = {}
 
-def _described(texts: pd.Series, words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    sets = shingle_sets(texts.tolist(), words)
-    return sets, np.array([len(s) for s in sets], np.int64), np.array([odd_sketch(samples(s)) for s in sets]).reshape(len(sets), BITS // 64)
+    def similar(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` that may be linked with x, by size and by the XOR of odd sketches."""
+        small, large = np.minimum(self.sizes[others], self.sizes[x]), np.maximum(self.sizes[others], self.sizes[x])
+        others = others[100 * small >= self.percent * large]
+        return others[np.bitwise_count(self.sketches[others] ^ self.sketches[x]).sum(1) <= self.most_bits]
+
+    def near(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` that are linked with x, on the full sets."""
+        similar = self.similar(x, others)
+        new = [k for k in [x, *similar.tolist()] if k not in self.sets]
+        if len(similar) and new:
+            self.sets.update(zip(new, shingle_sets([self.texts[k] for k in new], self.words)))
+        return np.array([o for o in similar.tolist() if linked(self.sets[o], self.sets[x], self.percent)], np.int64)
 
 
 def _describe(batches: Iterator[pd.DataFrame], words: int, rows: int) -> Iterator[pd.DataFrame]:
     for part in batches:
         sets = shingle_sets(part["text"].tolist(), words)
+        least = [samples(s) if len(s) else None for s in sets]
         yield pd.DataFrame({
             "doc_id": part["doc_id"].to_numpy(),
+            "text_key": part["text_key"].to_numpy(),
             "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
             "n_shingles": [len(s) for s in sets],
-            "bands": [band_keys(samples(s), rows) if len(s) else np.zeros(0, np.int64) for s in sets],
+            "bands": [band_keys(m, rows) if m is not None else np.zeros(0, np.int64) for m in least],
+            "sketch": [odd_sketch(m).tobytes() if m is not None else None for m in least],
         }).astype({"doc_id": "Int64"})
 
 
+def _spread(start: int, stop: int, root: np.ndarray, node: np.ndarray, find) -> None:
+    """Writes to root which of the rows from start to stop are connected: each reached row is compared with all that are not yet reached."""
+    left = np.arange(start, stop)
+    while len(left):
+        first, left = left[0], left[1:]
+        queue = [int(first)]
+        while queue and len(left):
+            got = find(queue.pop(), left)
+            root[got] = node[first]
+            queue += got.tolist()
+            left = left[~np.isin(left, got)] if len(got) else left
+
+
+def _groups(g: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
+    new = np.flatnonzero((g[by] != g[by].shift()).any(axis=1))
+    return list(zip(new, [*new[1:], len(g)]))
+
+
+def _sketch_groups(g: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
+    """Parts of candidate components that sketches connect, without texts; a row that no sketch connects is left out."""
+    g = g.sort_values(["comp", "node"], kind="stable").reset_index(drop=True)
+    t, node = _Texts(g, words, percent), g["node"].to_numpy()
+    root = node.copy()
+    for a, z in _groups(g, ["comp"]):
+        _spread(a, z, root, node, t.similar)
+    out = pd.DataFrame({"node": node, "comp": root})
+    return out[out.groupby("comp")["node"].transform("size") > 1]
+
+
 def _link_groups(g: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
-    """Within each (comp, block): which texts are connected, by a search that compares each text with all that are not yet reached."""
+    """Within each (comp, block): which texts are connected by links on the full sets."""
     g = g.sort_values(["comp", "block", "node"], kind="stable").reset_index(drop=True)
-    sets, sizes, sketches = _described(g["text"], words)
-    most_bits = _bits_at(percent / 100)
-    node, root = g["node"].to_numpy(), g["node"].to_numpy().copy()
-    new = np.flatnonzero((g["comp"].diff() != 0) | (g["block"].diff() != 0))
-    for a, z in zip(new, [*new[1:], len(g)]):
-        left = np.arange(a, z)
-        while len(left):
-            first, left = left[0], left[1:]
-            queue = [int(first)]
-            while queue and len(left):
-                got = _near(queue.pop(), left, sets, sizes, sketches, percent, most_bits)
-                root[got] = node[first]
-                queue += got
-                left = left[~np.isin(left, got)] if got else left
+    t, node = _Texts(g, words, percent), g["node"].to_numpy()
+    root = node.copy()
+    for a, z in _groups(g, ["comp", "block"]):
+        _spread(a, z, root, node, t.near)
+        t.sets.clear()
     return pd.DataFrame({"node": node, "root": root})
 
 
 def _link_across(g: pd.DataFrame, words: int, percent: int) -> pd.DataFrame:
-    """Links of the texts marked `out` with the block's texts under other labels, one for each label."""
+    """Links of the texts marked `out` with the block's texts under other labels."""
     g = g.reset_index(drop=True)
-    sets, sizes, sketches = _described(g["text"], words)
-    most_bits = _bits_at(percent / 100)
+    t = _Texts(g, words, percent)
     node, label, out, where = (g[c].to_numpy() for c in ("node", "label", "out", "where"))
     rows = []
     for w in np.unique(where):
         inside = np.flatnonzero(~out & (where == w))
         for x in np.flatnonzero(out & (where == w)):
-            for o in _near(int(x), inside[label[inside] != label[x]], sets, sizes, sketches, percent, most_bits):
-                rows.append((node[x], node[o]))
+            rows += [(node[x], node[o]) for o in t.near(int(x), inside[label[inside] != label[x]])]
     return pd.DataFrame(rows, columns=["node", "root"], dtype="int64")
 
 
-def _verified(texts: DataFrame, candidates: DataFrame, sizes: DataFrame, block_docs: int, block_shingles: int, words: int, percent: int) -> DataFrame:
+def _verified(texts: DataFrame, candidates: DataFrame, block_docs: int, block_shingles: int, words: int, percent: int) -> DataFrame:
     """(u, v) edges between texts that are linked, enough of them to connect what all links connect.
 
-    texts: node, text. candidates: node, comp. A component of over block_docs texts is dealt to blocks. Each block also gets the
-    component's first text, so tight groups connect through it; texts outside a component's largest part are then compared with
+    texts: node, text_key, text. candidates: comp, node, text_key, n_shingles, sketch. Components of at most block_docs texts are first
+    parted by sketches alone, and texts that no sketch connects go no further. A component of more is dealt to blocks. Each block also
+    gets the component's first text, so tight groups connect through it; texts outside a component's largest part are then compared with
     every other block.
     """
-    comp = candidates.join(sizes, "node").groupBy("comp").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
+    columns = ["comp", "node", "text_key", "n_shingles", "sketch"]
+    sized = candidates.groupBy("comp").agg(F.count("*").alias("_n"))
+    both = cut(salted_join(candidates, sized, ["comp"], 8, F.xxhash64("node")), "candidates-sized")
+    small = both.where(F.col("_n") <= block_docs).select(*columns)
+    bins = hash_parts(small.count(), 4 * block_docs)
+    light = small.select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), "comp", "node", "n_shingles", "sketch")
+    parted = light.groupBy("bin").applyInPandas(lambda g: _sketch_groups(g, words, percent), "node long, comp long").distinct()
+    candidates = cut(small.drop("comp").join(parted, "node").select(*columns).unionByName(both.where(F.col("_n") > block_docs).select(*columns)), "candidates-by-sketch")
+    comp = candidates.groupBy("comp").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
     comp = comp.select("comp", F.ceil(F.greatest(F.col("_n") / block_docs, F.col("_s") / block_shingles)).cast("int").alias("blocks"))
-    placed = candidates.join(comp, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    total = sizes.join(placed.select("node"), "node", "left_semi").agg(F.count("*"), F.sum("n_shingles")).first()
+    placed = cut(salted_join(candidates, comp, ["comp"], 8, F.xxhash64("node")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
+    total = placed.agg(F.count("*"), F.sum("n_shingles")).first()
     bins = max(hash_parts(total[0], block_docs // 2), hash_parts(total[1] or 0, block_shingles // 2))
     # The texts of candidates are shuffled out of all texts once; the table that holds them serves the second comparison too.
-    everywhere = F.when(F.col("node") == F.col("comp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    spread = placed.withColumn("home", F.col("block")).withColumn("block", F.explode(everywhere))
-    with_text = cut(texts.join(spread.select("node", "comp", "block", "home"), "node"), "candidate-texts")
-    batches = with_text.select(F.pmod(F.xxhash64("comp", "block"), F.lit(bins)).alias("bin"), "comp", "block", "node", "text")
+    with_text = cut(texts.join(placed, ["node", "text_key"]).dropDuplicates(["node", "text_key", "comp"]), "candidate-texts")
+    first = F.col("node") == F.col("comp")
+    everywhere = with_text.where(first).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    batches = with_text.where(~first).unionByName(everywhere).select(F.pmod(F.xxhash64("comp", "block"), F.lit(bins)).alias("bin"), "comp", "block", "node", "n_shingles", "sketch", "text")
     found = cut(batches.groupBy("bin").applyInPandas(lambda g: _link_groups(g, words, percent), "node long, root long"), "links").select(F.col("node").alias("u"), F.col("root").alias("v"))
     hot = placed.where(F.col("blocks") > 1)
     if hot.isEmpty():
         return found
     label = components(found)
-    labelled = hot.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "comp", "block", "blocks", "label")
+    labelled = cut(hot.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "comp", "block", "blocks", "label"), "labelled")
     parts = labelled.groupBy("comp", "label").agg(F.count("*").alias("n"))
     largest = parts.groupBy("comp").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
-    labelled = labelled.join(largest, "comp")
-    outside = labelled.where(F.col("label") != F.col("largest"))
+    outside = cut(salted_join(labelled, largest, ["comp"], 8, F.xxhash64("node")).where(F.col("label") != F.col("largest")), "outside")
     if outside.isEmpty():
         return found
     chunks = outside.groupBy("comp").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("chunks"))
-    here = labelled.join(chunks, "comp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("out", F.lit(False))
-    there = outside.join(chunks, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("out", F.lit(True))
-    columns = ["node", "label", "out", F.xxhash64("comp", "block", "chunk").alias("where")]
-    both = here.select(columns).unionByName(there.select(columns))
-    at_home = with_text.where(F.col("block") == F.col("home")).select("node", "text")
-    across = at_home.join(both, "node").groupBy("where").applyInPandas(lambda g: _link_across(g, words, percent), "node long, root long")
+    here = salted_join(labelled, chunks, ["comp"], 8, F.xxhash64("node")).withColumn("at", F.expr("transform(sequence(0, chunks - 1), c -> xxhash64(comp, block, c))")).withColumn("out", F.lit(False))
+    there = outside.join(chunks, "comp").withColumn("_c", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("at", F.expr("transform(sequence(0, blocks - 1), b -> xxhash64(comp, b, _c))")).withColumn("out", F.lit(True))
+    columns = ["node", "label", "out", "at"]
+    moved = with_text.select("node", "n_shingles", "sketch", "text").join(here.select(*columns).unionByName(there.select(*columns)), "node").withColumn("where", F.explode("at")).drop("at")
+    across = moved.groupBy("where").applyInPandas(lambda g: _link_across(g, words, percent), "node long, root long")
     return found.unionByName(cut(across, "links").select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
@@ -265,23 +304,24 @@ def near_dedup(
 
     Shingles have `words` words; two texts are linked when 100 * intersection >= percent * union of their shingle sets.
     Texts with equal shingle sets are one class, whose smallest doc_id stands for it; classes that share a band of samples are
-    candidates, and candidates are confirmed on the full sets. Null and empty texts have no shingles and are linked with nothing. Rows
+    candidates, the XOR of odd sketches verifies them, and links are confirmed on the full sets. Null and empty texts have no shingles and are linked with nothing. Rows
     that share a doc_id are one document for the links. A row with a null doc_id is linked with nothing, has a null component_id and is
     kept. Ties do not occur, as ids order all. Empty tables give empty results. Other columns are neither read nor returned.
     """
     per_band = band_rows(percent)
-    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = cut(own.mapInPandas(lambda batches: _describe(batches, words, per_band), "doc_id long, digest binary, n_shingles long, bands array<long>"), "minhash")
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = cut(own.mapInPandas(lambda batches: _describe(batches, words, per_band), "doc_id long, text_key long, digest binary, n_shingles long, bands array<long>, sketch binary"), "minhash")
     usable = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "classes")
+    classes = usable.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "text_key")).alias("_r"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
+    classes = cut(classes.select("digest", "_r.*", "n_shingles", "bands", "sketch"), "classes")
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("_last")).where(F.col("v") < F.col("_last")).drop("_last")
     stars = banded.join(buckets, "band").where(F.col("node") > F.col("v")).select(F.col("node").alias("u"), "v").distinct()
     near = components(stars)
-    candidates = cut(near.select("node", F.col("root").alias("comp")).unionByName(near.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()), "candidates")
-    sizes = classes.select("node", "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    texts = own.withColumnRenamed("doc_id", "node")
-    root = components(_verified(texts, candidates, sizes, block_docs, block_shingles, words, percent))
+    comps = cut(near.select("node", F.col("root").alias("comp")).unionByName(near.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()), "candidates")
+    # A document whose rows hold several texts has several classes, which stay together.
+    candidates = classes.select("node", "text_key", "n_shingles", "sketch").join(comps, "node")
+    root = components(_verified(own.withColumnRenamed("doc_id", "node"), candidates, block_docs, block_shingles, words, percent))
     by_class = classes.select("digest", "node").join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     # The rows of a much copied class are narrow and on the side that adaptive execution splits.
     out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left").drop("digest")
@@ -290,10 +330,19 @@ def near_dedup(
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that near_dedup keeps, one for each doc_id, with docs' columns; rows with a null id stay."""
-    ids = near_dedup(docs, id_col, text_col, words=words, percent=percent).where(F.col("doc_id").isNotNull() & F.col("kept")).select("doc_id")
-    stay = docs.where(F.col(id_col).isNotNull()).join(ids.withColumnRenamed("doc_id", "_kept_id").distinct(), F.col(id_col) == F.col("_kept_id"), "left_semi")
-    return stay.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs whose document near_dedup keeps, with docs' columns, whatever their names.
+
+    Of rows with one id and one text the first by the other columns stays; rows with one id and unlike texts stay. Rows with a null id
+    stay, as do null and empty texts, which are linked with nothing. An empty table gives an empty result.
+    """
+    ids = near_dedup(docs, id_col, text_col, words=words, percent=percent).where(F.col("doc_id").isNotNull() & F.col("kept")).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    ids = cut(ids, "kept-ids")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    stay = row.join(ids, "doc_id")
+    several = stay.where(F.col("rows") > 1)
+    others = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col) and f.dataType.typeName() not in ("map", "variant")]
+    one = several.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", F.col(f"row.`{text_col}`")).orderBy(*others, F.lit(0)))).where(F.col("_k") == 1)
+    return stay.where(F.col("rows") == 1).select("row").unionByName(one.select("row")).unionByName(row.where(F.col("doc_id").isNull()).select("row")).select("row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

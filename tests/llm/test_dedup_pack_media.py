@@ -15,17 +15,17 @@ from tessera.llm import components, dom, gif_media, html_extraction, near_dedup,
 from tessera.llm.example_pages import example_pages
 
 
-def shingles(text):
+def shingles(text, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)]) if w else frozenset()
 
 
-def brute_components(rows):
+def brute_components(rows, n=3, percent=85):
     sets, root, seen = defaultdict(list), {}, defaultdict(list)
     for i, t, _ in rows:
         if i is not None:
             root[i] = i
-            sets[i].append(shingles(t))
+            sets[i].append(shingles(t, n))
 
     def find(x):
         while root[x] != x:
@@ -34,8 +34,8 @@ def brute_components(rows):
 
     for i in sorted(sets):
         for s in sets[i]:
-            for j, n in Counter(j for g in s for j in seen[g]).items():
-                union = max((100 * len(s & o) >= 85 * len(s | o) for o in sets[j]), default=False)
+            for j in {j for g in s for j in seen[g]}:
+                union = max((100 * len(s & o) >= percent * len(s | o) for o in sets[j]), default=False)
                 if union:
                     a, b = sorted((find(i), find(j)))
                     root[b] = a
@@ -240,9 +240,7 @@ def test_pipeline(spark):
         if k < 2:
             assert docs.join(before, "doc_id", "left_anti").isEmpty() and 0 < docs.count() <= before.count()
         if k == 1:
-            left = [(r.doc_id, r.text, None) for r in docs.collect()]
-            assert all(i == c for i, c in brute_components(left).items())
-            assert {r.doc_id for r in docs.collect()} == set(brute_components([(r.doc_id, r.text, None) for r in before.collect()]).values())
+            assert {r.doc_id for r in docs.collect()} == set(brute_components([(r.doc_id, r.text, None) for r in before.collect()], 5, 80).values())
         if k == 2:
             assert docs.count() == before.count()
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
