@@ -57,7 +57,7 @@ def normalised(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """A row for each distinct normalised line with a word of each row: doc_id, host, line (its hash), line_words (in all its copies there)."""
+    """A row for each line with a word: doc_id, host, line (the hash of its normal form), line_words."""
     lines = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
@@ -66,13 +66,11 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     return lines.select("doc_id", "host", F.xxhash64(normalised(F.col("_l"))).alias("line"), F.size(_words(F.col("_l"))).cast("long").alias("line_words"))
 
 
-def frequent_lines(lines: DataFrame, max_docs: int, host_docs: DataFrame | None = None, max_share: float = 0.0) -> DataFrame:
-    """(host, line) of lines in over max_docs distinct documents of the host. Two steps, so that no key's rows meet before they are counted.
-
-    With host_docs (host, host_docs), a line must also be in over max_share of the host's documents; max_docs is then the floor.
-    """
+def frequent_lines(lines: DataFrame, max_docs: int, host_docs: DataFrame, max_share: float) -> DataFrame:
+    """(host, line) of lines in over max_docs and over max_share of the host's distinct documents, which host_docs (host, host_docs) counts.
+    Two steps, so that no key's rows meet before they are counted."""
     often = lines.select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    return often if host_docs is None else often.join(host_docs, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).drop("host_docs")
+    return often.join(host_docs, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).drop("host_docs")
 
 
 def documents_per_host(docs: DataFrame, id_col: str, host_col: str) -> DataFrame:
@@ -83,14 +81,13 @@ def documents_per_host(docs: DataFrame, id_col: str, host_col: str) -> DataFrame
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    max_docs: int = 100, min_left: float = 0.5, salts: int = 64, max_share: float | None = None,
+    max_docs: int = 5, min_left: float = 0.5, salts: int = 64, max_share: float = 0.005,
 ) -> DataFrame:
     """Base counts and the verdict of the cross-document line rule.
 
-    Lines are normalised and hashed; a line that over max_docs distinct documents of one host hold is removed, and a document that keeps
-    under min_left of its words is depleted. With max_share, such a line must also be in over that share of the host's distinct documents,
-    so that with a small max_docs as floor the verdict does not depend on the size of the table. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    base_failed, n_line_words_removed (long), kept.
+    Lines are normalised and hashed. A line is removed where over max_share of the host's distinct documents hold it, and over max_docs of
+    them, the floor for small hosts; a document that keeps under min_left of its words is depleted. Returns doc_id, n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words (long), base_failed, n_line_words_removed (long), kept.
 
     A null text is empty: no words, so base_failed. A null host is a host of its own (""). Null ids are kept and treated as one
     document in the line counts. Repeated rows each get a row; they count as one document, since ids are counted once. Empty tables
@@ -98,8 +95,7 @@ def quality_rules(
     """
     base = base_counts(docs, id_col, text_col)
     lines = line_rows(docs, id_col, text_col, host_col)
-    host_docs = None if max_share is None else documents_per_host(docs, id_col, host_col)
-    often = frequent_lines(lines, max_docs, host_docs, max_share or 0.0).select("host", "line", F.lit(True).alias("_often"))
+    often = frequent_lines(lines, max_docs, documents_per_host(docs, id_col, host_col), max_share).select("host", "line", F.lit(True).alias("_often"))
     left = salted_join(lines, often, ["host", "line"], salts, F.xxhash64("doc_id"), "left")
     removed = left.groupBy(F.col("doc_id").alias("_id")).agg(
         F.sum("line_words").alias("_all"), F.sum(F.when(F.col("_often"), F.col("line_words")).otherwise(0)).alias("_lost")
@@ -112,6 +108,24 @@ def quality_rules(
     )
 
 
+def without_frequent_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 5, max_share: float = 0.005, salts: int = 64,
+) -> DataFrame:
+    """docs with the lines that quality_rules counts as frequent taken out of its texts; other lines keep their place and their form.
+
+    No row goes: null and empty texts, null ids and repeated rows stay. A null host is a host of its own. An empty table gives an empty
+    result. Columns of any other name pass through.
+    """
+    lines = line_rows(docs, id_col, text_col, host_col)
+    often = frequent_lines(lines, max_docs, documents_per_host(docs, id_col, host_col), max_share).select("host", "line")
+    hit = salted_join(lines, often, ["host", "line"], salts, F.xxhash64("doc_id")).groupBy("doc_id", "host").agg(F.collect_set("line").alias("gone"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"))
+    both = row.join(hit, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_host") == F.col("host")), "left")
+    text = F.col(f"row.`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normalised(x)))), "\n")
+    return both.select(*[F.when(F.col("gone").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -128,7 +142,8 @@ good AS (SELECT doc_id, host, l,
   len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) lw
   FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) n FROM good GROUP BY doc_id),
-freq AS (SELECT host, norm FROM good GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 100),
+hd AS (SELECT host, count(DISTINCT doc_id) h FROM t GROUP BY 1),
+freq AS (SELECT host, norm FROM good JOIN hd USING (host) GROUP BY host, norm, h HAVING count(DISTINCT doc_id) > 5 AND count(DISTINCT doc_id) > 0.005::DOUBLE * h),
 lost AS (SELECT g.doc_id, sum(lw) allw, coalesce(sum(lw) FILTER (WHERE f.norm IS NOT NULL), 0) lostw FROM good g LEFT JOIN freq f ON g.host = f.host AND g.norm = f.norm GROUP BY 1),
 b AS (SELECT w.doc_id, len(ws)::BIGINT n_words, length(regexp_replace(txt, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT word_chars,
   (length(txt) - length(regexp_replace(txt, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols,
