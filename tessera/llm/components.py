@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, salted_join
+from tessera.llm.common import cut, discard, salted_join
 
 SALTS = 8
 
@@ -36,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*").alias("n"), F.count_distinct("u").alias("k")).first()
         if state["n"] == 0 or (state["n"] == state["k"] and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now = cut(_small_star(_large_star(now)), "edges")
+        before, now = now, cut(_small_star(_large_star(now)), "edges")
+        discard(before)

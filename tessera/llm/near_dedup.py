@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, hash_parts, salted_join, small_batches, table, text_or_empty
+from tessera.llm.common import cut, discard, hash_parts, salted_join, small_batches, table, text_or_empty
 from tessera.llm.components import components
 
 WORDS, PERCENT = 3, 85
@@ -266,9 +266,11 @@ def _verified(texts: DataFrame, candidates: DataFrame, block_docs: int, block_sh
     light = small.select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("bin"), "comp", "node", "n_shingles", "sketch")
     parted = light.groupBy("bin").applyInPandas(lambda g: _sketch_groups(g, words, percent), "node long, comp long").distinct()
     candidates = cut(small.drop("comp").join(parted, "node").select(*columns).unionByName(both.where(F.col("_n") > block_docs).select(*columns)), "candidates-by-sketch")
+    discard(both)
     comp = candidates.groupBy("comp").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
     comp = comp.select("comp", F.ceil(F.greatest(F.col("_n") / block_docs, F.col("_s") / block_shingles)).cast("int").alias("blocks"))
     placed = cut(salted_join(candidates, comp, ["comp"], 8, F.xxhash64("node")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
+    discard(candidates)
     total = placed.agg(F.count("*"), F.sum("n_shingles")).first()
     bins = max(hash_parts(total[0], block_docs // 2), hash_parts(total[1] or 0, block_shingles // 2))
     # The texts of candidates are shuffled out of all texts once; the table that holds them serves the second comparison too.
@@ -279,6 +281,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, block_docs: int, block_sh
     found = cut(batches.groupBy("bin").applyInPandas(lambda g: _link_groups(g, words, percent), "node long, root long"), "links").select(F.col("node").alias("u"), F.col("root").alias("v"))
     hot = placed.where(F.col("blocks") > 1)
     if hot.isEmpty():
+        discard(with_text, placed)
         return found
     label = components(found)
     labelled = cut(hot.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "comp", "block", "blocks", "label"), "labelled")
@@ -286,6 +289,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, block_docs: int, block_sh
     largest = parts.groupBy("comp").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
     outside = cut(salted_join(labelled, largest, ["comp"], 8, F.xxhash64("node")).where(F.col("label") != F.col("largest")), "outside")
     if outside.isEmpty():
+        discard(with_text, placed, labelled, outside)
         return found
     chunks = outside.groupBy("comp").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("chunks"))
     here = salted_join(labelled, chunks, ["comp"], 8, F.xxhash64("node")).withColumn("at", F.expr("transform(sequence(0, chunks - 1), c -> xxhash64(comp, block, c))")).withColumn("out", F.lit(False))
@@ -293,7 +297,9 @@ def _verified(texts: DataFrame, candidates: DataFrame, block_docs: int, block_sh
     columns = ["node", "label", "out", "at"]
     moved = with_text.select("node", "n_shingles", "sketch", "text").join(here.select(*columns).unionByName(there.select(*columns)), "node").withColumn("where", F.explode("at")).drop("at")
     across = moved.groupBy("where").applyInPandas(lambda g: _link_across(g, words, percent), "node long, root long")
-    return found.unionByName(cut(across, "links").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    more = cut(across, "links").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    discard(with_text, placed, labelled, outside)
+    return found.unionByName(more)
 
 
 def near_dedup(
@@ -310,14 +316,18 @@ def near_dedup(
     """
     per_band = band_rows(percent)
     own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    rows = cut(own.mapInPandas(lambda batches: _describe(batches, words, per_band), "doc_id long, text_key long, digest binary, n_shingles long, bands array<long>, sketch binary"), "minhash")
-    usable = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    described = cut(own.mapInPandas(lambda batches: _describe(batches, words, per_band), "doc_id long, text_key long, digest binary, n_shingles long, bands array<long>, sketch binary"), "minhash")
+    rows = cut(described.select("doc_id", "text_key", "digest", "n_shingles"), "digests")
+    usable = described.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = usable.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "text_key")).alias("_r"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
-    classes = cut(classes.select("digest", "_r.*", "n_shingles", "bands", "sketch"), "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
+    banded_classes = cut(classes.select("digest", "_r.*", "n_shingles", "bands", "sketch"), "banded-classes")
+    discard(described)
+    classes = cut(banded_classes.drop("bands"), "classes")
+    banded = banded_classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("_last")).where(F.col("v") < F.col("_last")).drop("_last")
     stars = banded.join(buckets, "band").where(F.col("node") > F.col("v")).select(F.col("node").alias("u"), "v").distinct()
     near = components(stars)
+    discard(banded_classes)
     comps = cut(near.select("node", F.col("root").alias("comp")).unionByName(near.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct()), "candidates")
     # A document whose rows hold several texts has several classes, which stay together.
     candidates = classes.select("node", "text_key", "n_shingles", "sketch").join(comps, "node")

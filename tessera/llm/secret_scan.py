@@ -148,7 +148,7 @@ def redacted_documents(docs: DataFrame, ledger_path: str | None = None, id_col:
 
     found = scanned(docs, ledger_path, text_col)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), address(text_col).alias("blob"))
-    both = cut(row.join(found, "blob", "left").select("row", "spans"), "documents-with-spans")
+    both = row.join(found, "blob", "left").select("row", "spans")  # its shuffles serve both parts of the union
     changed = both.where(F.col("spans").isNotNull()).withColumn("new", replace(F.col(f"row.`{text_col}`"), F.col("spans")))
     fields = {c: F.col(f"row.`{c}`") for c in docs.columns}
     new = fields | {text_col: F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})

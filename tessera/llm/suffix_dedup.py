@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, hash_parts, small_batches, table, text_or_empty
+from tessera.llm.common import cut, discard, hash_parts, small_batches, table, text_or_empty
 from tessera.llm.near_dedup import _powers, mix
 
 LENGTH, GRAM = 400, 100
@@ -162,6 +162,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     )
     # Repeated rows give their segments twice. Those are marked above already, unless the first one is to stay.
     pieces = cut(cutting.dropDuplicates(["_row", "first"]) if keep_first else cutting, "contested")
+    discard(seg, each)
     total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
     bins = F.pmod(F.xxhash64("gram"), F.lit(hash_parts(total, batch_bytes))).alias("bin")
     few = pieces.where(F.col("k") <= most).select(bins, "_row", "_doc", "first", "bytes")
