@@ -133,7 +133,7 @@ class Canonical:
         path, group, name = F.col("slide_path"), F.col("stain_group"), F.col("stain_name")
         hne, ihc, on = X.hne_by_substring(group, name), X.ihc_by_substring(group), X.servable(path)
         flag = lambda c: F.max(F.when(c, 1).otherwise(0))
-        count = lambda c: F.count_distinct(F.when(c, F.col("image_id")))
+        count = F.count_if  # the associations are one for each (patient, image), so rows are images
         return self.associations.where(F.col("sample_id").isNotNull()).groupBy("sample_id", "patient_id").agg(
             F.max("association_version").alias("association_version"), count(on & (hne | ihc)).alias("servable_slide_count"),
             count(~on & hne).alias("non_servable_hne_slide_count"), count(~on & ihc).alias("non_servable_ihc_slide_count"),

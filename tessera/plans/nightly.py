@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.canonical import Canonical
-from tessera.sources.files import publish
+from tessera.sources.files import publish, read_published
 from tessera.sources.roles import Roles
 
 
@@ -13,6 +13,6 @@ def refresh(spark: SparkSession, folder: str, out: str) -> tuple[DataFrame, Data
     """Publishes out/associations and, from the published rows, out/summary. A failure leaves the tables of the night before."""
     c = Canonical(Roles(spark, folder))
     publish(c.associations, f"{out}/associations")
-    c.__dict__["associations"] = spark.read.parquet(f"{out}/associations")
+    c.__dict__["associations"] = read_published(spark, f"{out}/associations")
     publish(c.summary, f"{out}/summary")
-    return c.associations, spark.read.parquet(f"{out}/summary")
+    return c.associations, read_published(spark, f"{out}/summary")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
-from tessera.plans import geometry, operations, requests, serving
+from tessera.plans import geometry, operations, requests, serving, snapshot_load
 from tessera.plans.canonical import Canonical
 from tessera.plans.release import Release
 from tessera.plans.sql import ORACLES
@@ -41,7 +41,7 @@ def _stains(c: Canonical) -> DataFrame:
 
 def _membership(c: Canonical) -> DataFrame:
     key = F.col("c_custkey").cast("string")
-    wanted = c.roles.table("customer").select(F.lit("study_0").alias("study_id"), F.lit("patient").alias("resource_type"), F.concat(F.lit("P-"), F.lpad(key, 7, "0")).alias("resource_id"))
+    wanted = c.roles.table("customer").select(F.concat(F.lit("study_"), (F.col("c_custkey") % 3).cast("string")).alias("study_id"), F.lit("patient").alias("resource_type"), F.concat(F.lit("P-"), F.lpad(key, 7, "0")).alias("resource_id"))
     return serving.index_membership(serving.resources(c), wanted)
 
 
@@ -82,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "slide_suggestions": _canonical(lambda c: serving.suggestions(serving.search_slides(c, "12"), "slide")),
     "search_routing": _roles(requests.search_routing),
     "slide_metadata": _canonical(requests.slide_metadata),
-    "slide_bindings": _canonical(requests.bindings_of_first_study),
+    "slide_bindings": _canonical(requests.bindings_of_all_studies),
     "preferred_associations": _canonical(requests.preferred_associations),
     "resource_index": _canonical(serving.resources),
     "index_suggestions": _canonical(lambda c: serving.index_suggestions(serving.resources(c), "study_1", "slide", "1")),
@@ -106,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "release_placement": _canonical(lambda c: Release(c).placements()),
     "release_patient": _canonical(lambda c: Release(c).patients()),
     "release_violations": _canonical(lambda c: Release(c).violations()),
+    **{f"loaded_{t}": _canonical(lambda c, t=t: snapshot_load.loaded(c, t)) for t in ("part", "block", "slide", "placement", "patient")},
+    "load_violations": _canonical(snapshot_load.load_violations),
     "timeline_events": _canonical(lambda c: timeline(c.associations)),
     "stain_classifier_matrix": _canonical(_stains),
     "block_field_derivation": _canonical(_derivation),

@@ -39,7 +39,7 @@ class Release:
         return self._table(["study", "image_id"], ["image_id", "stain_name", "stain_group", "is_hne", "is_ihc", "magnification", "file_size_bytes", "can_serve_tiles"])
 
     def placements(self) -> DataFrame:
-        return self._table(["study", "patient", "image_id"], ["image_id", F.col("patient").alias("patient_internal_id"), F.col("sample").alias("sample_internal_id"), "part_key", "block_key", "match_level", "specimen_key", "procedure_date_days", "timepoint_source"])
+        return self.rows.select(F.col("study").alias("cancer_study_id"), F.lit(RELEASE).alias("release_id"), "image_id", F.col("patient").alias("patient_internal_id"), F.col("sample").alias("sample_internal_id"), "part_key", "block_key", "match_level", "specimen_key", "procedure_date_days", "timepoint_source")  # one row for each (patient, image) already
 
     def patients(self) -> DataFrame:
         return self.rows.groupBy(F.col("study").alias("cancer_study_id"), F.col("patient").alias("patient_internal_id")).agg(F.max("reference").alias("reference_sample_internal_id")).withColumn("release_id", F.lit(RELEASE))

@@ -36,8 +36,9 @@ def slide_bindings(index: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("study_id", "image_id").distinct().join(bound, ["study_id", "image_id"])
 
 
-def bindings_of_first_study(c: Canonical) -> DataFrame:
-    return slide_bindings(serving.resources(c), c.paths.select(F.lit("study_0").alias("study_id"), "image_id"))
+def bindings_of_all_studies(c: Canonical) -> DataFrame:
+    studies = F.explode(F.array(*[F.lit(f"study_{k}") for k in range(3)])).alias("study_id")
+    return slide_bindings(serving.resources(c), c.paths.select(studies, "image_id"))
 
 
 def candidate_slices(c: Canonical, tasks: int = 7) -> DataFrame:

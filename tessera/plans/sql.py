@@ -95,11 +95,15 @@ tn AS (
 
 
 def over(select: str) -> str:
-    return f"WITH {CHAIN}\n{select}"
+    return f"WITH {CHAIN.rstrip()}\n{select.lstrip()}"
 
 
 _MATCH = ", ".join("match_level patient_id sample_id image_id part_key part_number part_type part_description path_dx_title block_key block_number block_label stain_name stain_group magnification file_size_bytes procedure_date slide_path".split())
 
+LOAD = """
+, snap AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY image_id DESC) pos, 'study_' || (patient % 3) sid FROM rel),
+sp AS (SELECT *, min(pos) OVER (PARTITION BY patient_id, sample_id) first_pos FROM snap)"""
+
 ORACLES = {
     "best_path_per_image": over("SELECT * FROM best"),
     "sample_sequencing_date": over("SELECT * FROM seqs"),
@@ -138,7 +142,7 @@ LEFT JOIN (SELECT m.patient_id, count(DISTINCT image_id) FILTER (WHERE starts_wi
 SELECT DISTINCT text, CASE WHEN regexp_matches(trim(text), '(?i)^P-[0-9].*-T') THEN 'sample' WHEN lower(trim(text)) LIKE 'p-%' THEN 'patient' WHEN regexp_matches(trim(text), '^[0-9]') THEN 'slide' END kind
 FROM (SELECT unnest(['P-' || lpad(c_custkey::VARCHAR, 7, '0'), 'p-' || lpad(c_custkey::VARCHAR, 7, '0') || '-t1', ' ' || c_custkey || ' ', c_name, 'P-']) AS text FROM customer)""",
     "slide_metadata": over("SELECT image_id, stain_name, stain_group, magnification, file_size_bytes FROM can QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY patient_id) = 1"),
-    "slide_bindings": over("SELECT study_id, resource_id image_id, patient_id, source_path FROM idx WHERE study_id = 'study_0' AND resource_type = 'slide' AND resource_id IN (SELECT image_id FROM best)"),
+    "slide_bindings": over("SELECT study_id, resource_id image_id, patient_id, source_path FROM idx WHERE resource_type = 'slide' AND resource_id IN (SELECT image_id FROM best)"),
     "preferred_associations": over(f"""
 SELECT {_MATCH} FROM (SELECT {_MATCH} FROM bm UNION ALL SELECT {_MATCH} FROM pm UNION ALL SELECT {_MATCH} FROM um) QUALIFY row_number() OVER (PARTITION BY trim(patient_id), trim(image_id) ORDER BY
   CASE WHEN starts_with(slide_path, 's3://primary/') THEN 0 WHEN starts_with(slide_path, 's3://') THEN 1 ELSE 2 END, list_position(['BLOCK', 'PART', 'UNMATCHED'], match_level), sample_id IS NULL, coalesce(sample_id, '~~~~~~~~'),
@@ -164,7 +168,7 @@ SELECT o_orderkey token_id, CASE WHEN o_orderkey % 41 = 0 THEN 'algorithm' WHEN
 FROM (SELECT *, epoch(o_orderdate)::BIGINT AS day FROM orders)""",
     "resource_index": over("SELECT * FROM idx"),
     "index_suggestions": over("SELECT DISTINCT resource_id FROM idx WHERE study_id = 'study_1' AND resource_type = 'slide' AND starts_with(lower(resource_id), '1') ORDER BY lower(resource_id), resource_id LIMIT 8"),
-    "index_membership": over("SELECT 'study_0' study_id, 'patient' resource_type, p.patient_id resource_id FROM (SELECT 'P-' || lpad(c_custkey::VARCHAR, 7, '0') patient_id FROM customer) p WHERE EXISTS (SELECT 1 FROM idx WHERE study_id = 'study_0' AND resource_type = 'patient' AND resource_id = p.patient_id)"),
+    "index_membership": over("SELECT p.study_id, 'patient' resource_type, p.patient_id resource_id FROM (SELECT 'study_' || c_custkey % 3 study_id, 'P-' || lpad(c_custkey::VARCHAR, 7, '0') patient_id FROM customer) p WHERE EXISTS (SELECT 1 FROM idx WHERE idx.study_id = p.study_id AND resource_type = 'patient' AND resource_id = p.patient_id)"),
     "index_merge": over("SELECT study_id, resource_type, resource_id, patient_id, source_path FROM idx WHERE study_id <> 'study_1' UNION ALL SELECT study_id, resource_type, resource_id, patient_id, source_path FROM idx WHERE study_id = 'study_1' AND resource_type = 'slide'"),
     "registry_best": over("SELECT * FROM reg1"),
     "thumbnail_candidates": over("SELECT * FROM cand"),
@@ -183,6 +187,28 @@ SELECT unnest(['no_image', 'bad_part_key', 'bad_block_key', 'bad_level', 'no_spe
     count_if(can_serve_tiles AND NOT coalesce(starts_with(slide_path, 's3://'), false)), count_if(match_level = 'UNMATCHED' AND sample IS NOT NULL), count_if(match_level <> 'UNMATCHED' AND sample IS NULL),
     (SELECT count(*) FROM (SELECT patient FROM rel GROUP BY 1 HAVING count(DISTINCT reference) > 1)), (SELECT count(*) FROM (SELECT study, image_id FROM rel GROUP BY 1, 2 HAVING count(DISTINCT patient) > 1)),
     (SELECT count(DISTINCT patient) FROM rel WHERE patient NOT IN (SELECT c_custkey FROM customer)), (SELECT count(DISTINCT sample) FROM rel WHERE sample NOT IN (SELECT o_orderkey FROM orders))])::BIGINT n FROM rel"""),
+    "loaded_part": over(LOAD + " SELECT study::BIGINT cancer_study_id, patient + 1000000 patient_internal_id, part_key, part_number, part_designator, part_type, part_description, subspecialty, path_dx_title FROM sp QUALIFY row_number() OVER (PARTITION BY patient_id, part_key ORDER BY first_pos, pos) = 1"),
+    "loaded_block": over(LOAD + " SELECT study::BIGINT cancer_study_id, patient + 1000000 patient_internal_id, part_key, block_key, block_number, block_label FROM sp QUALIFY row_number() OVER (PARTITION BY patient_id, part_key, block_key ORDER BY first_pos, pos) = 1"),
+    "loaded_slide": over(LOAD + " SELECT study::BIGINT cancer_study_id, patient + 1000000 patient_internal_id, image_id, stain_name, stain_group, is_hne, is_ihc, magnification, file_size_bytes, can_serve_tiles, barcode, slide_type FROM sp"),
+    "loaded_placement": over(LOAD + " SELECT study::BIGINT cancer_study_id, patient + 1000000 patient_internal_id, image_id, part_key, block_key, sample + 5000000 sample_internal_id, match_level, specimen_key, procedure_date_days, timepoint_source FROM sp"),
+    "loaded_patient": over(LOAD + " SELECT study::BIGINT cancer_study_id, patient + 1000000 patient_internal_id, max(reference) + 5000000 reference_sample_internal_id FROM sp GROUP BY 1, 2"),
+    "load_violations": over(LOAD + r"""
+, wanted_s AS (SELECT patient, sample FROM sp WHERE sample IS NOT NULL UNION SELECT patient, reference FROM sp WHERE reference IS NOT NULL),
+dup AS (SELECT count(*) k FROM sp GROUP BY patient_id, image_id)
+SELECT unnest(['no_image', 'bad_part_key', 'bad_block_key', 'bad_level', 'no_specimen', 'bad_boolean', 'servable_without_path', 'unmatched_with_sample', 'matched_without_sample', 'duplicate_association', 'conflicting_slide', 'conflicting_placement',
+  'association_of_other_sample', 'conflicting_binding', 'several_references', 'unknown_patient', 'unknown_sample', 'ambiguous_sample']) AS "rule",
+ unnest([count_if(image_id IS NULL), count_if(coalesce(trim(part_key), '') = '' OR contains(part_key, '?')), count_if(coalesce(trim(block_key), '') = '' OR contains(block_key, '?')), count_if(match_level NOT IN ('BLOCK', 'PART', 'UNMATCHED')), count_if(coalesce(trim(specimen_key), '') = ''),
+  count_if(can_serve_tiles IS NULL), count_if(can_serve_tiles AND NOT coalesce(starts_with(slide_path, 's3://'), false)), count_if(match_level = 'UNMATCHED' AND sample_id IS NOT NULL), count_if(match_level <> 'UNMATCHED' AND sample_id IS NULL),
+  (SELECT count_if(k > 1) FROM dup), 0, 0, 0, (SELECT count(*) FROM (SELECT 1 FROM sp GROUP BY sid, image_id HAVING count(DISTINCT patient_id || coalesce(slide_path, '')) > 1)),
+  (SELECT count(*) FROM (SELECT 1 FROM sp GROUP BY patient_id HAVING count(DISTINCT reference) > 1)), (SELECT count(DISTINCT patient) FROM sp WHERE patient NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 29 <> 0)),
+  (SELECT count(*) FROM wanted_s WHERE (patient, sample) NOT IN (SELECT (o_custkey, o_orderkey) FROM orders WHERE o_orderkey % 31 <> 0)),
+  (SELECT count(*) FROM wanted_s WHERE (patient, sample) IN (SELECT (o_custkey, o_orderkey) FROM orders WHERE o_orderkey % 31 <> 0 AND (o_orderkey + 5000000) % 37 = 0))])::BIGINT n FROM sp"""),
+    "rate_limit_admissions": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) rn FROM events),
+r AS (SELECT event_id, user_id, rn, true admitted, [t] log FROM e WHERE rn = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.rn, len(list_filter(r.log, lambda x: x > e.t - 60000000)) < 2,
+    CASE WHEN len(list_filter(r.log, lambda x: x > e.t - 60000000)) < 2 THEN list_append(list_filter(r.log, lambda x: x > e.t - 60000000), e.t) ELSE list_filter(r.log, lambda x: x > e.t - 60000000) END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT event_id, user_id, admitted FROM r""",
     "timeline_events": over(r"""
 , ev0 AS (SELECT *, CASE WHEN is_ihc THEN 'IHC' WHEN is_hne THEN 'H&E' END subtype, coalesce(nullif(trim(block_number), ''), coalesce(nullif(regexp_extract(trim(block_label), '^(\d+)', 1), ''), trim(coalesce(block_label, '')))) bl,
   if(coalesce(trim(block_number), '') <> '', try_cast(part_number AS INT), NULL) pt, coalesce(nullif(trim(coalesce(block_label, '')), ''), NULL) lb FROM can WHERE procedure_date_days IS NOT NULL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,8 +78,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.coalesce(F.trim("image_id"), F.lit("")) != "")
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One line for each (study_id, patient_id) with its slides; malformed lines, blank ids, repeated patients and empty files are errors."""
+def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, study: str | None = None) -> DataFrame:
+    """One line for each (study_id, patient_id) with its slides, of one study where that is named; malformed lines, blank ids, repeated patients and empty files are errors."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path).where("study_id IS NOT NULL OR patient_id IS NOT NULL OR slides IS NOT NULL")
     blank = (F.coalesce(F.trim("study_id"), F.lit("")) == "") | (F.coalesce(F.trim("patient_id"), F.lit("")) == "") | F.col("slides").isNull()
     if rows.isEmpty():
@@ -88,7 +88,7 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         raise ValueError("a line has no study, patient or slides")
     if not rows.groupBy("study_id", "patient_id").count().where("count > 1").isEmpty():
         raise ValueError("a patient has two lines")
-    return rows
+    return rows if study is None else rows.where(F.col("study_id") == study)
 
 
 def write_snapshot(associations: DataFrame, study: str, path: str) -> None:
@@ -138,29 +138,94 @@ def write_index(nested: DataFrame, path: str) -> None:
     nested.agg(studies).select(F.lit(2).alias("version"), "studies").coalesce(1).write.mode("overwrite").json(path)
 
 
+def _path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that a published folder's pointer names, or none."""
+    pointer, fs = _path(spark, f"{path.rstrip('/')}/_current")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return stream.readUTF()
+    finally:
+        stream.close()
+
+
+def set_current_version(spark: SparkSession, path: str, version: str | None) -> None:
+    """Moves a pointer that is written beside over the old one in one step; without a version the pointer goes."""
+    pointer, fs = _path(spark, f"{path.rstrip('/')}/_current")
+    if version is None:
+        fs.delete(pointer, False)
+        return
+    fresh, _ = _path(spark, f"{path.rstrip('/')}/_current-{uuid.uuid4().hex}")
+    stream = fs.create(fresh, True)
+    stream.writeUTF(version)
+    stream.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    to = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    to.rename(fresh, pointer, options)
+
+
 def publish(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Writes beside the target, reads back, and moves it into place, so readers see the old or the new rows."""
-    spark, staged = df.sparkSession, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition) if partition else df.write
-    writer.parquet(staged)
-    spark.read.parquet(staged).schema  # noqa: B018  it can be read
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    fs = target.getFileSystem(conf)
-    old = jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(source, target)
-    if fs.exists(old):
-        fs.delete(old, True)
+    """Writes a version beside the current one, compares the rows that were written with those that can be read, and switches the pointer in
+    one step: readers see the old or the new rows, and a crash leaves the old ones. Older versions stay until they are cleared."""
+    spark, version, seen = df.sparkSession, f"v-{uuid.uuid4().hex}", Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n")).write
+    (out.partitionBy(partition) if partition else out).parquet(f"{path.rstrip('/')}/{version}")
+    if spark.read.parquet(f"{path.rstrip('/')}/{version}").count() != seen.get["n"]:
+        raise ValueError(f"not all rows of {path} can be read back")
+    set_current_version(spark, path, version)
 
 
-def publish_release(tables: dict[str, DataFrame], folder: str, release: str) -> None:
-    """Appends the tables of a release, sorted by their keys, and its marker last; readers take releases that have one."""
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/{current_version(spark, path)}")
+
+
+def publish_index(nested: DataFrame, path: str) -> None:
+    """An index file of a new version, read back under all its rules before the pointer is switched."""
+    spark, version = nested.sparkSession, f"v-{uuid.uuid4().hex}"
+    write_index(nested, f"{path.rstrip('/')}/{version}")
+    read_index(spark, f"{path.rstrip('/')}/{version}")
+    set_current_version(spark, path, version)
+
+
+def read_published_index(spark: SparkSession, path: str) -> DataFrame:
+    return read_index(spark, f"{path.rstrip('/')}/{current_version(spark, path)}")
+
+
+def write_candidates(candidates: DataFrame, path: str, limit: int | None = None) -> None:
+    """Candidates as JSON lines, by image; with a limit the first ones only."""
+    own = candidates.select("image_id", "path").orderBy("image_id", "path")
+    (own if limit is None else own.limit(limit)).write.mode("overwrite").json(path)
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """image_id and path of candidate lines; a malformed line is an error, and lines without an image or a path go."""
+    rows = spark.read.schema(CANDIDATE).option("mode", "FAILFAST").json(path)
+    return rows.where((F.coalesce(F.trim("image_id"), F.lit("")) != "") & (F.coalesce(F.trim("path"), F.lit("")) != ""))
+
+
+def write_release(tables: dict[str, DataFrame], folder: str, release: str) -> None:
+    """The tables of a release, which nobody reads before mark_release."""
     for name, df in tables.items():
         df.drop("release_id").write.mode("overwrite").parquet(f"{folder}/{name}/release_id={release}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.range(1).select(F.lit(release).alias("release_id"), F.current_timestamp().alias("released_at")).write.mode("append").parquet(f"{folder}/release")
+
+
+def mark_release(studies: DataFrame, folder: str, release: str, version: int = 1) -> None:
+    """A marker for each study (cancer_study_id) of a release: from here on readers see it."""
+    studies.select("cancer_study_id", F.lit(release).alias("release_id"), F.lit(version).alias("release_version"), F.current_timestamp().alias("released_at")).coalesce(1).write.mode("append").parquet(f"{folder}/release")
+
+
+def publish_release(tables: dict[str, DataFrame], folder: str, release: str) -> None:
+    """Appends the tables of a release and its marker last; readers take releases that have one."""
+    write_release(tables, folder, release)
+    mark_release(next(iter(tables.values())).sparkSession.range(1).select(F.lit(None).cast("long").alias("cancer_study_id")), folder, release)
 
 
 def read_release(spark: SparkSession, folder: str, name: str) -> DataFrame:

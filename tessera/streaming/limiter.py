@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator, MutableSequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def admit(times: list[float], log: list[float], limit: int, window: float) -> list[bool]:
+def admit(times: Iterable[float], log: MutableSequence[float], limit: int, window: float) -> list[bool]:
     """Whether each request, in order, is admitted; only admitted ones enter the log, and one of `window` seconds ago is out of it."""
     out = []
     for t in times:
         while log and log[0] <= t - window:
-            log.pop(0)
+            del log[0]
         out.append(limit <= 0 or len(log) < limit)
         if out[-1] and limit > 0:
             log.append(t)
@@ -22,14 +24,23 @@ def admit(times: list[float], log: list[float], limit: int, window: float) -> li
 
 
 def rate_limit_admissions(events: DataFrame, limit: int = 2, window: float = 60.0) -> DataFrame:
-    """event_id, user_id, admitted. Requests of a subject are ordered by time, then id."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "event_id"])
-        seconds = (g["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
-        return pd.DataFrame({"event_id": g["event_id"], "user_id": g["user_id"], "admitted": admit(seconds, [], limit, window)})
-
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(one, "event_id long, user_id long, admitted boolean")
+    """event_id, user_id, admitted. Requests of a subject are ordered by time, then id.
+
+    Subjects are dealt to partitions and sorted there, and the batches stream through with the log of the current subject, which holds at
+    most `limit` times: a subject's history is never gathered."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, log = object(), deque()
+        for b in batches:
+            admitted: list[bool] = []
+            for user, t in zip(b["user_id"], b["t"] / 1e6):
+                if user != subject and not (pd.isna(user) and pd.isna(subject)):
+                    subject, log = user, deque()
+                admitted += admit([t], log, limit, window)
+            yield pd.DataFrame({"event_id": b["event_id"], "user_id": b["user_id"], "admitted": admitted}).astype({"user_id": "Int64"})
+
+    own = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return own.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(run, "event_id long, user_id long, admitted boolean")
 
 
 def rate_limit_stream(events: DataFrame, limit: int = 2, window: float = 60.0) -> DataFrame:

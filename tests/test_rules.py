@@ -98,7 +98,9 @@ def test_files(spark, tmp_path):
     assert [(r.image_id, r.width, r.height, r.content_type) for r in files.read_manifest(spark, str(tmp_path / "m.json")).collect()] == [("a", 1, 64, "image/jpeg")]
     files.publish(spark.range(3), str(tmp_path / "t"))
     files.publish(spark.range(5), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 5
+    assert files.read_published(spark, str(tmp_path / "t")).count() == 5
+    files.write_candidates(spark.createDataFrame([("2", "b"), ("1", "a"), ("3", "c")], "image_id string, path string"), str(tmp_path / "c"), 2)
+    assert sorted(map(tuple, files.read_candidates(spark, str(tmp_path / "c")).collect())) == [("1", "a"), ("2", "b")]
     files.publish_release({"part": spark.range(2)}, str(tmp_path / "rel"), "r1")
     files.publish_release({"part": spark.range(4)}, str(tmp_path / "rel"), "r2")
     assert files.read_release(spark, str(tmp_path / "rel"), "part").count() == 4
