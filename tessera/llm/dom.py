@@ -13,10 +13,10 @@ BLOCK = frozenset(
     "header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template noscript iframe svg math object canvas audio video select button option head".split())
+RAW = frozenset("script style title textarea template noscript iframe svg object canvas audio video select button option head".split())
 #: Of RAW: read to the end of the file where unclosed; the others that may stand within themselves; what may stand in a head.
 TO_THE_END = frozenset("script style title textarea noscript iframe".split())
-NESTS = frozenset("svg math object template".split())
+NESTS = frozenset("svg object template".split())
 HEAD = frozenset("base basefont bgsound link meta title script style noscript template noframes".split())
 OPTION_ENDS = frozenset("option optgroup select datalist".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
@@ -26,7 +26,7 @@ TAG_ID = {t: k for k, t in enumerate(TAGS)}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _PAIR = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|iframe)\b[^>]*(?:(?<=/)>|>.*?(?:</\1\b[^>]*>|\Z)|\Z)|<(/?)(svg|math|object|template|canvas|audio|video|select|button)(?![^\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|iframe)\b[^>]*(?:(?<=/)>|>.*?(?:</\1\b[^>]*>|\Z)|\Z)|<(/?)(svg|object|template|canvas|audio|video|select|button)(?![^\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label|aria-hidden|hidden|style|data-y)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)

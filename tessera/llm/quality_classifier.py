@@ -87,10 +87,10 @@ def _feature_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fits on at most max_rows labelled rows, those of the lowest id hashes, whose crc32(id) mod 5 is not 0. The rows are joined by a
-    broadcast of (id, label), whose size max_rows bounds."""
+    broadcast of (id, label), whose size max_rows bounds; an id that stands in several rows counts once, with its smallest text and label."""
     sample = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).dropna().where(F.crc32(F.col("_id").cast("string")) % 5 != 0)
     sample = sample.orderBy(F.xxhash64("_id"), "_id", "y").limit(max_rows)
-    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "y")
+    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min(F.struct("text", "y")).alias("r")).select("r.*")
     got = rows.mapInPandas(_feature_batches, "x array<double>, y int").toPandas()
     x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, 2 * _RATIOS + 1))
     order = np.lexsort([*x.T, got["y"].to_numpy()]) if len(got) else []
@@ -118,7 +118,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """The rows of docs that the classifier accepts, with docs' columns."""
+    """The rows of docs that the classifier accepts, with docs' columns, whatever their names.
+
+    Null and empty texts, null ids and repeated rows are scored as in quality_classifier. Without labels of both kinds all rows get one
+    score: all go where only label 0 is known, else all stay. An empty table gives an empty result."""
     model = train(docs, labels, max_rows)
     return docs.where(score_column(model, F.col("text")) >= model.cut_score)
 

@@ -148,12 +148,14 @@ def redacted_documents(docs: DataFrame, ledger_path: str | None = None, id_col:
 
     found = scanned(docs, ledger_path, text_col)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), address(text_col).alias("blob"))
-    both = row.join(found, "blob", "left").select("row", "spans")  # its shuffles serve both parts of the union
-    changed = both.where(F.col("spans").isNotNull()).withColumn("new", replace(F.col(f"row.`{text_col}`"), F.col("spans")))
-    fields = {c: F.col(f"row.`{c}`") for c in docs.columns}
-    new = fields | {text_col: F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    take = lambda df, columns: df.select(*[c.alias(name) for name, c in columns.items()])
-    return take(both.where(F.col("spans").isNull()), fields).unionByName(take(changed, new))
+    both = row.join(found, "blob", "left")
+    text = F.col(f"row.`{text_col}`")
+    # Clean texts reach Python as nulls, and the rows are shuffled once.
+    both = both.withColumn("new", F.coalesce(replace(F.when(F.col("spans").isNotNull(), text), F.col("spans")), text))
+    fields = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.col("new")}
+    if "n_chars" in docs.columns:
+        fields["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return both.select(*[c.alias(name) for name, c in fields.items()])
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

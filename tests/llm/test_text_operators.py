@@ -191,3 +191,32 @@ def test_odd_tables_are_empty(spark):
     none = frame(spark, [])
     for make in (quality_rules.quality_rules, license_scan.license_scan, secret_scan.secret_scan):
         assert make(none).isEmpty()
+
+
+@pytest.mark.parametrize("ratio, entropy", [(0.7, 0.95), (1.5, 0.6), (1.0, 0.99)])
+def test_mixing_against_a_plain_version(spark, documents, odd_rows, ratio, entropy):
+    """Which copies are taken: whole rounds, then blocks in their order while they fit, then documents of the last block in theirs."""
+    blocks, seed = 4, 11
+    rows = [(i, t, s) for i, t, s in documents + odd_rows if i is not None]
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    docs = frame(spark, rows)
+    keys = docs.selectExpr("doc_id", "coalesce(source, '') AS s", f"pmod(xxhash64({seed}, doc_id), {blocks}) AS b", f"xxhash64({seed + 1}, doc_id) AS o")
+    keys = keys.selectExpr("*", f"xxhash64({seed + 2}, s, cast(b AS int)) AS r").collect()
+    size = {i: max(1, len(words_of(t))) for i, t, _ in rows}
+    total = Counter()
+    for k in keys:
+        total[k.s] += size[k.doc_id]
+    _, weights = mixing.temperature(dict(total), ratio * sum(total.values()), entropy, 4.0)
+    want = Counter()
+    for s, t in total.items():
+        own, quota = [k for k in keys if k.s == s], weights[s] * ratio * sum(total.values())
+        rounds, room = int(quota // t), quota % t
+        want.update({k.doc_id: rounds for k in own})
+        for k in sorted(own, key=lambda k: (k.r, k.b, k.o)):
+            if size[k.doc_id] > room:
+                break
+            want[k.doc_id] += 1
+            room -= size[k.doc_id]
+    got = mixing.mix_sources(docs, budget_ratio=ratio, entropy=entropy, blocks=blocks, seed=seed)
+    assert Counter(r.doc_id for r in got.collect()) == +want
+    assert Counter(r.doc_id for r in mixing.mixed(docs, budget_ratio=ratio, entropy=entropy, blocks=blocks, seed=seed).collect()) == +want
