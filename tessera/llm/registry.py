@@ -14,4 +14,4 @@ QUERIES = {
     "op9_gif_media": gif_media.op9_gif_media,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op4_near_dedup": near_dedup.ORACLE}
