@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import nonblank
@@ -29,6 +29,11 @@ def optional_int(value: Column) -> Column:
     return F.trim(value).try_cast("bigint")
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with decimals as doubles, as JSON responses have them."""
+    return df.select(*[F.col(f"`{n}`").cast("double").alias(n) if t.startswith("decimal") else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
 def side(pixels: Column) -> Column:
     return F.greatest(F.lit(1), F.least(pixels, F.lit(MOST_SIDE)))
 

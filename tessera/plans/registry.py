@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
-from tessera.plans import geometry, operations, requests, serving, snapshot_load
+from tessera.plans import geometry, operations, requests, serving, snapshot_load, stored
 from tessera.plans.canonical import Canonical
 from tessera.plans.release import Release
 from tessera.plans.sql import ORACLES
@@ -113,9 +113,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "block_field_derivation": _canonical(_derivation),
     "tile_geometry": _roles(lambda r: geometry.tile_geometry(geometry.tile_requests(r))),
     "decode_plan": _roles(lambda r: geometry.decode_plan(geometry.tile_requests(r))),
+    "decode_plan_by_levels": _roles(lambda r: geometry.decode_plan_by_levels(geometry.own_levels(geometry.tile_requests(r)))),
     "thumbnail_plan": _roles(lambda r: geometry.thumbnail_plan(geometry.slides(r))),
     "latency_percentiles": _roles(lambda r: operations.latency_percentiles(r.table("events"))),
     "metric_histogram": _roles(lambda r: operations.metric_histogram(r.table("events"))),
     "cache_prune_plan": _roles(lambda r: operations.cache_prune_plan(operations.cache_entries(r.table("part")))),
+    "published_summary": stored.published_summary,
+    "candidate_file": _canonical(stored.candidate_file),
+    "index_file": _canonical(stored.index_file),
+    "snapshot_file": _canonical(stored.snapshot_file),
+    "snapshot_of_study": _canonical(lambda c: stored.snapshot_file(c, "study_1")),
+    "stored_release": _canonical(stored.stored_release),
+    "result_lines": _canonical(stored.result_lines),
+    "manifest_file": _canonical(stored.manifest_file),
+    "clinical_patients": _roles(stored.clinical_patients),
+    "positional_patients": _roles(stored.positional_patients),
+    "pruned_clinical": _roles(stored.pruned_clinical),
+    "resource_file": _canonical(stored.resource_file),
+    "statement_rows": _canonical(stored.statement_rows),
+    "coerced_values": _roles(stored.coerced_values),
     "rate_limit_admissions": _roles(lambda r: rate_limit_admissions(r.table("events"))),
 }

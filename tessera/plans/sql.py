@@ -237,4 +237,25 @@ SELECT DISTINCT block_id, block_label, try_cast(nullif(regexp_extract(block_id,
     "cache_prune_plan": """SELECT node, path, size FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY node ORDER BY mtime, size, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) gone FROM
   (SELECT *, sum(size) OVER (PARTITION BY node) total FROM (SELECT (p_partkey % 16)::INT node, '/cache/' || p_partkey AS path, p_size::BIGINT mtime, p_partkey * 7919 % 1000 + 1 AS size, p_partkey % 17 = 0 locked FROM part)) WHERE NOT locked AND total > floor(total * 0.6))
   WHERE total - gone > floor(floor(total * 0.6) * 0.8)""",
+    "decode_plan_by_levels": over(r"""
+, lv AS (SELECT *, list_transform(range(0, levels), lambda i: if(i = 0, 1.0::DOUBLE, pow(slide_id % 3 + 2, i) + if(slide_id % 5 = 0, 0.25, 0))) ds FROM geo),
+b AS (SELECT *, if(status = 'ok', coalesce(list_max(list_filter(range(0, levels), lambda i: ds[i + 1] <= downsample)), 0), NULL)::INT AS level FROM lv),
+d AS (SELECT *, ds[level + 1] level_downsample FROM b),
+q AS (SELECT * EXCLUDE (ds), least(ceil(source_width / level_downsample), floor(width / level_downsample) - floor(x0 / level_downsample))::BIGINT read_width, least(ceil(source_height / level_downsample), floor(height / level_downsample) - floor(y0 / level_downsample))::BIGINT read_height FROM d)
+SELECT * EXCLUDE (status), if(read_width <= 0 OR read_height <= 0, 0, read_width * read_height)::BIGINT pixels, CASE WHEN status <> 'ok' THEN status WHEN read_width <= 0 OR read_height <= 0 THEN 'blank' WHEN read_width * read_height > 150000 THEN 'too_large' ELSE 'ok' END status FROM q""").replace("\n\n,", "\n,"),
+    "published_summary": over("SELECT * FROM summary"),
+    "candidate_file": over("SELECT * FROM cand"),
+    "index_file": over("SELECT * FROM idx"),
+    "snapshot_file": over("SELECT 'study_' || substr(patient_id, 3, 7)::INT % 3 study_id, patient_id, image_id, sample_id, part_key, block_key, can_serve_tiles, procedure_date_days, file_size_bytes FROM can"),
+    "snapshot_of_study": over("SELECT 'study_1' study_id, patient_id, image_id, sample_id, part_key, block_key, can_serve_tiles, procedure_date_days, file_size_bytes FROM can WHERE substr(patient_id, 3, 7)::INT % 3 = 1"),
+    "result_lines": over("SELECT image_id, source_path, status FROM reg WHERE image_id::BIGINT % 7 <> 0 AND image_id::BIGINT % 11 <> 0"),
+    "manifest_file": over("""SELECT s.image_id, 'thumbnails/' || s.image_id || '.jpg' uri, greatest(1, if(s.image_id::BIGINT % 3 = 0, 256, s.image_id::BIGINT % 2 * 700))::INT width, 300 height,
+  if(s.image_id::BIGINT % 4 = 0, 'image/png', 'image/jpeg') content_type, path source_uri FROM serv s JOIN reg1 r ON r.image_id = s.image_id AND source_path = path WHERE status = 'success' AND s.image_id::BIGINT % 5 <> 0"""),
+    "clinical_patients": "SELECT 'P-' || lpad(c_custkey::VARCHAR, 7, '0') \"PATIENT_ID\" FROM customer WHERE c_custkey % 17 <> 0",
+    "positional_patients": "SELECT if(c_custkey % 17 = 0, '', 'P-' || lpad(c_custkey::VARCHAR, 7, '0')) id FROM (SELECT c_custkey FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 13 = 0)",
+    "pruned_clinical": "SELECT if(c_custkey % 17 = 0, NULL, 'P-' || lpad(c_custkey::VARCHAR, 7, '0')) \"PATIENT_ID\", c_name \"NAME\" FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 13 = 0)",
+    "resource_file": over("SELECT patient_id \"PATIENT_ID\", 'WSI_VIEWER' \"RESOURCE_ID\", '/patient/wsiHESlides?studyId=study&caseId=' || patient_id \"URL\" FROM rp WHERE substr(patient_id, 3)::BIGINT % 17 <> 0"),
+    "statement_rows": over("SELECT image_id, stain_name, magnification FROM stained WHERE magnification = '40x' AND stain_group IN ('IHC', 'H&E (Other)')"),
+    "coerced_values": "SELECT l_orderkey, l_linenumber, l_linenumber IN (1, 3) flag, if(l_partkey % 3 = 0, l_partkey, NULL)::BIGINT AS number, l_quantity::DECIMAL(12, 2)::DOUBLE quantity FROM lineitem",
 }
+ORACLES["stored_release"] = ORACLES["loaded_part"]

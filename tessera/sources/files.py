@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -15,6 +16,17 @@ RESULT = T.StructType([T.StructField(n, t) for n, t in (
 )])
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that the driver and all executors share. Where none is set, a session on one machine makes its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def clinical_rows(spark: SparkSession, path: str) -> DataFrame:
     """The data of a clinical TSV: '#' rows are dropped and the next row names the columns. All columns are text."""
     return spark.read.csv(path, sep="\t", header=True, comment="#", quote="")
@@ -28,6 +40,14 @@ def clinical_ids(spark: SparkSession, path: str, column: str = "PATIENT_ID") ->
     return ids
 
 
+def ordered_ids(spark: SparkSession, path: str, column: str = "PATIENT_ID") -> DataFrame:
+    """The distinct non-blank ids (id) and the place of their first row (at), which sorts as the file does."""
+    names = clinical_rows(spark, path).columns
+    lines = _numbered(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.col("value") != "\t".join(names)))
+    ids = lines.select(F.trim(F.get(F.split("value", "\t", -1), names.index(column))).alias("id"), "at").where(F.col("id") != "")
+    return ids.groupBy("id").agg(F.min("at").alias("at"))
+
+
 def positional_ids(spark: SparkSession, path: str, header_lines: int = 5) -> DataFrame:
     """The first column (id) of a clinical TSV after its header_lines first lines that are not blank, whatever they hold."""
     lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
@@ -63,9 +83,9 @@ def without_attributes(spark: SparkSession, path: str, out: str, attributes: lis
     return gone
 
 
-def write_tsv(df: DataFrame, path: str, order: list[Column]) -> None:
-    """One TSV with a header row, in an order: for small study files."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+def write_tsv(df: DataFrame, path: str, order: list[Column], hidden: tuple[str, ...] = ()) -> None:
+    """One TSV with a header row, in an order: for small study files. Hidden columns are for the order only."""
+    df.orderBy(*order).drop(*hidden).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
 
 
 def write_meta(spark: SparkSession, path: str, fields: dict[str, str]) -> None:
@@ -78,21 +98,34 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.coalesce(F.trim("image_id"), F.lit("")) != "")
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with their place (file, start of the split, order in it), which sorts as the lines stand."""
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
+
+
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, study: str | None = None) -> DataFrame:
-    """One line for each (study_id, patient_id) with its slides, of one study where that is named; malformed lines, blank ids, repeated patients and empty files are errors."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path).where("study_id IS NOT NULL OR patient_id IS NOT NULL OR slides IS NOT NULL")
+    """One line for each (study_id, patient_id) with its slides, of one study where that is named. Blank lines are skipped; malformed lines
+    and blank ids are errors that name the first such line, and so are repeated patients and files without rows."""
+    read = T.StructType([*schema.fields, T.StructField("_malformed", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
+    lines = _numbered(spark, path)
+    rows = lines.where(F.trim("value") != "").select("at", F.from_json("value", read, options).alias("r")).select("at", "r.*")
     blank = (F.coalesce(F.trim("study_id"), F.lit("")) == "") | (F.coalesce(F.trim("patient_id"), F.lit("")) == "") | F.col("slides").isNull()
-    if rows.isEmpty():
+    seen = rows.agg(F.count("*").alias("n"), F.min(F.when(F.col("_malformed").isNotNull() | blank, F.col("at"))).alias("bad")).first()
+    if not seen["n"]:
         raise ValueError("the snapshot has no rows")
-    if not rows.where(blank).isEmpty():
-        raise ValueError("a line has no study, patient or slides")
+    if seen["bad"] is not None:
+        first = F.struct(*[F.lit(x).alias(c) for x, c in zip(seen["bad"], "fbi")])
+        before = lines.where((F.col("at.f") == seen["bad"]["f"]) & (F.col("at") < first)).count()
+        raise ValueError(f"{seen['bad']['f']}, line {before + 1}: malformed, or without study, patient or slides")
     if not rows.groupBy("study_id", "patient_id").count().where("count > 1").isEmpty():
         raise ValueError("a patient has two lines")
-    return rows if study is None else rows.where(F.col("study_id") == study)
+    own = rows.select(*schema.fieldNames())
+    return own if study is None else own.where(F.col("study_id") == study)
 
 
-def write_snapshot(associations: DataFrame, study: str, path: str) -> None:
-    """One JSON line for each patient, with its slides by image."""
+def write_snapshot(associations: DataFrame, study: str | Column, path: str) -> None:
+    """One JSON line for each patient, with its slides by image. study: an id, or a column over patient_id."""
     columns = [c for c in associations.columns if c != "patient_id"]
     slides = F.array_sort(F.collect_list(F.struct("image_id", *[c for c in columns if c != "image_id"]))).alias("slides")
     lines = associations.groupBy("patient_id").agg(slides).select(F.lit(study).alias("study_id"), "patient_id", "slides")

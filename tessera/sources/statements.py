@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import threading
+import uuid
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
 
@@ -11,6 +14,31 @@ def query(spark: SparkSession, text: str, **binds) -> DataFrame:
     return spark.sql(text, args=binds)
 
 
+def small_result(df: DataFrame, seconds: float = 120, most: int = 10_000) -> list[Row]:
+    """The rows of a statement that answers a request: at most `most`, more are an error. Its jobs are cancelled after `seconds`."""
+    context, tag, late = df.sparkSession.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, cancel)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        rows = df.limit(most + 1).collect()
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"no result within {seconds} seconds") from error
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
+
+
 def create_if_absent(spark: SparkSession, name: str, schema: T.StructType) -> None:
     """An empty table of this schema where there is none of this name; one that is there stays as it is."""
     if not spark.catalog.tableExists(name):
