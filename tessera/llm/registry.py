@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from tessera.llm import gif_media, html_extraction, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup
+from tessera.llm import gif_media, html_extraction, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, vector_clusters, vector_codes, vector_search
 
 QUERIES = {
     "op1_html_extraction": html_extraction.op1_html_extraction,
@@ -13,5 +13,13 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_gif_media": gif_media.op9_gif_media,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_centroid_clustering": vector_clusters.op12_centroid_clustering,
+    "op13_vector_search": vector_search.op13_vector_search,
+}
+ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op4_near_dedup": near_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_centroid_clustering": vector_clusters.ORACLE,
 }
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op4_near_dedup": near_dedup.ORACLE}
