@@ -144,9 +144,9 @@ def test_probes_follow_the_estimate():
     x = rng.normal(size=(40, 8))
     near = x + rng.normal(size=(40, 8)) * 0.3
     h = vector_search.Hashing(8, 3, 1.5)
-    probes, own, theirs = h.probes(x, 10_000), h.keys(np.floor(h.places(x)).astype(np.int64)), h.keys(np.floor(h.places(near)).astype(np.int64))
-    assert probes.shape == (40, 8 * 27) and all(set(p[:8]) == set(o) for p, o in zip(probes.tolist(), own.tolist()))
-    for p, t, r in zip(probes.tolist(), theirs.tolist(), h.ranks(x, near)):
+    probes, own, theirs = h.probes(x, 10_000), h.keys(h.cells(h.places(x))), h.keys(h.cells(h.places(near)))
+    assert probes.shape == (40, 4 * 27) and all(set(p[:4]) == set(o) for p, o in zip(probes.tolist(), own.tolist()))
+    for p, t, r in zip(probes.tolist(), theirs.tolist(), h.ranks(x, np.arange(40), near)):
         first = min((p.index(k) + 1 for k in t if k in p), default=math.inf)
         assert first == r
 
