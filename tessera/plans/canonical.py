@@ -4,6 +4,7 @@ patients are summarised from it."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,22 @@ class Canonical:
 
     Steps that several later ones read go through `stage`, as their consumers keep different columns and Spark then reuses no exchange:
     without it the inputs would be scanned more than a hundred times. The default keeps them on the executors, memory first, then disk;
-    a job over very large tables passes a function that writes a table and reads it back.
+    a job over very large tables passes a function that writes a table and reads it back. `release` lets go of what was kept.
+
+    `at` is the clock of the job: one time for all rows of a run, the present where none is given.
     """
 
-    def __init__(self, roles: Roles, stage: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> None:
-        self.roles, self.stage = roles, stage
+    def __init__(self, roles: Roles, stage: Callable[[DataFrame], DataFrame] = DataFrame.persist, at: datetime | None = None) -> None:
+        self.roles, self._stage, self.at, self.kept = roles, stage, at or datetime.now(timezone.utc), []
+
+    def stage(self, df: DataFrame) -> DataFrame:
+        self.kept.append(self._stage(df))
+        return self.kept[-1]
+
+    def release(self) -> None:
+        """Frees the executors' storage of the staged steps, once the results that read them are written."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -119,7 +131,7 @@ class Canonical:
         group, name, day, since = F.col("stain_group"), F.col("stain_name"), F.col("procedure_date"), F.col("sequencing_date")
         nothing = F.lit(None).cast("string")
         return best.select(
-            F.lit(VERSION).alias("association_version"), "match_level", "patient_id", "sample_id", "reference_sample_id", "part_key", "part_number", nothing.alias("part_designator"),
+            F.lit(VERSION).alias("association_version"), F.lit(self.at).cast("timestamp").alias("updated_at"), "match_level", "patient_id", "sample_id", "reference_sample_id", "part_key", "part_number", nothing.alias("part_designator"),
             "part_type", "part_description", nothing.alias("subspecialty"), "path_dx_title", "block_key", "block_number", "block_label", "image_id", "stain_name", "stain_group",
             X.hne_by_name_or_group(group, name).alias("is_hne"), X.ihc_by_group(group).alias("is_ihc"), "magnification", "file_size_bytes", X.servable(F.col("slide_path")).alias("can_serve_tiles"),
             nothing.alias("barcode"), nothing.alias("slide_type"), F.concat(F.lower("match_level"), F.lit("::"), F.col("part_key"), F.lit("::"), F.col("block_key")).alias("specimen_key"),
@@ -135,7 +147,7 @@ class Canonical:
         flag = lambda c: F.max(F.when(c, 1).otherwise(0))
         count = F.count_if  # the associations are one for each (patient, image), so rows are images
         return self.associations.where(F.col("sample_id").isNotNull()).groupBy("sample_id", "patient_id").agg(
-            F.max("association_version").alias("association_version"), count(on & (hne | ihc)).alias("servable_slide_count"),
+            F.max("association_version").alias("association_version"), F.max("updated_at").alias("updated_at"), count(on & (hne | ihc)).alias("servable_slide_count"),
             count(~on & hne).alias("non_servable_hne_slide_count"), count(~on & ihc).alias("non_servable_ihc_slide_count"),
             flag(on & hne).alias("has_hne"), flag(on & ihc).alias("has_ihc"),
             F.array_join(F.array_sort(F.collect_set(F.when(on & (hne | ihc), name))), ";").alias("stain_types"),
@@ -144,7 +156,7 @@ class Canonical:
     def summaries_of(self, wanted: DataFrame) -> DataFrame:
         """The summaries of the wanted sample ids that have one, nulls as 0 or ''."""
         numbers = ["servable_slide_count", "non_servable_hne_slide_count", "non_servable_ihc_slide_count", "has_hne", "has_ihc"]
-        return self.summary.drop("association_version").join(wanted, "sample_id", "left_semi").na.fill(0, numbers).na.fill("", ["stain_types"])
+        return self.summary.drop("association_version", "updated_at").join(wanted, "sample_id", "left_semi").na.fill(0, numbers).na.fill("", ["stain_types"])
 
     def live_summary(self, wanted: DataFrame) -> DataFrame:
         """Counts over all diagnostic slides of the wanted samples' patients, from the sources."""
@@ -178,4 +190,9 @@ class Canonical:
         """The block-matched slides of one patient, with path and days since its sample was sequenced."""
         own = self.roles.block_matched.where(F.col("patient_id") == patient_id)
         out = own.join(self.paths, "image_id", "left").join(self.sequencing, "sample_id", "left")
-        return out.select("image_id", "sample_id", "stain_name", "stain_group", "path", F.datediff(F.col("dop").try_cast("date"), "sequencing_date").alias("days")).distinct()
+        day, since = F.col("dop").try_cast("date"), F.col("sequencing_date")
+        return out.select(
+            "image_id", "patient_id", "sample_id", "block_id", "block_label", "part_type", "part_description", F.col("part_description").alias("path_dx_title"), "stain_name", "stain_group",
+            *self.roles.CLINICAL, "magnification", "file_size_bytes", F.datediff(day, since).alias("slide_timepoint_days"),
+            F.when(day.isNotNull() & since.isNotNull(), "Procedure date").alias("slide_timepoint_source"), F.col("path").alias("slide_path"),
+        ).orderBy("sample_id", "block_id", "image_id")

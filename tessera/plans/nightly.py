@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.canonical import Canonical
@@ -9,10 +11,11 @@ from tessera.sources.files import publish, read_published
 from tessera.sources.roles import Roles
 
 
-def refresh(spark: SparkSession, folder: str, out: str) -> tuple[DataFrame, DataFrame]:
+def refresh(spark: SparkSession, folder: str, out: str, at: datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """Publishes out/associations and, from the published rows, out/summary. A failure leaves the tables of the night before."""
-    c = Canonical(Roles(spark, folder))
+    c = Canonical(Roles(spark, folder), at=at)
     publish(c.associations, f"{out}/associations")
+    c.release()
     c.__dict__["associations"] = read_published(spark, f"{out}/associations")
     publish(c.summary, f"{out}/summary")
     return c.associations, read_published(spark, f"{out}/summary")

@@ -20,7 +20,7 @@ __all__ = ["ORACLES", "QUERIES"]
 
 
 def _canonical(make: Callable[[Canonical], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: make(Canonical(Roles(spark, folder)))
+    return lambda spark, folder: make(Canonical(Roles(spark, folder), at=stored.CLOCK))
 
 
 def _roles(make: Callable[[Roles], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

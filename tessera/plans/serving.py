@@ -34,8 +34,9 @@ def search_samples(c: Canonical, prefix: str) -> DataFrame:
 
 
 def search_slides(c: Canonical, prefix: str) -> DataFrame:
+    """The first slides, each as often as the source has it."""
     own = c.roles.block_matched.where(F.col("image_id").startswith(prefix)).select("image_id", "patient_id", "stain_name")
-    return own.distinct().orderBy("image_id", "patient_id", "stain_name").limit(TOP)
+    return own.orderBy("image_id", "patient_id", "stain_name").limit(TOP)
 
 
 def suggestions(found: DataFrame, kind: str) -> DataFrame:
@@ -127,16 +128,24 @@ def thumbnail_manifest(c: Canonical) -> DataFrame:
     return servable_paths(c).join(good, ["image_id", "path"]).select("image_id", F.col("path").alias("source_uri"), F.concat(F.lit("thumbnails/"), "image_id", F.lit(".jpg")).alias("uri"))
 
 
+def servable(c: Canonical) -> DataFrame:
+    """The associations whose slide can be served."""
+    return c.associations.where(X.servable(F.col("slide_path")))
+
+
 def resource_patients(c: Canonical) -> DataFrame:
-    """The patients of a clinical file (the customers) that have slides, with their viewer address."""
+    """The patients of a clinical file (the customers) that have a servable slide, with their viewer address."""
     listed = c.roles.table("customer").select(F.concat(F.lit("P-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("patient_id"))
-    known = listed.join(c.associations.select("patient_id"), "patient_id", "left_semi").distinct()
+    known = listed.join(servable(c).select("patient_id"), "patient_id", "left_semi").distinct()
     return known.select("patient_id", F.lit("WSI_VIEWER").alias("resource_id"), F.concat(F.lit("/patient/wsiHESlides?studyId=study&caseId="), "patient_id").alias("url"))
 
 
 def manifest_stats(c: Canonical) -> DataFrame:
-    own = c.associations.join(resource_patients(c).select("patient_id"), "patient_id", "left_semi")
-    return own.agg(F.max("association_version").alias("association_version"), F.count("*").alias("n_rows"), F.count_distinct("patient_id").alias("n_patients"))
+    """When and how the servable associations of the listed patients were made, and how many there are; the time of the run if there are none."""
+    own = servable(c).join(resource_patients(c).select("patient_id"), "patient_id", "left_semi")
+    return own.agg(
+        F.coalesce(F.max("updated_at"), F.lit(c.at).cast("timestamp")).alias("updated_at"), F.max("association_version").alias("association_version"),
+        F.count("*").alias("n_rows"), F.count_distinct("patient_id").alias("n_patients"))
 
 
 def counted_samples(c: Canonical) -> DataFrame:

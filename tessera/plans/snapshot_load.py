@@ -156,7 +156,7 @@ def load_release(spark: SparkSession, snapshot: DataFrame, patients: DataFrame,
 
 def snapshot_of(c: Canonical) -> DataFrame:
     """The associations as snapshot lines whose slides stand in falling order of image id."""
-    columns = [x for x in c.associations.columns if x not in ("patient_id", "association_version")]
+    columns = [x for x in c.associations.columns if x not in ("patient_id", "association_version", "updated_at")]
     slides = F.sort_array(F.collect_list(F.struct("image_id", *[x for x in columns if x != "image_id"])), asc=False).alias("slides")
     study = F.concat(F.lit("study_"), F.substring("patient_id", 3, 7).cast("int") % 3)
     return c.associations.groupBy("patient_id").agg(slides).select(study.alias("study_id"), "patient_id", "slides")

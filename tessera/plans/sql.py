@@ -6,7 +6,9 @@ CHAIN = r"""
 slides AS (
   SELECT l.*, 'P-' || lpad(o_custkey::VARCHAR, 7, '0') patient_id, 'P-' || lpad(o_custkey::VARCHAR, 7, '0') || '-T' || o_orderkey sample_id,
     if(o_custkey % 31 = 0, NULL, o_custkey::VARCHAR) mrn, (l_orderkey * 10 + l_linenumber)::VARCHAR image_id, split_part(p_type, ' ', 1) kind, p_size, p_brand, p_type part_type, p_name part_description,
-    o_orderpriority cancer_type, if(l_suppkey % 7 = 0, NULL, l_shipdate::DATE::VARCHAR) AS shipday,
+    o_orderpriority cancer_type, o_orderpriority || ' / ' || o_orderstatus cancer_type_detailed, o_orderpriority[1] oncotree_code, split_part(p_type, ' ', -1) primary_site,
+    if(l_linenumber % 2 = 0, 'Metastasis', 'Primary') sample_type, if(l_linenumber % 2 = 0, p_brand, NULL) metastatic_site, if(l_suppkey % 5 = 0, NULL, (l_partkey % 100)::VARCHAR) tumor_purity,
+    array_to_string(string_split(p_name, ' ')[: (l_suppkey % 3)::INT], ';') oncogenic_mutations, (l_suppkey % 3)::INT num_oncogenic_mutations, round(l_quantity::DOUBLE / 4, 2) cvr_tmb_score, if(l_tax::DOUBLE > 0.06, 'Instable', 'Stable') msi_type, if(l_suppkey % 7 = 0, NULL, l_shipdate::DATE::VARCHAR) AS shipday,
     CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 13 = 0 THEN 'LEGACY-' || l_partkey ELSE 'S' || l_suppkey || '/' || (l_partkey % 9 + 1) || '-A' || l_linenumber END block_id,
     if(l_partkey % 19 = 0, NULL, 'A' || l_linenumber) block_label, if(p_size > 25, '40x', '20x') magnification, l_suppkey * 1000 + l_partkey file_size_bytes, 'ACC-' || l_suppkey || '-' || (l_partkey % 50) accession
   FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
@@ -53,7 +55,7 @@ ranked AS (
     sample_id NULLS FIRST, stain_group NULLS FIRST, stain_name NULLS FIRST, part_type NULLS FIRST, part_description NULLS FIRST, part_number NULLS FIRST, block_number NULLS FIRST, block_label NULLS FIRST,
     procedure_date NULLS FIRST, slide_path NULLS FIRST, file_size_bytes NULLS FIRST) = 1),
 can AS (
-  SELECT 'canonical_slide_associations_v2' association_version, match_level, r.patient_id, sample_id, reference_sample_id, part_key, part_number, NULL::VARCHAR part_designator, part_type, part_description, NULL::VARCHAR subspecialty, path_dx_title,
+  SELECT 'canonical_slide_associations_v2' association_version, TIMESTAMP '2025-01-01' updated_at, match_level, r.patient_id, sample_id, reference_sample_id, part_key, part_number, NULL::VARCHAR part_designator, part_type, part_description, NULL::VARCHAR subspecialty, path_dx_title,
     block_key, block_number, block_label, image_id, stain_name, stain_group, coalesce(lower(stain_group) IN ('h&e (initial)', 'h&e (other)', 'h&e'), false) OR coalesce(lower(trim(stain_name)) IN ('h&e', 'he'), false) is_hne,
     coalesce(lower(stain_group) = 'ihc', false) is_ihc, magnification, file_size_bytes, coalesce(starts_with(slide_path, 's3://'), false) can_serve_tiles, NULL::VARCHAR barcode, NULL::VARCHAR slide_type,
     lower(match_level) || '::' || part_key || '::' || block_key specimen_key, date_diff('day', sequencing_date, procedure_date)::INT procedure_date_days,
@@ -61,7 +63,7 @@ can AS (
   FROM ranked r LEFT JOIN refs ON refs.patient_id = r.patient_id),
 flags AS (SELECT *, contains(lower(coalesce(stain_group, stain_name, '')), 'h&e') h, contains(lower(coalesce(stain_group, '')), 'ihc') i FROM can WHERE sample_id IS NOT NULL),
 summary AS (
-  SELECT sample_id, patient_id, max(association_version) association_version, count(DISTINCT image_id) FILTER (WHERE can_serve_tiles AND (h OR i)) servable_slide_count, count(DISTINCT image_id) FILTER (WHERE NOT can_serve_tiles AND h) non_servable_hne_slide_count,
+  SELECT sample_id, patient_id, max(association_version) association_version, max(updated_at) updated_at, count(DISTINCT image_id) FILTER (WHERE can_serve_tiles AND (h OR i)) servable_slide_count, count(DISTINCT image_id) FILTER (WHERE NOT can_serve_tiles AND h) non_servable_hne_slide_count,
     count(DISTINCT image_id) FILTER (WHERE NOT can_serve_tiles AND i) non_servable_ihc_slide_count, max((can_serve_tiles AND h)::INT) has_hne, max((can_serve_tiles AND i)::INT) has_ihc,
     coalesce(array_to_string(list_sort(list(DISTINCT stain_name) FILTER (WHERE can_serve_tiles AND (h OR i) AND stain_name IS NOT NULL)), ';'), '') stain_types
   FROM flags GROUP BY 1, 2),
@@ -76,7 +78,7 @@ reg1 AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY image_id ORDE
 serv AS (SELECT image_id, (min({'r': (NOT starts_with(path, 's3://primary/'))::INT, 'p': path})).p AS path FROM inv WHERE starts_with(path, 's3://') GROUP BY 1),
 cand AS (SELECT s.image_id, s.path FROM serv s LEFT JOIN reg1 r USING (image_id) WHERE r.image_id IS NULL OR (status = 'success' AND source_path <> path)),
 done AS (SELECT image_id, path source_path, if(image_id::BIGINT % 9 = 0, 'failed', 'success') status, make_timestamp(1800000000000000) rendered_at FROM cand),
-rp AS (SELECT DISTINCT patient_id FROM can WHERE substr(patient_id, 3)::BIGINT IN (SELECT c_custkey FROM customer)),
+rp AS (SELECT DISTINCT patient_id FROM can WHERE slide_path LIKE 's3://%' AND substr(patient_id, 3)::BIGINT IN (SELECT c_custkey FROM customer)),
 rel AS (SELECT *, substr(patient_id, 3)::BIGINT % 3 + 1 study, substr(patient_id, 3)::BIGINT patient, split_part(sample_id, '-T', 2)::BIGINT sample, split_part(reference_sample_id, '-T', 2)::BIGINT reference FROM can),
 geo0 AS (
   SELECT p_partkey slide_id, (p_size * 1500 + p_partkey % 700 + 100)::BIGINT width, (p_partkey * 37 % 40000 + 90)::BIGINT height, (p_size % 6 + 1)::INT levels FROM part),
@@ -116,7 +118,7 @@ ORACLES = {
     "unmatched_associations": over(f"SELECT {_MATCH} FROM um"),
     "canonical_associations": over("SELECT * FROM can"),
     "sample_summary": over("SELECT * FROM summary"),
-    "summary_lookup": over("SELECT * EXCLUDE (association_version) FROM summary WHERE sample_id IN (SELECT sample_id FROM wanted)"),
+    "summary_lookup": over("SELECT * EXCLUDE (association_version, updated_at) FROM summary WHERE sample_id IN (SELECT sample_id FROM wanted)"),
     "live_sample_summary": over(r"""
 SELECT s.sample_id, s.patient_id, coalesce(servable_slide_count, 0) servable_slide_count, coalesce(non_servable_hne_slide_count, 0) non_servable_hne_slide_count, coalesce(non_servable_ihc_slide_count, 0) non_servable_ihc_slide_count,
   coalesce(has_hne, 0) has_hne, coalesce(has_ihc, 0) has_ihc, coalesce(stain_types, '') stain_types
@@ -128,16 +130,16 @@ LEFT JOIN (SELECT m.patient_id, count(DISTINCT image_id) FILTER (WHERE starts_wi
   FROM stained t JOIN (SELECT DISTINCT patient_id, mrn FROM blockm WHERE mrn IS NOT NULL) m ON m.mrn = t.mrn
   WHERE image_id NOT IN (SELECT image_id FROM serv) AND (stain_group IN ('H&E (Initial)', 'H&E (Other)') OR (stain_group = 'IHC' AND NOT starts_with(lower(trim(stain_name)), 'immuno recut') AND NOT contains(lower(stain_name), 'unstained'))) GROUP BY 1) n USING (patient_id)"""),
     "sample_match_counts": over("SELECT * FROM counts"),
-    "patient_slide_listing": over("SELECT DISTINCT image_id, sample_id, stain_name, stain_group, path, date_diff('day', sequencing_date, shipday::DATE)::INT AS \"days\" FROM blockm LEFT JOIN best USING (image_id) LEFT JOIN seqs USING (sample_id) WHERE patient_id = 'P-0000007'"),
+    "patient_slide_listing": over("SELECT image_id, patient_id, sample_id, block_id, block_label, part_type, part_description, part_description path_dx_title, stain_name, stain_group, cancer_type, cancer_type_detailed, oncotree_code, primary_site, sample_type, metastatic_site, tumor_purity, oncogenic_mutations, num_oncogenic_mutations, cvr_tmb_score, msi_type, magnification, file_size_bytes, date_diff('day', sequencing_date, shipday::DATE)::INT slide_timepoint_days, if(sequencing_date IS NOT NULL AND shipday IS NOT NULL, 'Procedure date', NULL) slide_timepoint_source, path slide_path FROM blockm LEFT JOIN best USING (image_id) LEFT JOIN seqs USING (sample_id) WHERE patient_id = 'P-0000007'"),
     "counted_samples": over("SELECT 'P-' || lpad(o_custkey::VARCHAR, 7, '0') || '-T' || o_orderkey sample_id, o_orderstatus status, coalesce(n_slides, 0) n_slides, coalesce(n_part, 0) n_part, coalesce(n_block, 0) n_block FROM orders LEFT JOIN counts ON counts.sample_id = 'P-' || lpad(o_custkey::VARCHAR, 7, '0') || '-T' || o_orderkey"),
     "resource_patients": over("SELECT patient_id, 'WSI_VIEWER' resource_id, '/patient/wsiHESlides?studyId=study&caseId=' || patient_id url FROM rp"),
-    "resource_manifest_stats": over("SELECT max(association_version) association_version, count(*) n_rows, count(DISTINCT patient_id) n_patients FROM can WHERE patient_id IN (SELECT patient_id FROM rp)"),
+    "resource_manifest_stats": over("SELECT max(updated_at) updated_at, max(association_version) association_version, count(*) n_rows, count(DISTINCT patient_id) n_patients FROM can WHERE slide_path LIKE 's3://%' AND patient_id IN (SELECT patient_id FROM rp)"),
     "search_patients": over("SELECT patient_id, max(cancer_type) cancer_type, count(*) slide_count FROM blockm WHERE starts_with(patient_id, 'P-00000') GROUP BY 1 ORDER BY 1 LIMIT 8"),
     "search_samples": over("SELECT sample_id, patient_id, max(cancer_type) cancer_type FROM blockm WHERE starts_with(sample_id, 'P-000001') GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 8"),
-    "search_slides": over("SELECT DISTINCT image_id, patient_id, stain_name FROM blockm WHERE starts_with(image_id, '12') ORDER BY ALL LIMIT 8"),
+    "search_slides": over("SELECT image_id, patient_id, stain_name FROM blockm WHERE starts_with(image_id, '12') ORDER BY ALL LIMIT 8"),
     "patient_suggestions": over("SELECT 'patient' AS \"type\", patient_id id, patient_id \"label\", max(cancer_type) || ' · ' || count(*) || ' slides' sublabel FROM blockm WHERE starts_with(patient_id, 'P-00000') GROUP BY patient_id ORDER BY patient_id LIMIT 8"),
     "sample_suggestions": over("SELECT 'sample' AS \"type\", sample_id id, sample_id \"label\", max(cancer_type) sublabel FROM blockm WHERE starts_with(sample_id, 'P-000001') GROUP BY sample_id, patient_id ORDER BY sample_id, patient_id LIMIT 8"),
-    "slide_suggestions": over("SELECT 'slide' AS \"type\", image_id id, image_id \"label\", patient_id || ' · ' || stain_name sublabel FROM (SELECT DISTINCT image_id, patient_id, stain_name FROM blockm WHERE starts_with(image_id, '12') ORDER BY ALL LIMIT 8)"),
+    "slide_suggestions": over("SELECT 'slide' AS \"type\", image_id id, image_id \"label\", patient_id || ' · ' || stain_name sublabel FROM (SELECT image_id, patient_id, stain_name FROM blockm WHERE starts_with(image_id, '12') ORDER BY ALL LIMIT 8)"),
     "search_routing": r"""
 SELECT DISTINCT text, CASE WHEN regexp_matches(trim(text), '(?i)^P-[0-9].*-T') THEN 'sample' WHEN lower(trim(text)) LIKE 'p-%' THEN 'patient' WHEN regexp_matches(trim(text), '^[0-9]') THEN 'slide' END kind
 FROM (SELECT unnest(['P-' || lpad(c_custkey::VARCHAR, 7, '0'), 'p-' || lpad(c_custkey::VARCHAR, 7, '0') || '-t1', ' ' || c_custkey || ' ', c_name, 'P-']) AS text FROM customer)""",

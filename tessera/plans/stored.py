@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,12 @@ from tessera.sources import files, statements
 from tessera.sources.roles import Roles
 
 
+#: The time that the registered queries take for their run, so that they give the same rows each time.
+CLOCK = datetime(2025, 1, 1, tzinfo=timezone.utc)
+
+
 def published_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return nightly.refresh(spark, folder, files.fresh_path(spark, "nightly"))[1]
+    return nightly.refresh(spark, folder, files.fresh_path(spark, "nightly"), CLOCK)[1]
 
 
 def candidate_file(c: Canonical) -> DataFrame:
@@ -93,9 +99,9 @@ def pruned_clinical(roles: Roles) -> DataFrame:
 
 
 def resource_file(c: Canonical) -> DataFrame:
-    """The patients of a clinical file that have slides, with their viewer address, written in the order of that file."""
+    """The patients of a clinical file that have a servable slide, with their viewer address, written in the order of that file."""
     out, ids = files.fresh_path(c.roles.spark, "resources"), files.ordered_ids(c.roles.spark, _clinical(c.roles))
-    known = ids.join(c.associations.select(F.col("patient_id").alias("id")), "id", "left_semi")
+    known = ids.join(serving.servable(c).select(F.col("patient_id").alias("id")), "id", "left_semi")
     address = F.concat(F.lit("/patient/wsiHESlides?studyId=study&caseId="), "id")
     files.write_tsv(known.select(F.col("id").alias("PATIENT_ID"), F.lit("WSI_VIEWER").alias("RESOURCE_ID"), address.alias("URL"), "at"), out, [F.col("at")], ("at",))
     return files.clinical_rows(c.roles.spark, out)

@@ -42,6 +42,10 @@ class Roles:
             F.col("p_type").alias("part_type"), F.col("p_name").alias("part_description"),
             F.when(F.col("p_size") > 25, "40x").otherwise("20x").alias("magnification"), (supp * 1000 + key).alias("file_size_bytes"),
             _none_if(supp % 7 == 0, day).alias("day"), F.col("o_orderpriority").alias("cancer_type"),
+            F.concat("o_orderpriority", F.lit(" / "), "o_orderstatus").alias("cancer_type_detailed"), F.substring("o_orderpriority", 1, 1).alias("oncotree_code"), F.element_at(F.split("p_type", " "), -1).alias("primary_site"),
+            F.when(F.col("l_linenumber") % 2 == 0, "Metastasis").otherwise("Primary").alias("sample_type"), F.when(F.col("l_linenumber") % 2 == 0, F.col("p_brand")).alias("metastatic_site"),
+            _none_if(supp % 5 == 0, text(key % 100)).alias("tumor_purity"), F.concat_ws(";", F.slice(F.split("p_name", " "), 1, (supp % 3).cast("int"))).alias("oncogenic_mutations"), (supp % 3).cast("int").alias("num_oncogenic_mutations"),
+            F.round(F.col("l_quantity").cast("double") / 4, 2).alias("cvr_tmb_score"), F.when(F.col("l_tax").cast("double") > 0.06, "Instable").otherwise("Stable").alias("msi_type"),
             F.concat(F.lit("ACC-"), text(supp), F.lit("-"), text(key % 50)).alias("accession_number"),
         )
 
@@ -53,12 +57,14 @@ class Roles:
             F.concat(store, F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"), F.lit(".svs")).alias("path"),
         )
 
+    #: What the block-matched source says of the sample of a slide.
+    CLINICAL = ["cancer_type", "cancer_type_detailed", "oncotree_code", "primary_site", "sample_type", "metastatic_site", "tumor_purity", "oncogenic_mutations", "num_oncogenic_mutations", "cvr_tmb_score", "msi_type"]
     _SHARED = ["image_id", "part_type", "part_description", "stain_name", "stain_group", "magnification", "file_size_bytes"]
 
     @cached_property
     def block_matched(self) -> DataFrame:
         own = self._slides.where((F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "N"))
-        return own.select("patient_id", "sample_id", "mrn", "block_id", "block_label", F.col("day").alias("dop"), "cancer_type", *self._SHARED)
+        return own.select("patient_id", "sample_id", "mrn", "block_id", "block_label", F.col("day").alias("dop"), *self.CLINICAL, *self._SHARED)
 
     @cached_property
     def part_matched(self) -> DataFrame:
