@@ -176,6 +176,7 @@ FROM (SELECT *, epoch(o_orderdate)::BIGINT AS day FROM orders)""",
     "thumbnail_candidates": over("SELECT * FROM cand"),
     "thumbnail_retry": over("SELECT * FROM serv WHERE image_id IN (SELECT image_id FROM reg1 WHERE status <> 'success')"),
     "thumbnail_shards": over("SELECT image_id, path, ((row_number() OVER (ORDER BY image_id) - 1) // (SELECT ceil(count(*) / least(480, ceil(count(*) / 2000)))::BIGINT FROM cand))::INT shard FROM cand"),
+    "streamed_registry": over("SELECT * FROM done UNION ALL SELECT * FROM reg1 WHERE image_id NOT IN (SELECT image_id FROM done)"),
     "registry_upsert": over("SELECT * FROM done UNION ALL SELECT * FROM reg1 WHERE image_id NOT IN (SELECT image_id FROM done)"),
     "thumbnail_manifest": over("SELECT s.image_id, path source_uri, 'thumbnails/' || s.image_id || '.jpg' uri FROM serv s JOIN reg1 r ON r.image_id = s.image_id AND source_path = path WHERE status = 'success'"),
     "release_part": over("SELECT study cancer_study_id, 'release-1' release_id, patient patient_internal_id, part_key, part_number, part_type, part_description, path_dx_title FROM rel QUALIFY row_number() OVER (PARTITION BY study, patient, part_key ORDER BY image_id) = 1"),

@@ -12,6 +12,7 @@ from tessera.plans import nightly, serving, snapshot_load
 from tessera.plans.canonical import Canonical
 from tessera.sources import files, statements
 from tessera.sources.roles import Roles
+from tessera.streaming.registry import Registry, registry_stream
 
 
 #: The time that the registered queries take for their run, so that they give the same rows each time.
@@ -63,6 +64,17 @@ def result_lines(c: Canonical) -> DataFrame:
     return files.read_results(c.roles.spark, path).select("image_id", "source_path", "status")
 
 
+def streamed_registry(c: Canonical) -> DataFrame:
+    """The stored registry after result lines of renderers have come to it as a stream, two files a batch."""
+    path = files.fresh_path(c.roles.spark, "registry")
+    registry = Registry(c.roles.spark, f"{path}/table")
+    registry.apply(serving.best_registry(c.roles.registry), 0)
+    serving.rendered(c).repartition(4).write.json(f"{path}/results")
+    query = registry_stream(registry, f"{path}/results", f"{path}/checkpoint", 2)
+    query.awaitTermination()
+    return registry.rows().select("image_id", "source_path", "status", "rendered_at")
+
+
 def manifest_file(c: Canonical) -> DataFrame:
     """A thumbnail manifest with gaps: sizes, types and addresses that are missing, and sizes below one."""
     n, path = F.col("image_id").cast("long"), files.fresh_path(c.roles.spark, "manifest")

@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator, MutableSequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def admit(times: Iterable[float], log: MutableSequence[float], limit: int, window: float) -> list[bool]:
@@ -43,15 +44,49 @@ def rate_limit_admissions(events: DataFrame, limit: int = 2, window: float = 60.
     return own.repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(run, "event_id long, user_id long, admitted boolean")
 
 
-def rate_limit_stream(events: DataFrame, limit: int = 2, window: float = 60.0) -> DataFrame:
-    """The same over a stream, with the log of each subject as state, which is at most `limit` times."""
+class _Limiter(StatefulProcessor):
+    """The log of a subject as state: a list of at most `limit` times, which an event-time timer clears once they are out of the window."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
-        for g in frames:
-            g = g.sort_values(["ts", "event_id"])
-            seconds = (g["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
-            yield pd.DataFrame({"event_id": g["event_id"], "user_id": g["user_id"], "admitted": admit(seconds, log, limit, window)})
-        state.update((log,))
+    def __init__(self, limit: int, window: float) -> None:
+        self.limit, self.window = limit, window
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, admitted boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.log = handle.getListState("log", "t double")
+
+    def _keep(self, log: list[float]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if log:
+            self.log.put([(t,) for t in log])
+            self.handle.registerTimer(int(max(log) * 1000 + self.window * 1000) + 1)
+        else:
+            self.log.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        g = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # one subject's requests of one micro-batch
+        log = [t for (t,) in self.log.get()] if self.log.exists() else []
+        seconds = (g["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
+        out = pd.DataFrame({"event_id": g["event_id"], "user_id": g["user_id"], "admitted": admit(seconds, log, self.limit, self.window)})
+        self._keep(log)
+        yield out
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.log.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rate_limit_stream(events: DataFrame, limit: int = 2, window: float = 60.0, late: str = "1 minute") -> DataFrame:
+    """The same over a stream. The state of a subject is its log, at most `limit` times, kept in RocksDB and removed by a timer when the
+    watermark, `late` behind the newest request, has passed the window of the last admitted one: state grows with the subjects of a
+    window, not with all that were ever seen. Requests that come later than the watermark are dropped. Requests of one micro-batch are
+    taken in the order of time, then id; batches in the order that they come. Null times are dropped, as no window holds them."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    own = events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")).where(F.col("ts").isNotNull()).withWatermark("ts", late)
+    return own.groupBy("user_id").transformWithStateInPandas(_Limiter(limit, window), "event_id long, user_id long, admitted boolean", "append", "eventTime")
