@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import nearest_ranks, running_totals
+from tessera.sources.files import staged
+
 BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0]
 
 
-def latency_percentiles(events: DataFrame) -> DataFrame:
-    """Nearest-rank percentiles of each label."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{int(p * 100)}")
-    return events.groupBy("event_type").agg(F.count("value").alias("n"), rank(0.5), rank(0.95), rank(0.99), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+def latency_percentiles(events: DataFrame, fractions: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Nearest-rank percentiles of each label, with the count, the largest value and the mean; labels may hold any share of the rows."""
+    ranks = nearest_ranks(events, "event_type", "value", list(fractions), staged)
+    columns = [F.max(F.when(F.col("fraction") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in fractions]
+    own = events.groupBy("event_type").agg(F.count("value").alias("n"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"))
+    wide = ranks.groupBy(F.col("event_type").alias("_label")).agg(*columns)
+    return own.join(wide, F.col("event_type").eqNullSafe(F.col("_label")), "left").select("event_type", "n", *[f"p{int(p * 100)}" for p in fractions], "most", "mean")
 
 
 def metric_histogram(events: DataFrame, bounds: list[float] = BOUNDS) -> DataFrame:
@@ -29,7 +35,7 @@ def cache_entries(part: DataFrame) -> DataFrame:
 def cache_prune_plan(entries: DataFrame, share: float = 0.6, low: float = 0.8) -> DataFrame:
     """The entries to delete on each node whose total is above its limit (`share` of its total here): the oldest that are not locked,
     until at most `low` of the limit is left. Locked entries count in the total."""
-    total = F.sum("size").over(Window.partitionBy("node"))
-    limited = entries.withColumn("total", total).withColumn("goal", F.floor(F.floor(F.col("total") * share) * low)).where((F.col("total") > F.floor(F.col("total") * share)) & ~F.col("locked"))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("node").orderBy("mtime", "size", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return limited.withColumn("before", before).where(F.col("total") - F.col("before") > F.col("goal")).select("node", "path", "size")
+    totals = entries.groupBy("node").agg(F.sum("size").alias("total"))
+    over = totals.withColumn("limit", F.floor(F.col("total") * share)).where(F.col("total") > F.col("limit")).select("node", "total", F.floor(F.col("limit") * low).alias("goal"))
+    before = running_totals(entries.where(~F.col("locked")), "node", ["mtime", "size", "path"], "size", "before", staged)
+    return before.join(over, "node").where(F.col("total") - F.col("before") > F.col("goal")).select("node", "path", "size")

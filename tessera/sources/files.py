@@ -27,6 +27,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written as a table under the shared folder and read back: the lineage ends there, and a lost executor costs no recomputation."""
+    path = fresh_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clinical_rows(spark: SparkSession, path: str) -> DataFrame:
     """The data of a clinical TSV: '#' rows are dropped and the next row names the columns. All columns are text."""
     return spark.read.csv(path, sep="\t", header=True, comment="#", quote="")
