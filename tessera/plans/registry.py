@@ -86,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preferred_associations": _canonical(requests.preferred_associations),
     "resource_index": _canonical(serving.resources),
     "index_suggestions": _canonical(lambda c: serving.index_suggestions(serving.resources(c), "study_1", "slide", "1")),
+    "stored_suggestions": _canonical(stored.stored_suggestions),
+    "requested_suggestions": _canonical(stored.requested_suggestions),
     "index_membership": _canonical(_membership),
     "index_merge": _canonical(_merge),
     "registry_best": _canonical(lambda c: serving.best_registry(c.roles.registry)),

@@ -169,6 +169,12 @@ SELECT o_orderkey token_id, CASE WHEN o_orderkey % 41 = 0 THEN 'algorithm' WHEN
   WHEN day + o_custkey * 3000000 - 1000 <= 1000000000 THEN 'expired' WHEN day > 1000000060 THEN 'issued' WHEN o_custkey * 3000000 - 1000 <= 0 OR o_custkey * 3000000 - 1000 > 300000000 THEN 'lifetime' END refusal
 FROM (SELECT *, epoch(o_orderdate)::BIGINT AS day FROM orders)""",
     "resource_index": over("SELECT * FROM idx"),
+    "stored_suggestions": over("SELECT DISTINCT resource_id FROM idx WHERE study_id = 'study_1' AND resource_type = 'patient' AND starts_with(lower(resource_id), 'p-000') ORDER BY resource_id LIMIT 8"),
+    "requested_suggestions": over("""
+SELECT study_id, resource_type, text, row_number() OVER (PARTITION BY study_id, text ORDER BY resource_id)::INT AS "rank", resource_id
+FROM (SELECT DISTINCT study_id, resource_type, resource_id FROM idx WHERE resource_type = 'patient') i
+JOIN (SELECT DISTINCT 'p-' || left(lpad(c_custkey::VARCHAR, 7, '0'), 5) AS text FROM customer) q ON starts_with(lower(resource_id), text)
+QUALIFY "rank" <= 8"""),
     "index_suggestions": over("SELECT DISTINCT resource_id FROM idx WHERE study_id = 'study_1' AND resource_type = 'slide' AND starts_with(lower(resource_id), '1') ORDER BY lower(resource_id), resource_id LIMIT 8"),
     "index_membership": over("SELECT p.study_id, 'patient' resource_type, p.patient_id resource_id FROM (SELECT 'study_' || c_custkey % 3 study_id, 'P-' || lpad(c_custkey::VARCHAR, 7, '0') patient_id FROM customer) p WHERE EXISTS (SELECT 1 FROM idx WHERE idx.study_id = p.study_id AND resource_type = 'patient' AND resource_id = p.patient_id)"),
     "index_merge": over("SELECT study_id, resource_type, resource_id, patient_id, source_path FROM idx WHERE study_id <> 'study_1' UNION ALL SELECT study_id, resource_type, resource_id, patient_id, source_path FROM idx WHERE study_id = 'study_1' AND resource_type = 'slide'"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import service as S
 from tessera.plans import nightly, serving, snapshot_load
 from tessera.plans.canonical import Canonical
-from tessera.sources import files, statements
+from tessera.sources import files, prefix_index, statements
 from tessera.sources.roles import Roles
 from tessera.streaming.registry import Registry, registry_stream
 
@@ -35,6 +35,25 @@ def index_file(c: Canonical) -> DataFrame:
     return files.read_published_index(c.roles.spark, path)
 
 
+def _prefix_index(c: Canonical) -> str:
+    path = files.fresh_path(c.roles.spark, "prefixes")
+    prefix_index.write_prefix_index(serving.resources(c), path)
+    return path
+
+
+def stored_suggestions(c: Canonical) -> DataFrame:
+    """What the stored index suggests for one text."""
+    return prefix_index.prefix_suggestions(c.roles.spark, _prefix_index(c), "study_1", "patient", "p-000")
+
+
+def requested_suggestions(c: Canonical) -> DataFrame:
+    """What it suggests for the beginnings of all customers' ids, in small letters, in each study."""
+    text = F.concat(F.lit("p-"), F.left(F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.lit(5)))
+    studies = F.explode(F.array(*[F.lit(f"study_{k}") for k in range(3)]))
+    asked = c.roles.table("customer").select(studies.alias("study_id"), F.lit("patient").alias("resource_type"), text.alias("text"))
+    return prefix_index.prefix_requests(c.roles.spark, _prefix_index(c), asked)
+
+
 def _study():
     return F.concat(F.lit("study_"), F.substring("patient_id", 3, 7).cast("int") % 3)
 

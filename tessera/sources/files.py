@@ -183,6 +183,10 @@ def _path(spark: SparkSession, path: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def fresh_version() -> str:
+    return f"v-{uuid.uuid4().hex}"
+
+
 def current_version(spark: SparkSession, path: str) -> str | None:
     """The version that a published folder's pointer names, or none."""
     pointer, fs = _path(spark, f"{path.rstrip('/')}/_current")
@@ -215,7 +219,7 @@ def set_current_version(spark: SparkSession, path: str, version: str | None) ->
 def publish(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Writes a version beside the current one, compares the rows that were written with those that can be read, and switches the pointer in
     one step: readers see the old or the new rows, and a crash leaves the old ones. Older versions stay until they are cleared."""
-    spark, version, seen = df.sparkSession, f"v-{uuid.uuid4().hex}", Observation()
+    spark, version, seen = df.sparkSession, fresh_version(), Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("n")).write
     (out.partitionBy(partition) if partition else out).parquet(f"{path.rstrip('/')}/{version}")
     if spark.read.parquet(f"{path.rstrip('/')}/{version}").count() != seen.get["n"]:
@@ -229,7 +233,7 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
 
 def publish_index(nested: DataFrame, path: str) -> None:
     """An index file of a new version, read back under all its rules before the pointer is switched."""
-    spark, version = nested.sparkSession, f"v-{uuid.uuid4().hex}"
+    spark, version = nested.sparkSession, fresh_version()
     write_index(nested, f"{path.rstrip('/')}/{version}")
     read_index(spark, f"{path.rstrip('/')}/{version}")
     set_current_version(spark, path, version)
