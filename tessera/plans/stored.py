@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import service as S
 from tessera.plans import nightly, serving, snapshot_load
 from tessera.plans.canonical import Canonical
-from tessera.sources import files, prefix_index, statements
+from tessera.sources import documents, files, prefix_index, statements
 from tessera.sources.roles import Roles
 from tessera.streaming.registry import Registry, registry_stream
 
@@ -30,9 +30,10 @@ def candidate_file(c: Canonical) -> DataFrame:
 
 
 def index_file(c: Canonical) -> DataFrame:
+    """The resource index as a document that many tasks write and read."""
     path = files.fresh_path(c.roles.spark, "index")
-    files.publish_index(serving.nested_index(serving.resources(c)), path)
-    return files.read_published_index(c.roles.spark, path)
+    documents.publish_index_document(serving.resources(c), path)
+    return documents.read_index_document(c.roles.spark, documents.current_document(c.roles.spark, path))
 
 
 def _prefix_index(c: Canonical) -> str:
@@ -97,12 +98,11 @@ def streamed_registry(c: Canonical) -> DataFrame:
 def manifest_file(c: Canonical) -> DataFrame:
     """A thumbnail manifest with gaps: sizes, types and addresses that are missing, and sizes below one."""
     n, path = F.col("image_id").cast("long"), files.fresh_path(c.roles.spark, "manifest")
-    entry = F.struct(
-        F.when(n % 5 != 0, F.col("uri")).alias("uri"), F.when(n % 3 != 0, n % 2 * 700).alias("width"), F.lit(300).alias("height"),
+    entries = serving.thumbnail_manifest(c).select(
+        "image_id", F.when(n % 5 != 0, F.col("uri")).alias("uri"), F.when(n % 3 != 0, n % 2 * 700).alias("width"), F.lit(300).alias("height"),
         F.when(n % 4 == 0, "image/png").alias("content_type"), "source_uri")
-    document = serving.thumbnail_manifest(c).select("image_id", entry.alias("e")).agg(F.map_from_entries(F.collect_list(F.struct("image_id", "e"))).alias("slides"))
-    document.select(F.lit(1).alias("version"), F.lit(256).alias("master_size"), "slides").coalesce(1).write.json(path)
-    return files.read_manifest(c.roles.spark, path)
+    documents.publish_manifest(entries, path, "1", 256, CLOCK.isoformat())
+    return documents.read_manifest_document(c.roles.spark, documents.current_document(c.roles.spark, path))
 
 
 def _clinical(roles: Roles) -> str:

@@ -50,7 +50,7 @@ def clinical_ids(spark: SparkSession, path: str, column: str = "PATIENT_ID") ->
 def ordered_ids(spark: SparkSession, path: str, column: str = "PATIENT_ID") -> DataFrame:
     """The distinct non-blank ids (id) and the place of their first row (at), which sorts as the file does."""
     names = clinical_rows(spark, path).columns
-    lines = _numbered(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.col("value") != "\t".join(names)))
+    lines = numbered(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.col("value") != "\t".join(names)))
     ids = lines.select(F.trim(F.get(F.split("value", "\t", -1), names.index(column))).alias("id"), "at").where(F.col("id") != "")
     return ids.groupBy("id").agg(F.min("at").alias("at"))
 
@@ -105,7 +105,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.coalesce(F.trim("image_id"), F.lit("")) != "")
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
+def numbered(spark: SparkSession, path: str) -> DataFrame:
     """The lines of text files with their place (file, start of the split, order in it), which sorts as the lines stand."""
     return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
 
@@ -115,7 +115,7 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, study: s
     and blank ids are errors that name the first such line, and so are repeated patients and files without rows."""
     read = T.StructType([*schema.fields, T.StructField("_malformed", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
-    lines = _numbered(spark, path)
+    lines = numbered(spark, path)
     rows = lines.where(F.trim("value") != "").select("at", F.from_json("value", read, options).alias("r")).select("at", "r.*")
     blank = (F.coalesce(F.trim("study_id"), F.lit("")) == "") | (F.coalesce(F.trim("patient_id"), F.lit("")) == "") | F.col("slides").isNull()
     seen = rows.agg(F.count("*").alias("n"), F.min(F.when(F.col("_malformed").isNotNull() | blank, F.col("at"))).alias("bad")).first()
@@ -139,15 +139,22 @@ def write_snapshot(associations: DataFrame, study: str | Column, path: str) -> N
     lines.repartitionByRange("patient_id").sortWithinPartitions("patient_id").write.mode("overwrite").json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """image_id, uri, width, height, content_type and source_uri of a thumbnail manifest; entries without a uri go, sizes are at least 1."""
-    entry = "struct<uri:string,width:int,height:int,content_type:string,source_uri:string>"
-    rows = spark.read.schema(f"version int, manifest_version string, master_size int, slides map<string,{entry}>").option("multiLine", True).json(path)
-    e = rows.select(F.coalesce("master_size", F.lit(512)).alias("m"), F.explode("slides").alias("image_id", "s")).where(F.coalesce(F.col("s.uri"), F.lit("")) != "")
+ENTRY = "struct<uri:string,width:int,height:int,content_type:string,source_uri:string>"
+
+
+def manifest_entries(rows: DataFrame) -> DataFrame:
+    """image_id and the fields of entries (s) under a master size (m): entries without a uri go, sizes are at least 1."""
+    e = rows.where(F.coalesce(F.col("s.uri"), F.lit("")) != "")
     side = lambda c: F.greatest(F.lit(1), F.coalesce(F.col(f"s.{c}"), F.col("m"))).alias(c)
     return e.select("image_id", "s.uri", side("width"), side("height"), F.coalesce("s.content_type", F.lit("image/jpeg")).alias("content_type"), "s.source_uri")
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """image_id, uri, width, height, content_type and source_uri of a thumbnail manifest; entries without a uri go, sizes are at least 1."""
+    rows = spark.read.schema(f"version int, manifest_version string, master_size int, slides map<string,{ENTRY}>").option("multiLine", True).json(path)
+    return manifest_entries(rows.select(F.coalesce("master_size", F.lit(512)).alias("m"), F.explode("slides").alias("image_id", "s")))
+
+
 def index_revision(spark: SparkSession, path: str) -> str:
     """The revision of an index file: it changes with its bytes."""
     return spark.read.format("binaryFile").load(path).select(F.substring(F.sha2("content", 256), 1, 16)).first()[0]
@@ -178,7 +185,7 @@ def write_index(nested: DataFrame, path: str) -> None:
     nested.agg(studies).select(F.lit(2).alias("version"), "studies").coalesce(1).write.mode("overwrite").json(path)
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -189,7 +196,7 @@ def fresh_version() -> str:
 
 def current_version(spark: SparkSession, path: str) -> str | None:
     """The version that a published folder's pointer names, or none."""
-    pointer, fs = _path(spark, f"{path.rstrip('/')}/_current")
+    pointer, fs = hadoop_path(spark, f"{path.rstrip('/')}/_current")
     if not fs.exists(pointer):
         return None
     stream = fs.open(pointer)
@@ -201,11 +208,11 @@ def current_version(spark: SparkSession, path: str) -> str | None:
 
 def set_current_version(spark: SparkSession, path: str, version: str | None) -> None:
     """Moves a pointer that is written beside over the old one in one step; without a version the pointer goes."""
-    pointer, fs = _path(spark, f"{path.rstrip('/')}/_current")
+    pointer, fs = hadoop_path(spark, f"{path.rstrip('/')}/_current")
     if version is None:
         fs.delete(pointer, False)
         return
-    fresh, _ = _path(spark, f"{path.rstrip('/')}/_current-{uuid.uuid4().hex}")
+    fresh, _ = hadoop_path(spark, f"{path.rstrip('/')}/_current-{uuid.uuid4().hex}")
     stream = fs.create(fresh, True)
     stream.writeUTF(version)
     stream.close()
