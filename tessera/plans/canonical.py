@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
@@ -80,29 +80,47 @@ class Canonical:
         own = self.roles.cleaned.where(F.col("image_id").isNotNull()).select("mrn", "accession_number", "image_id").join(self.patients, "mrn")
         return self.stage(own.join(self.procedures, "accession_number", "left").select("patient_id", "image_id", F.col("procedure_date").try_cast("date").alias("procedure_date")).distinct())
 
-    def _with_places(self, slides: DataFrame, date: Column, path) -> DataFrame:
+    def _placed(self, slides: DataFrame) -> DataFrame:
+        """slides (with _date and _url, what their source says itself) with date and path."""
         fallback = self.slide_dates.withColumnRenamed("procedure_date", "_fallback")
         out = slides.join(self.paths.withColumnRenamed("path", "_path"), "image_id", "left").join(fallback, ["patient_id", "image_id"], "left")
-        return out.withColumn("procedure_date", F.coalesce(date, F.col("_fallback"))).withColumn("slide_path", path(F.col("_path"))).select(COLUMNS).distinct()
+        return out.withColumn("procedure_date", F.coalesce("_date", "_fallback")).withColumn("slide_path", F.coalesce("_path", "_url")).select(COLUMNS)
+
+    _UNPLACED = [c for c in COLUMNS if c not in ("procedure_date", "slide_path")]
 
     @cached_property
-    def block_matches(self) -> DataFrame:
+    def _blocks(self) -> DataFrame:
         b, i = F.col("block_id"), F.col("image_id")
-        own = self.roles.block_matched.where(F.col("patient_id").isNotNull() & i.isNotNull()).select(
+        return self.roles.block_matched.where(F.col("patient_id").isNotNull() & i.isNotNull()).select(
             "*", F.lit("BLOCK").alias("match_level"), X.matched_part_key(b, i).alias("part_key"), X.part_of_block(b).alias("part_number"),
             F.col("part_description").alias("path_dx_title"), X.block_key(i, b).alias("block_key"), b.alias("block_number"),
-        )
-        return self.stage(self._with_places(own, F.col("dop").try_cast("date"), lambda p: p))
+        ).select(*self._UNPLACED, F.col("dop").try_cast("date").alias("_date"), F.lit(None).cast("string").alias("_url"))
 
     @cached_property
-    def part_matches(self) -> DataFrame:
+    def _parts(self) -> DataFrame:
         i = F.col("image_id")
-        own = self.roles.part_matched.where(F.col("patient_id").isNotNull() & i.isNotNull()).select(
+        return self.roles.part_matched.where(F.col("patient_id").isNotNull() & i.isNotNull()).select(
             "*", F.lit("PART").alias("match_level"), X.joined("part:", F.coalesce("part_number", X.image_token(i))).alias("part_key"),
             F.col("spec_title").alias("path_dx_title"), X.block_key(i, F.col("block_number"), F.col("block_label")).alias("block_key"),
-        )
-        own = own.join(self.block_matches.select("patient_id", "sample_id", "image_id"), ["patient_id", "sample_id", "image_id"], "left_anti")
-        return self.stage(self._with_places(own, F.col("procedure_text").try_cast("date"), lambda p: F.coalesce(p, F.col("slide_url"))))
+        ).select(*self._UNPLACED, F.col("procedure_text").try_cast("date").alias("_date"), F.col("slide_url").alias("_url"))
+
+    @cached_property
+    def _others(self) -> DataFrame:
+        b, i = F.col("block_id"), F.col("image_id")
+        return self.roles.cleaned.where(i.isNotNull()).join(self.patients, "mrn").select(
+            "*", F.lit("UNMATCHED").alias("match_level"), F.lit(None).cast("string").alias("sample_id"), X.unmatched_part_key(b, i).alias("part_key"), X.part_of_block(b).alias("part_number"),
+            F.col("part_description").alias("path_dx_title"), X.block_key(i, b).alias("block_key"), b.alias("block_number"),
+        ).select(*self._UNPLACED, F.lit(None).cast("date").alias("_date"), F.lit(None).cast("string").alias("_url"))
+
+    @cached_property
+    def block_matches(self) -> DataFrame:
+        return self._placed(self._blocks).distinct()
+
+    @cached_property
+    def part_matches(self) -> DataFrame:
+        """The part-matched slides that are not block-matched for the same sample."""
+        keys = ["patient_id", "sample_id", "image_id"]
+        return self._placed(self._parts.join(self._blocks.select(keys), keys, "left_anti")).distinct()
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -110,13 +128,21 @@ class Canonical:
 
     @cached_property
     def unmatched(self) -> DataFrame:
-        b, i = F.col("block_id"), F.col("image_id")
-        own = self.roles.cleaned.where(i.isNotNull()).join(self.patients, "mrn").select(
-            "*", F.lit("UNMATCHED").alias("match_level"), F.lit(None).cast("string").alias("sample_id"), X.unmatched_part_key(b, i).alias("part_key"), X.part_of_block(b).alias("part_number"),
-            F.col("part_description").alias("path_dx_title"), X.block_key(i, b).alias("block_key"), b.alias("block_number"),
-        )
-        own = own.join(self.matched.select("patient_id", "image_id"), ["patient_id", "image_id"], "left_anti")
-        return self._with_places(own, F.lit(None).cast("date"), lambda p: p)
+        """The slides of known patients that are matched in no way; part matches that go have a block match of the same slide."""
+        keys = ["patient_id", "image_id"]
+        known = self._blocks.select(keys).unionByName(self._parts.select(keys))
+        return self._placed(self._others.join(known, keys, "left_anti")).distinct()
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """matched and unmatched together, repeated rows included: the levels are told apart by windows over the rows of a slide, which the
+        ranking uses too, so that places are joined once and no anti join is made."""
+        rows, level = self._placed(self._blocks.unionByName(self._parts).unionByName(self._others)), F.col("match_level")
+        slide = Window.partitionBy("patient_id", "image_id")
+        of_sample = Window.partitionBy("patient_id", "image_id", "sample_id")
+        marked = rows.withColumn("_any", F.max(level != "UNMATCHED").over(slide)).withColumn("_block", F.max(level == "BLOCK").over(of_sample))
+        keep = (level == "BLOCK") | ((level == "PART") & ~(F.col("sample_id").isNotNull() & F.col("_block"))) | ((level == "UNMATCHED") & ~F.col("_any"))
+        return marked.where(keep).drop("_any", "_block")
 
     @cached_property
     def associations(self) -> DataFrame:
@@ -127,7 +153,7 @@ class Canonical:
             X.path_rank(F.col("slide_path")), X.level_rank(F.col("match_level")), F.col("sample_id").isNull(),
             F.coalesce("part_key", F.lit(last)), F.coalesce("block_key", F.lit(last)), *[F.col(c).asc_nulls_first() for c in ties],
         ]
-        best = first_by(self.matched.unionByName(self.unmatched), ["patient_id", "image_id"], order).join(self.references, "patient_id", "left")
+        best = first_by(self.candidates, ["patient_id", "image_id"], order).join(self.references, "patient_id", "left")
         group, name, day, since = F.col("stain_group"), F.col("stain_name"), F.col("procedure_date"), F.col("sequencing_date")
         nothing = F.lit(None).cast("string")
         return best.select(
