@@ -126,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_file": _canonical(stored.snapshot_file),
     "snapshot_of_study": _canonical(lambda c: stored.snapshot_file(c, "study_1")),
     "stored_release": _canonical(stored.stored_release),
+    "catalog_release": _canonical(stored.catalog_release),
     "result_lines": _canonical(stored.result_lines),
     "streamed_registry": _canonical(stored.streamed_registry),
     "manifest_file": _canonical(stored.manifest_file),

@@ -267,4 +267,4 @@ SELECT * EXCLUDE (status), if(read_width <= 0 OR read_height <= 0, 0, read_width
     "statement_rows": over("SELECT image_id, stain_name, magnification FROM stained WHERE magnification = '40x' AND stain_group IN ('IHC', 'H&E (Other)')"),
     "coerced_values": "SELECT l_orderkey, l_linenumber, l_linenumber IN (1, 3) flag, if(l_partkey % 3 = 0, l_partkey, NULL)::BIGINT AS number, l_quantity::DECIMAL(12, 2)::DOUBLE quantity FROM lineitem",
 }
-ORACLES["stored_release"] = ORACLES["loaded_part"]
+ORACLES["stored_release"] = ORACLES["catalog_release"] = ORACLES["loaded_part"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import service as S
 from tessera.plans import nightly, serving, snapshot_load
 from tessera.plans.canonical import Canonical
-from tessera.sources import documents, files, prefix_index, statements
+from tessera.sources import catalog, documents, files, prefix_index, statements
 from tessera.sources.roles import Roles
 from tessera.streaming.registry import Registry, registry_stream
 
@@ -76,6 +77,17 @@ def stored_release(c: Canonical) -> DataFrame:
     return files.read_release(c.roles.spark, path, "part").drop("release_id")
 
 
+def catalog_release(c: Canonical) -> DataFrame:
+    """The parts of a release in a catalog table that holds two, after the second was loaded again with other rows."""
+    spark, parts = c.roles.spark, files.staged(snapshot_load.loaded(c, "part"))
+    name = f"parts_{uuid.uuid4().hex}"
+    catalog.create_release_table(spark, name, parts.drop("release_id").schema, files.fresh_path(spark, "catalog"))
+    catalog.load_release(parts.drop("release_id"), name, "1")
+    for again in (parts.where("false"), parts):
+        catalog.load_release(again.drop("release_id"), name, "2")
+    return catalog.release_rows(spark, name).drop("release_id")
+
+
 def result_lines(c: Canonical) -> DataFrame:
     """Result lines of renderers: every seventh image's line is truncated, every eleventh has no image."""
     n, path = F.col("image_id").cast("long"), files.fresh_path(c.roles.spark, "results")

@@ -90,6 +90,22 @@ def without_attributes(spark: SparkSession, path: str, out: str, attributes: lis
     return gone
 
 
+def clean_study(spark: SparkSession, folder: str, out: str, attributes: list[str], stale: list[str], name: str = "data_clinical_sample.txt") -> dict[str, list[str]]:
+    """Takes attributes out of a study's clinical file, whose new form goes to out, and deletes the listed files of the study that are there.
+
+    Returns the columns and the files that went. Paths that lead out of the study are an error before anything is done."""
+    path, fs = hadoop_path(spark, f"{folder.rstrip('/')}/{name}")
+    if bad := [x for x in stale if x.startswith("/") or ".." in x.split("/") or ":" in x or not x]:
+        raise ValueError(f"not files of the study: {bad}")
+    gone = without_attributes(spark, path.toString(), out, attributes) if fs.exists(path) else []
+    deleted = []
+    for x in stale:
+        old, own = hadoop_path(spark, f"{folder.rstrip('/')}/{x}")
+        if own.exists(old) and own.getFileStatus(old).isFile() and own.delete(old, False):
+            deleted.append(x)
+    return {"removed_attributes": gone, "removed_files": deleted}
+
+
 def write_tsv(df: DataFrame, path: str, order: list[Column], hidden: tuple[str, ...] = ()) -> None:
     """One TSV with a header row, in an order: for small study files. Hidden columns are for the order only."""
     df.orderBy(*order).drop(*hidden).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
