@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.files import staged
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order; Spark limits each partition's groups before the shuffle."""
@@ -29,23 +33,25 @@ def appended_counts(rows: DataFrame, counts: DataFrame, key: str, columns: list[
     return rows.join(counts.select(key, *columns), key, "left").na.fill(0, columns)
 
 
-def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], stage: Callable[[DataFrame], DataFrame] = staged) -> DataFrame:
     """Adds rank (long, from 0) in an order.
 
-    Ranks come from the sorted range partitions' row counts, so no task sees all rows. The sorted rows are kept, since both passes must
-    see the same partitions."""
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33)).persist()
+    Ranks come from the sorted range partitions' row counts, so no task sees all rows. The sorted rows are written as a table, since
+    both passes must see the same partitions; stage says how."""
+    sorted_ = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33)))
     counts = sorted_.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
+    starts = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))  # one row a partition
     return sorted_.join(F.broadcast(starts), "_p").withColumn("rank", F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
 
 
 def contiguous_shards(df: DataFrame, order: list[Column], per_shard: int, most: int) -> DataFrame:
-    """shard (from 0): runs of equal length in an order, at least per_shard rows each, in at most `most` shards."""
-    n = df.count()
+    """shard (from 0): runs of equal length in an order, at least per_shard rows each, in at most `most` shards. The rows are counted where
+    their ranks lie, so df is evaluated once."""
+    placed = ranked(df, order)
+    n = (placed.agg(F.max("rank")).first()[0] or 0) + 1
     shards = max(1, min(most, -(-n // per_shard)))
     size = max(1, -(-n // shards))
-    return ranked(df, order).withColumn("shard", F.floor(F.col("rank") / size).cast("int")).drop("rank")
+    return placed.withColumn("shard", F.floor(F.col("rank") / size).cast("int")).drop("rank")
 
 
 def round_robin_shards(df: DataFrame, order: list[Column], tasks: int) -> DataFrame:

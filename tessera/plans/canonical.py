@@ -38,7 +38,9 @@ class Canonical:
     def release(self) -> None:
         """Frees the executors' storage of the staged steps, once the results that read them are written."""
         while self.kept:
-            self.kept.pop().unpersist()
+            df = self.kept.pop()
+            if df.sparkSession.sparkContext._jsc is not None:  # a session that has ended holds nothing
+                df.unpersist()
 
     @cached_property
     def paths(self) -> DataFrame:

@@ -19,8 +19,20 @@ from tessera.streaming.limiter import rate_limit_admissions
 __all__ = ["ORACLES", "QUERIES"]
 
 
+_held: list[Canonical] = []
+
+
 def _canonical(make: Callable[[Canonical], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: make(Canonical(Roles(spark, folder), at=stored.CLOCK))
+    """A query over the canonical steps. Those that the query before has staged are freed: an earlier result that is still used derives
+    them again, and a session holds the steps of one query at most."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        while _held:
+            _held.pop().release()
+        _held.append(Canonical(Roles(spark, folder), at=stored.CLOCK))
+        return make(_held[0])
+
+    return run
 
 
 def _roles(make: Callable[[Roles], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -127,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_of_study": _canonical(lambda c: stored.snapshot_file(c, "study_1")),
     "stored_release": _canonical(stored.stored_release),
     "catalog_release": _canonical(stored.catalog_release),
+    "study_folders": _canonical(stored.study_folders),
     "result_lines": _canonical(stored.result_lines),
     "streamed_registry": _canonical(stored.streamed_registry),
     "manifest_file": _canonical(stored.manifest_file),

@@ -253,6 +253,8 @@ d AS (SELECT *, ds[level + 1] level_downsample FROM b),
 q AS (SELECT * EXCLUDE (ds), least(ceil(source_width / level_downsample), floor(width / level_downsample) - floor(x0 / level_downsample))::BIGINT read_width, least(ceil(source_height / level_downsample), floor(height / level_downsample) - floor(y0 / level_downsample))::BIGINT read_height FROM d)
 SELECT * EXCLUDE (status), if(read_width <= 0 OR read_height <= 0, 0, read_width * read_height)::BIGINT pixels, CASE WHEN status <> 'ok' THEN status WHEN read_width <= 0 OR read_height <= 0 THEN 'blank' WHEN read_width * read_height > 150000 THEN 'too_large' ELSE 'ok' END status FROM q""").replace("\n\n,", "\n,"),
     "published_summary": over("SELECT * FROM summary"),
+    "study_folders": over("""SELECT CASE patient % 3 WHEN 0 THEN 'stated_0' WHEN 1 THEN 'stated_1' ELSE 'study_2' END study_id, count(DISTINCT sample_id) n_samples, count(*) n_slides
+FROM rel WHERE sample_id IS NOT NULL GROUP BY 1"""),
     "candidate_file": over("SELECT * FROM cand"),
     "index_file": over("SELECT * FROM idx"),
     "snapshot_file": over("SELECT 'study_' || substr(patient_id, 3, 7)::INT % 3 study_id, patient_id, image_id, sample_id, part_key, block_key, can_serve_tiles, procedure_date_days, file_size_bytes FROM can"),

@@ -88,6 +88,16 @@ def catalog_release(c: Canonical) -> DataFrame:
     return catalog.release_rows(spark, name).drop("release_id")
 
 
+def study_folders(c: Canonical) -> DataFrame:
+    """The samples with slides of each study, under the id that the folder's meta file states, else the folder's name."""
+    spark, root = c.roles.spark, files.fresh_path(c.roles.spark, "studies")
+    counts = c.associations.where(F.col("sample_id").isNotNull()).groupBy(_study().alias("folder")).agg(F.count_distinct("sample_id").alias("n_samples"), F.count("*").alias("n_slides"))
+    for k in (0, 1):
+        files.write_meta(spark, f"{root}/study_{k}/meta_study.txt", {"type_of_cancer": "mixed", "cancer_study_identifier": f" stated_{k}"})
+    names = [(f"study_{k}", files.study_identifier(spark, f"{root}/study_{k}")) for k in range(3)]
+    return counts.join(spark.createDataFrame(names, "folder string, study_id string"), "folder").select("study_id", "n_samples", "n_slides")
+
+
 def result_lines(c: Canonical) -> DataFrame:
     """Result lines of renderers: every seventh image's line is truncated, every eleventh has no image."""
     n, path = F.col("image_id").cast("long"), files.fresh_path(c.roles.spark, "results")
