@@ -141,8 +141,9 @@ def _head_end(source: str, at: int, pairs: dict[int, int]) -> int:
     return at
 
 
-def parse(source: str) -> Tree:
-    """Lenient: implied end tags, stray end tags, unclosed elements and pages that end early."""
+def parse(source: str, labelled: bool = False) -> Tree:
+    """Lenient: implied end tags, stray end tags, unclosed elements and pages that end early. Labels are read of made-up pages only: in
+    others their attribute is one like any that tells nothing."""
     tree = Tree()
     stack: list[tuple[str, int]] = [("#root", tree.add("html", -1))]
     run, links, apart, at, pairs = -1, 0, True, 0, _pairs(source)
@@ -204,6 +205,7 @@ def parse(source: str) -> Tree:
         if name == "a":
             links += 1
         tokens, label = _attributes(m[3] or m[6] or "")
+        label = label if labelled else None
         if name in BLOCK:
             if name in ("html", "body"):
                 if name == "body":

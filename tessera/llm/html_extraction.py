@@ -44,7 +44,7 @@ def _labels(tree: dom.Tree) -> np.ndarray:
 @lru_cache(maxsize=2)
 def train(pages: int = 850, seed: int = 5) -> Extractor:
     """Trained on a bounded number of made-up pages; the same on every call."""
-    trees = [dom.parse(p) for p in example_pages(pages, seed)]
+    trees = [dom.parse(p, labelled=True) for p in example_pages(pages, seed)]
     labels = [_labels(t) for t in trees]
     kept, seen, kept_tag, seen_tag = Counter(), Counter(), Counter(), Counter()
     for t, y in zip(trees, labels):

@@ -150,7 +150,7 @@ def test_packing(spark, odd_rows, documents):
             b.sort()
             assert all(o == sum(n for _, n in b[:k]) for k, (o, _) in enumerate(b)) and sum(n for _, n in b) <= 2048
         least = -(-sum(r.length for r in got) // 2048)
-        assert len(bins) <= least * 1.05 + 1
+        assert len(bins) <= least * 1.005 + 1
     assert packing.best_fit_packing(frame(spark, [])).isEmpty()
 
 
@@ -213,7 +213,7 @@ def test_articles_without_an_element_of_their_own():
 def test_extraction_of_unseen_pages_and_odd_rows(spark):
     model, right, of = html_extraction.train(), 0, 0
     for page in example_pages(60, seed=77):
-        tree = dom.parse(page)
+        tree = dom.parse(page, labelled=True)
         y = html_extraction._labels(tree)
         kept = dom.decode(tree, model.trees.logit(dom.features(tree, model.tag_odds, model.token_odds)))
         assert all(kept[p] or not k for k, p in zip(kept, tree.parent) if p >= 0)
@@ -221,6 +221,8 @@ def test_extraction_of_unseen_pages_and_odd_rows(spark):
             if t is not None:
                 right, of = right + len("".join(t)) * (kept[k] == bool(y[k])), of + len("".join(t))
     assert right / of > 0.9
+    plain = "<p>One sentence <b>is</b> here, and goes on.</p>"
+    assert dom.parse(plain.replace("<b>", '<b data-y="0">')).tag == dom.parse(plain).tag  # the label of training pages means nothing elsewhere
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>a&amp;b<p>c"), (4, "u", "plain"), (4, "u", "plain"), (5, "u", "<div" * 500), (6, "u", "</p></div><!-- x")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
     got = html_extraction.html_extraction(pages).collect()
