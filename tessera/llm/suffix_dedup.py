@@ -78,110 +78,182 @@ def _frame(parts: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("gram", "own", "_row", "_doc", "first", "last", "at"), zip(*parts))})
 
 
-def suffix_runs(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at `starts` by their first `length` bytes, then place, and their ranks in that order (equal where those
-    bytes are equal). Ranks of strings of 8, 16, 32 ... bytes come from pairs of ranks of half as many."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)]).astype(np.uint64)
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Ranks of the strings of 4, 8, 16 ... symbols at each place, up to those that tell all suffixes apart.
+
+    symbols: bytes, with one place behind each text that holds no byte of it; ends: that place for each place. Strings that reach it are
+    equal to no other, so no rank compares bytes of one text with those of the next. Ranks of strings come from pairs of ranks of half as many.
+    """
+    n = len(symbols)
+    here = np.arange(n)
+    padded = np.concatenate([np.where(here < ends, symbols + _U(1), _U(0)), np.zeros(4, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << _U(8)) | padded[k : n + k]
-    _, rank = np.unique(key, return_inverse=True)
-    have = 8
-    while have < length:
-        step = min(have, length - have)
+    for k in range(4):
+        key = key * _U(257) + np.where(here + k < ends, padded[k : n + k], _U(0))
+    of = np.cumsum(here == ends) - (here == ends)
+    key = (key << _U(30)) | np.where(here + 4 > ends, of + 1, 0).astype(np.uint64)
+    found, rank = np.unique(key, return_inverse=True)
+    levels = [rank.astype(np.int32)]
+    while len(found) < n:
+        step = 4 << (len(levels) - 1)
         then = np.zeros(n, np.int64)
-        then[: n - step] = rank[step:] + 1
-        pair = rank.astype(np.int64) * (n + 2) + then
-        if have + step >= length:
-            pair = pair[starts]
-        _, rank = np.unique(pair, return_inverse=True)
-        have += step
-    rank = rank if length > 8 else rank[starts]
-    return np.lexsort([starts, rank]), rank
-
-
-def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each start, the place of an earlier start with the same next `length` bytes, or -1: the longest-previous-factor array where
-    factors count from that length on and are cut there.
-
-    Suffixes that agree on `length` bytes stand together in suffix order, by place; the previous smaller place of one is then its
-    neighbour before, and no next smaller place is among them.
+        then[: max(0, n - step)] = levels[-1][step:] + np.int64(1)
+        found, rank = np.unique(levels[-1].astype(np.int64) * (n + 2) + then, return_inverse=True)
+        levels.append(rank.astype(np.int32))
+    return levels
+
+
+def previous_smaller(v: np.ndarray) -> np.ndarray:
+    """For each entry the index of the nearest smaller one before it, or -1.
+
+    From the least entries of blocks of 1, 2, 4 ...: a search climbs until the block on its left has a smaller entry and goes down to the
+    last such one, so its steps are logarithmic for any order of entries.
+    """
+    least = [v]
+    while len(least[-1]) > 1:
+        even = np.append(least[-1], np.iinfo(v.dtype).max) if len(least[-1]) % 2 else least[-1]
+        least.append(even.reshape(-1, 2).min(1))
+    out = np.full(len(v), -1)
+    who = node = np.arange(len(v))
+    for k, low in enumerate(least[:-1]):
+        hit = (node & 1 == 1) & (low[np.maximum(node - 1, 0)] < v[who])
+        at = node[hit] - 1
+        for below in reversed(least[:k]):
+            at = 2 * at + (below[2 * at + 1] < v[who[hit]])
+        out[who[hit]] = at
+        who, node = who[~hit], node[~hit] >> 1
+    return out
+
+
+def next_smaller(v: np.ndarray) -> np.ndarray:
+    """For each entry the index of the nearest smaller one after it, or -1."""
+    back = previous_smaller(v[::-1])[::-1]
+    return np.where(back < 0, -1, len(v) - 1 - back)
+
+
+def common_lengths(levels: list[np.ndarray], symbols: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at x and at y have in common: the longest ranked strings first, then single symbols."""
+    n, shared = len(symbols), np.zeros(len(x), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        i, j = x + shared, y + shared
+        inside = (i < n) & (j < n)
+        shared += np.where(inside & (levels[k][np.minimum(i, n - 1)] == levels[k][np.minimum(j, n - 1)]), 4 << k, 0)
+    for _ in range(3):
+        i, j = x + shared, y + shared
+        shared += (i < ends[x]) & (j < ends[y]) & (symbols[np.minimum(i, n - 1)] == symbols[np.minimum(j, n - 1)])
+    return shared
+
+
+def previous_factors(symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest-previous-factor array over `starts` (ascending): the index of the earlier start that agrees longest with each start (-1
+    if there is none), and the length of what they share. symbols and ends are those of suffix_ranks.
+
+    In suffix order, the suffixes that agree longest with one of those before it in the text are the nearest on both sides with a smaller place.
     """
-    order, rank = suffix_runs(data, starts, length)
-    earlier = np.full(len(starts), -1)
-    same = rank[order[1:]] == rank[order[:-1]]
-    earlier[order[1:][same]] = order[:-1][same]
-    return earlier
+    levels = suffix_ranks(symbols, ends)
+    order = np.argsort(levels[-1][starts], kind="stable")
+    source, length = np.full(len(starts), -1), np.zeros(len(starts), np.int64)
+    for near in (previous_smaller(order), next_smaller(order)):
+        has = near >= 0
+        x, y = order[has], order[near[has]]
+        shared = common_lengths(levels, symbols, ends, starts[x], starts[y])
+        longer = shared > length[x]
+        source[x[longer]], length[x[longer]] = y[longer], shared[longer]
+    return source, length
 
 
 def _repeated(length: int, keep_first: bool):
     def find(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["_doc", "_row", "first"], kind="stable").reset_index(drop=True)
         size = g["bytes"].str.len().to_numpy()
-        data = np.frombuffer(b"".join(g["bytes"]), np.uint8)
-        base, windows = np.cumsum(size) - size, size - length + 1
+        symbols = np.frombuffer(b"".join(x + b"\0" for x in g["bytes"]), np.uint8)
+        end = np.cumsum(size + 1) - 1
+        base, windows = end - size, size - length + 1
         of = np.repeat(np.arange(len(g)), windows)
-        starts = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + base[of]
-        earlier = previous_factors(data, starts, length)
-        marked = earlier >= 0
+        at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        source, factor = previous_factors(symbols.astype(np.uint64), np.repeat(end, size + 1), at + base[of])
+        later = factor >= length
+        reach = np.where(later, factor, 0)
         if not keep_first:
-            marked[earlier[marked]] = True
-        at, of = (starts - base[of])[marked], of[marked]
+            np.maximum.at(reach, source[later], factor[later])
+        marked = reach > 0
+        at, of, stop = at[marked], of[marked], (at + reach)[marked]
         if not len(at):
-            return pd.DataFrame({"_row": [], "a": [], "b": []}, dtype="int64")
+            return pd.DataFrame({"_doc": [], "_row": [], "a": [], "b": []}, dtype="int64")
         new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 0)]))
-        end = np.concatenate([new[1:], [len(at)]]) - 1
-        first = g["first"].to_numpy()[of]
-        return pd.DataFrame({"_row": g["_row"].to_numpy()[of[new]], "a": first[new] + at[new], "b": first[end] + at[end] + length})
+        row, first = g.loc[of[new]], g["first"].to_numpy()[of[new]]
+        return pd.DataFrame({"_doc": row["_doc"].to_numpy(), "_row": row["_row"].to_numpy(), "a": first + at[new], "b": first + np.maximum.reduceat(stop, new)})
 
     return find
 
 
+SPAN = ["_doc", "_row", "a", "b"]
+
+
+def _by_factors(pieces: DataFrame, key: str, length: int, keep_first: bool, batch_bytes: int) -> DataFrame:
+    """Spans of what repeats within the pieces of each key, keys being dealt to batches of about batch_bytes."""
+    total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    bins = F.pmod(F.xxhash64(key), F.lit(hash_parts(total, batch_bytes))).alias("bin")
+    batches = pieces.select(bins, "_doc", "_row", "first", "bytes").groupBy("bin")
+    return batches.applyInPandas(_repeated(length, keep_first), "_doc long, _row long, a long, b long")
+
+
+def _later(r: str, keep_first: bool, at: str = "first"):
+    """Which of equal strings are marked: all, or all but the first, r."""
+    return (F.col(f"{r}._doc") != F.col("_doc")) | (F.col(f"{r}._row") != F.col("_row")) | (F.col(f"{r}.{at}") != F.col(at)) if keep_first else F.lit(True)
+
+
+def _crowded(many: DataFrame, length: int, keep_first: bool, most: int, batch_bytes: int, width: int = 25) -> DataFrame:
+    """The same for grams with very many different segments, by narrower segments: `width` neighbouring windows share a core of
+    length - width + 1 bytes, so equal windows lie in parts of equal cores. Equal parts are counted, the different parts of a core go to
+    the arrays, and where a core has more than `most` of them, their single windows are counted by hashes."""
+    part = many.withColumn("part", F.explode(F.sequence(F.floor((F.col("at") - F.col("last")) / width), F.floor((F.col("at") - F.col("first")) / width))))
+    # The windows of a part start from at - part * width - width + 1 to at - part * width, so far as the segment has them.
+    core = F.col("at") - F.col("part") * width
+    part = part.withColumn("low", F.greatest("first", core - (width - 1))).withColumn("high", F.least("last", core)).withColumn("_core", core)
+    part = part.select(
+        "_doc", "_row", F.xxhash64("gram", "part", F.expr(f"substring(bytes, int(_core - first) + 1, {length - width + 1})")).alias("core"), F.col("low").alias("first"),
+        "high", F.expr(f"substring(bytes, int(low - first) + 1, int(high - low) + {length})").alias("bytes"), (F.col("_core") - F.col("low")).alias("lead"),
+    )
+    part = cut(part.withColumn("own", F.xxhash64("core", "lead", "bytes")), "parts")
+    each = part.groupBy("core", "own").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "_row", "first")).alias("r"))
+    sized = cut(each.join(each.groupBy("core").agg(F.count("*").alias("k")), "core").where((F.col("n") > 1) | (F.col("k") > 1)), "part-counts")
+    met = cut(part.join(sized, ["core", "own"]), "parts-met")
+    discard(part, sized)
+    whole = met.where((F.col("n") > 1) & _later("r", keep_first)).select("_doc", "_row", F.col("first").alias("a"), (F.col("high") + length).alias("b"))
+    apart = met.where((F.col("k") > 1) & ~_later("r", True))
+    out = whole.unionByName(_by_factors(apart.where(F.col("k") <= most), "core", length, keep_first, batch_bytes))
+    window = apart.where(F.col("k") > most).select("_doc", "_row", "core", "first", "bytes", F.explode(F.sequence("first", "high")).alias("w"))
+    keyed = window.select("_doc", "_row", "w", F.xxhash64(F.expr(f"substring(bytes, int(w - first) + 1, {length})"), "core").alias("h"))
+    count = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "_row", "w")).alias("r")).where(F.col("n") > 1)
+    more = keyed.join(count, "h").where(_later("r", keep_first, "w"))
+    return out.unionByName(more.select("_doc", "_row", F.col("w").alias("a"), (F.col("w") + length).alias("b")))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, most: int = 1_000, batch_bytes: int = 1_500_000) -> DataFrame:
-    """(_row, a, b): byte ranges of texts that are covered by repeated strings of `length` bytes; they may overlap.
+    """(_doc, _row, a, b): byte ranges of texts that are covered by repeated strings of `length` bytes; they may overlap.
 
-    docs: _row (equal for repeated rows), doc_id, text. keep_first leaves the first occurrence, by doc_id and place, unmarked. A gram with
-    over `most` different segments is not collected: its segments are dealt by the bytes that neighbouring windows share, and the
-    windows of those that meet again are counted by their hashes.
+    docs: _row (equal for repeated rows), doc_id, text; the two together tell texts apart. keep_first leaves the first occurrence, by doc_id
+    and place, unmarked. A task collects a batch of grams with at most `most` different segments each; for the others see _crowded.
     """
     seg = cut(docs.mapInPandas(_segment_rows(length, gram), "gram long, own long, _row long, _doc long, first long, last long, at long"), "segments")
     each = cut(seg.groupBy("gram", "own").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "_row", "first", "last", "at")).alias("r")), "segment-counts")
-    again = each.where(F.col("n") > 1).select("gram", "own", F.col("r._row").alias("r_row"), F.col("r.first").alias("r_first"))
-    hit = seg.join(again, ["gram", "own"])
-    if keep_first:
-        hit = hit.where((F.col("_row") != F.col("r_row")) | (F.col("first") != F.col("r_first")))
+    hit = seg.join(each.where(F.col("n") > 1).select("gram", "own", "r"), ["gram", "own"]).where(_later("r", keep_first))
     # A table of its own, so that adaptive execution can split the keys of much copied segments; copies of a row share a _row.
-    spans = cut(hit.select("_row", F.col("first").alias("a"), (F.col("last") + length).alias("b")), "whole-segments")
+    spans = cut(hit.select("_doc", "_row", F.col("first").alias("a"), (F.col("last") + length).alias("b")), "whole-segments")
     several = each.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > 1)
     open_ = each.join(several, "gram").select("gram", "k", "r._row", "r._doc", "r.first", "r.last", "r.at")
-    lists = open_.groupBy("_row").agg(F.collect_list(F.struct("gram", "k", "_doc", "first", "last", "at")).alias("s"))
-    raw = docs.select("_row", F.col("text").cast("binary").alias("_b")).join(lists, "_row")
-    cutting = raw.select("_row", "_b", F.explode("s").alias("s")).select(
-        "_row", "s.*", F.expr(f"substring(_b, int(s.first) + 1, int(s.last - s.first) + {length})").alias("bytes")
+    lists = open_.groupBy("_doc", "_row").agg(F.collect_list(F.struct("gram", "k", "first", "last", "at")).alias("s"))
+    raw = docs.select(F.col("doc_id").alias("_doc"), "_row", F.col("text").cast("binary").alias("_b")).join(lists, ["_doc", "_row"])
+    cutting = raw.select("_doc", "_row", "_b", F.explode("s").alias("s")).select(
+        "_doc", "_row", "s.*", F.expr(f"substring(_b, int(s.first) + 1, int(s.last - s.first) + {length})").alias("bytes")
     )
     # Repeated rows give their segments twice. Those are marked above already, unless the first one is to stay.
-    pieces = cut(cutting.dropDuplicates(["_row", "first"]) if keep_first else cutting, "contested")
+    pieces = cut(cutting.dropDuplicates(["_doc", "_row", "first"]) if keep_first else cutting, "contested")
     discard(seg, each)
-    total = pieces.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    bins = F.pmod(F.xxhash64("gram"), F.lit(hash_parts(total, batch_bytes))).alias("bin")
-    few = pieces.where(F.col("k") <= most).select(bins, "_row", "_doc", "first", "bytes")
-    out = spans.unionByName(few.groupBy("bin").applyInPandas(_repeated(length, keep_first), "_row long, a long, b long"))
+    out = spans.unionByName(_by_factors(pieces.where(F.col("k") <= most), "gram", length, keep_first, batch_bytes))
     many = pieces.where(F.col("k") > most)
-    if many.isEmpty():
-        return out
-    width = 25  # windows that share a core of length - width + 1 bytes
-    part = many.withColumn("part", F.explode(F.sequence(F.floor((F.col("at") - F.col("last")) / width), F.floor((F.col("at") - F.col("first")) / width))))
-    # The windows of a part start from at - part * width - width + 1 to at - part * width, so far as the segment has them.
-    low, high = F.greatest(F.col("first"), F.col("at") - F.col("part") * width - (width - 1)), F.least(F.col("last"), F.col("at") - F.col("part") * width)
-    part = part.withColumn("low", low).withColumn("high", high)
-    window = part.select("_row", "_doc", "gram", "first", "bytes", F.explode(F.sequence("low", "high")).alias("w"))
-    keyed = window.select("_row", "_doc", "w", F.xxhash64(F.expr(f"substring(bytes, int(w - first) + 1, {length})"), "gram").alias("h"))
-    count = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_doc", "_row", "w")).alias("r")).where(F.col("n") > 1)
-    more = keyed.join(count, "h")
-    if keep_first:
-        more = more.where((F.col("r._row") != F.col("_row")) | (F.col("r.w") != F.col("w")))
-    return out.unionByName(more.select("_row", F.col("w").alias("a"), (F.col("w") + length).alias("b")))
+    return out if many.isEmpty() else out.unionByName(_crowded(many, length, keep_first, most, batch_bytes))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -217,8 +289,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_f
     """
     own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
     source = own.select("_row", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
-    spans = repeated_spans(source, length, gram, keep_first, most).groupBy("_row").agg(F.collect_set(F.struct("a", "b")).alias("s"))
-    both = own.join(spans, "_row", "left").select("doc_id", "text", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+    spans = repeated_spans(source, length, gram, keep_first, most).groupBy("_doc", "_row").agg(F.collect_set(F.struct("a", "b")).alias("s"))
+    both = own.withColumn("_doc", F.coalesce("doc_id", F.lit(-1))).join(spans, ["_doc", "_row"], "left").select("doc_id", "text", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     return both.mapInPandas(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans array<long>")
 
 

@@ -120,12 +120,32 @@ def test_suffix_dedup(spark, odd_rows, documents, most, keep_first):
 
 def test_previous_factors():
     rng = np.random.default_rng(2)
-    data = rng.integers(0, 3, 500).astype(np.uint8)
-    starts = np.arange(len(data) - 8)
-    got = suffix_dedup.previous_factors(data, starts, 9)
-    for k in starts[:-1]:
-        same = [j for j in range(k) if bytes(data[j : j + 9]) == bytes(data[k : k + 9])]
-        assert got[k] == (same[-1] if same else -1)
+    for sizes, letters in (([500], 3), ([40, 9, 200, 7, 100], 2), ([60] * 5, 1), ([1, 2, 3], 1)):
+        texts = [bytes(rng.integers(0, letters, n).astype(np.uint8)) for n in sizes]
+        symbols = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.uint64)
+        end = np.cumsum(np.array(sizes) + 1) - 1
+        ends = np.repeat(end, np.array(sizes) + 1)
+        starts = np.flatnonzero(np.arange(len(symbols)) < ends)
+        source, length = suffix_dedup.previous_factors(symbols, ends, starts)
+
+        def shared(i, j):
+            n = 0
+            while i + n < ends[i] and j + n < ends[j] and symbols[i + n] == symbols[j + n]:
+                n += 1
+            return n
+
+        for k, i in enumerate(starts):
+            assert length[k] == max([shared(i, j) for j in starts[:k]], default=0)
+            assert (source[k] == -1) == (length[k] == 0) and (length[k] == 0 or source[k] < k and shared(i, starts[source[k]]) == length[k])
+
+
+def test_smaller_neighbours():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 64, 301):
+        for v in (rng.permutation(n), np.arange(n), np.arange(n)[::-1]):
+            before = [max([j for j in range(i) if v[j] < v[i]], default=-1) for i in range(n)]
+            after = [min([j for j in range(i + 1, n) if v[j] < v[i]], default=-1) for i in range(n)]
+            assert list(suffix_dedup.previous_smaller(v)) == before and list(suffix_dedup.next_smaller(v)) == after
 
 
 def test_packing(spark, odd_rows, documents):
