@@ -20,39 +20,58 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), BREAK), lambda w: w != "")
 
 
-def _grams(words: Column, k: int) -> Column:
-    """The rolling k-grams of an array of words: place, hash, first and last word."""
-    at = lambda i: F.get(words, i)
+def _hashes(words: Column, k: int) -> Column:
+    """The hashes of an array's rolling k-grams, by place."""
+    at = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])
+    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), at)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _grams(words: Column, hashes: Column, k: int, wanted: Column | None = None) -> Column:
+    """Place, k, hash, first and last word of the k-grams, or of those whose hashes are in `wanted`."""
     gram = lambda i: F.struct(
-        i.alias("at"), F.lit(k).alias("k"), F.xxhash64(*[at(i + j) for j in range(k)]).alias("gram"), at(i).alias("w"), at(i + k - 1).alias("z")
+        i.alias("at"), F.lit(k).alias("k"), F.get(hashes, i).alias("gram"), F.get(words, i).alias("w"), F.get(words, i + k - 1).alias("z")
     )
+    places = F.sequence(F.lit(0), F.size(hashes) - 1)
+    places, some = (places, F.size(hashes) > 0) if wanted is None else (F.filter(places, lambda i: F.array_contains(wanted, F.get(hashes, i))), F.size(wanted) > 0)
     none = F.array().cast("array<struct<at:int,k:int,gram:bigint,w:string,z:string>>")
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), gram)).otherwise(none)
+    return F.when(some, F.transform(places, gram)).otherwise(none)
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str], sentences: dict[str, str], texts: dict[str, str]) -> DataFrame:
     """A row for each place of each template: its gram, k, first and last word, label, size, and base. Its size is that of the fixed lists."""
     rows = [(True, SHORT, p, label) for p, label in phrases.items()] + [(False, SHORT, p, label) for p, label in sentences.items()] + [(False, LONG, p, label) for label, p in texts.items()]
     t = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "template int, base boolean, k int, wording string, label string").withColumn("_w", words_of(F.col("wording")))
-    grams = F.when(F.col("k") == SHORT, _grams(F.col("_w"), SHORT)).otherwise(_grams(F.col("_w"), LONG))
+    grams = F.when(F.col("k") == SHORT, _grams(F.col("_w"), _hashes(F.col("_w"), SHORT), SHORT)).otherwise(_grams(F.col("_w"), _hashes(F.col("_w"), LONG), LONG))
     return t.select("template", "label", "base", F.size("_w").alias("size"), F.explode(grams).alias("g")).select(
         "template", "label", "base", "size", F.col("g.k").alias("k"), F.col("g.at").alias("place"), F.col("g.gram").alias("gram"), F.col("g.w").alias("_tw"), F.col("g.z").alias("_tz")
     )
 
 
+def _known(templates: DataFrame) -> dict[int, set[int]]:
+    """The template hashes by k; there are as many as the fixed lists have places."""
+    out: dict[int, set[int]] = {SHORT: set(), LONG: set()}
+    for r in templates.select("k", "gram").collect():
+        out[r.k].add(r.gram)
+    return out
+
+
 def spans(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences: dict[str, str] = SENTENCES, texts: dict[str, str] = TEXTS, slip: int = 3, min_share: float = 0.85, text_col: str = "text",
 ) -> DataFrame:
     """The verified spans: _row, label, base, start, end (words, end exclusive), share (of the template's grams that voted).
 
     A gram votes where its hash and its first and last word are those of the template's place, so that the words of a run of votes are
-    compared one by one. A base phrase is found where all its grams vote on one diagonal. For a template, each diagonal is merged with
+    compared one by one; grams whose hash no template has are left in their arrays, never rows. A base phrase is found where all its grams vote on one diagonal. For a template, each diagonal is merged with
     those at most `slip` words away (a twentieth of a longer template's words), so a span is at most that much longer than the template;
     it counts where the merged votes have min_share of the places, at the strongest diagonal of its neighbourhood.
     """
-    w = docs.select("_row", words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
-    grams = w.select("_row", F.explode(F.concat(_grams(F.col("_w"), SHORT), _grams(F.col("_w"), LONG))).alias("g")).select("_row", "g.*")
     t = template_grams(docs.sparkSession, phrases, sentences, texts)
+    known = {k: F.array(*[F.lit(h) for h in sorted(hs)]).cast("array<bigint>") for k, hs in _known(t).items()}
+    w = docs.select("_row", words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
+    w = w.select("_row", "_w", *[_hashes(F.col("_w"), k).alias(f"_h{k}") for k in known])
+    # One column after another and no filter on them, not even the one that explode implies: a pushed filter repeats all steps for each word.
+    w = w.select("*", *[F.array_intersect(f"_h{k}", known[k]).alias(f"_x{k}") for k in known])
+    grams = w.select("_row", F.explode_outer(F.concat(*[_grams(F.col("_w"), F.col(f"_h{k}"), k, F.col(f"_x{k}")) for k in known])).alias("g")).select("_row", "g.*")
     votes = grams.join(F.broadcast(t), ["gram", "k"]).where((F.col("w") == F.col("_tw")) & (F.col("z") == F.col("_tz")))
     # Places are counted, not votes: rows that share a row key vote once each for the same span.
     diagonals = cut(votes.groupBy("_row", "template", "label", "base", "size", "k", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places")), "diagonals")
@@ -79,7 +98,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences:
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # One row for each (id, text): repeated rows carry equal results, so their key may be shared.
-    keyed = d.withColumn("_row", F.xxhash64("doc_id", "text"))
+    keyed = d.withColumn("_row", F.struct(F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")))
     s = spans(keyed.select("_row", "text"), phrases, sentences, texts).distinct()
     base = F.col("base")
     per = s.groupBy("_row").agg(
