@@ -94,7 +94,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best span's share, else 0).
 
     Null and empty texts have no words, no labels ('') and score 0. Repeated rows are told apart by a row key, so each gets its own row;
-    null ids are kept. Other columns are neither read nor returned, so their names cannot clash. Empty tables give empty results.
+    null ids are kept. A long text is read whole, as one array of words. Of neighbouring diagonals with equal votes the smallest counts.
+    Other columns are neither read nor returned, so their names cannot clash. Empty tables give empty results.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # One row for each (id, text): repeated rows carry equal results, so their key may be shared.

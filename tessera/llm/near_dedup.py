@@ -312,7 +312,8 @@ def near_dedup(
     Texts with equal shingle sets are one class, whose smallest doc_id stands for it; classes that share a band of samples are
     candidates, the XOR of odd sketches verifies them, and links are confirmed on the full sets. Null and empty texts have no shingles and are linked with nothing. Rows
     that share a doc_id are one document for the links. A row with a null doc_id is linked with nothing, has a null component_id and is
-    kept. Ties do not occur, as ids order all. Empty tables give empty results. Other columns are neither read nor returned.
+    kept. Long texts are hashed in parts that end between words, and all their shingles count. Ties do not occur, as ids order all. Empty
+    tables give empty results. Other columns are neither read nor returned.
     """
     per_band = band_rows(percent)
     own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))

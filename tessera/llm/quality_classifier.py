@@ -109,7 +109,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Null and empty texts have features of their own (all zero and a flag) and get a score. A null id is not held out. Repeated rows each
-    get a row; ties of scores stay ties. With no label, or one label value only, all scores are equal. Empty tables give empty results.
+    get a row; ties of scores stay ties. Long texts are scored whole. With no label, or one label value only, all scores are equal. Empty tables give empty results.
     Other columns are neither read nor returned.
     """
     model = train(docs, labels, max_rows, id_col, text_col)

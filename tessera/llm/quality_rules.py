@@ -90,8 +90,9 @@ def quality_rules(
     n_symbols, n_dup_lines, n_repeat_words (long), base_failed, n_line_words_removed (long), kept.
 
     A null text is empty: no words, so base_failed. A null host is a host of its own (""). Null ids are kept and treated as one
-    document in the line counts. Repeated rows each get a row; they count as one document, since ids are counted once. Empty tables
-    give empty results; other columns are neither read nor returned.
+    document in the line counts. Repeated rows each get a row; they count as one document, since ids are counted once. Long texts are
+    read whole. There are no ties to settle: a share or count equal to a limit is not over it. Empty tables give empty results; other columns are
+    neither read nor returned.
     """
     base = base_counts(docs, id_col, text_col)
     lines = line_rows(docs, id_col, text_col, host_col)

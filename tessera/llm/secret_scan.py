@@ -106,8 +106,8 @@ def secret_scan(docs: DataFrame, ledger_path: str | None = None, id_col: str = "
 
     Every row is a path of its text, a historical version among others if docs holds several rows for one id. ledger_path is a table that
     earlier calls wrote; this call appends what it scans. A null text is empty; an empty text has no spans ('' and the hash of '').
-    Repeated rows and copies are one blob, scanned once, and each gets its row. Null ids are kept. Empty tables give empty results. Other
-    columns are neither read nor returned.
+    Repeated rows and copies are one blob, scanned once, and each gets its row. Null ids are kept. Long texts are scanned whole. Spans
+    that start at one place stand in the order of KINDS. Empty tables give empty results. Other columns are neither read nor returned.
     """
     found = scanned(docs, ledger_path, text_col, versions)
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

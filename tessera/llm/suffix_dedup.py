@@ -285,6 +285,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_f
 
     A null text is empty, and texts under `length` bytes lose nothing. Repeated rows are two texts with the same bytes, so with
     keep_first=False both lose all that reaches `length`; with keep_first=True repeated rows count as one text. Null ids are kept.
+    Long texts are read whole, in parts of half a million windows that share their edges. Equal strings are ordered by id, then by place.
     Empty tables give empty results. Other columns are neither read nor returned.
     """
     own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("_row", F.xxhash64("doc_id", "text"))
