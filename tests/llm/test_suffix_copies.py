@@ -47,10 +47,13 @@ def test_whole_table_against_brute_force(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in got.collect()} == want
 
 
-def test_a_gram_with_thousands_of_segments(spark):
+def test_a_gram_with_thousands_of_segments(spark, monkeypatch):
     """One passage with a different word before and after it in each document, some of which agree on their part of the surroundings."""
     passage = " ".join(f"shared{k * 31 % 89}" for k in range(45))
     rows = [(k, f"{k * 7919 % 10007:05d} before{k % 1700} {passage} after{k % 2300} {k:05d}", "s") for k in range(5000)]
     want = brute([(i, t) for i, t, _ in rows])
+    crowded, of = [], suffix_dedup._crowded
+    monkeypatch.setattr(suffix_dedup, "_crowded", lambda many, *rest: crowded.append(many.count()) or of(many, *rest))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect()}
     assert got == want
+    assert crowded and crowded[0] > 1000 and any(x[1] for x in got.values())
