@@ -161,3 +161,32 @@ def redacted_documents(docs: DataFrame, ledger_path: str | None = None, id_col:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are paths of a ledger that starts empty: each distinct text is scanned once for each of the two rule versions."""
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL for the rows of op7. A match starts where the gaps and matches before it end.
+ORACLE = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents
+), rule(rank, kind, own, pattern, least, grp) AS (
+  VALUES (1, 'assign', true, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6, 2),
+    (2, 'access', true, 'AKIA[A-Z0-9]+', 20, 0), (3, 'hex', true, '[0-9a-f]+', 24, 0),
+    (4, 'github', false, 'gh[pousr]_[A-Za-z0-9]{36,}', 40, 0), (5, 'slack', false, 'xox[abprs]-[A-Za-z0-9-]{10,}', 15, 0),
+    (6, 'google', false, 'AIza[A-Za-z0-9_-]{35}', 39, 0), (7, 'jwt', false, 'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}', 30, 0),
+    (8, 'pem', false, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 20, 0)
+), m AS (
+  SELECT r, rank, kind, own, least, regexp_extract_all(x, pattern) AS whole, CASE grp WHEN 2 THEN regexp_extract_all(x, pattern, 2) ELSE regexp_extract_all(x, pattern) END AS val, string_split_regex(x, pattern) AS gap
+  FROM t, rule WHERE regexp_matches(x, pattern)
+), p AS (
+  SELECT r, rank, kind, own, least, unnest(whole) AS w, unnest(val) AS v, unnest(gap[: len(whole)]) AS g, unnest(range(len(whole))) AS i FROM m
+), s AS (
+  SELECT *, sum(length(g) + length(w)) OVER (PARTITION BY r, rank ORDER BY i) AS z FROM p
+), f AS (
+  SELECT r, rank, kind, own, z - length(w) AS a, concat(kind, ':', z - length(w), ':', z) AS span FROM s WHERE length(v) >= least
+), d AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY a, rank) FILTER (own) AS base, string_agg(span, ',' ORDER BY a, rank) AS spans
+  FROM f GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(x) AS blob
+FROM t LEFT JOIN d USING (r)
+"""

@@ -299,3 +299,32 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of each document and what remains of its text. Most bytes go by counts of equal segments; the arrays decide the segments
     at the ends of repeated passages."""
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: DuckDB SQL for the rows of op10: all windows by their MD5, over hexadecimal texts, in parts of 256 windows; what remains is read as
+#: text without the bytes of characters that are cut in two.
+ORACLE = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), part AS (
+  SELECT r, n, c, substr(h, 2 * c + 1, 2 * (256 + 399)) AS h FROM (SELECT r, n, h, unnest(range(0, n - 399, 256)) AS c FROM t WHERE n >= 400)
+), w AS (
+  SELECT r, c + j AS i, md5_number(substr(h, 2 * j + 1, 800)) AS k FROM (SELECT r, c, h, unnest(range(least(256, n - 399 - c))) AS j FROM part)
+), again AS (
+  SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), mark AS (
+  SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, true) AS new FROM w SEMI JOIN again USING (k)
+), run AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, count(*) FILTER (new) OVER (PARTITION BY r ORDER BY i) AS s FROM mark) GROUP BY r, s
+), gone AS (
+  SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM run GROUP BY r
+), kept AS (
+  SELECT doc_id, x, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, n_spans + 2), lambda k: h[CASE k WHEN 1 THEN 1 ELSE 2 * b[k - 1] + 1 END : CASE k WHEN n_spans + 1 THEN 2 * n ELSE 2 * a[k] END]), '') END AS rest
+  FROM t LEFT JOIN gone USING (r)
+)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256,
+  CASE n_removed WHEN 0 THEN x ELSE decode(unhex(array_to_string(regexp_extract_all(rest,
+    '((?:[0-7].|(?:C[2-9A-F]|D.)[89AB].|(?:E0[AB]|E[1-9ABCEF][89AB]|ED[89]).[89AB].|(?:F0[9AB]|F[123][89AB]|F48).[89AB].[89AB].)+)|..', 1), ''))) END AS text
+FROM kept
+"""
