@@ -116,3 +116,42 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the rows of op5: grams are compared as words, diagonals in pairs."""
+    rows = [(True, SHORT, p, label) for p, label in PHRASES.items()] + [(False, SHORT, p, label) for p, label in SENTENCES.items()] + [(False, LONG, p, label) for label, p in TEXTS.items()]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ",\n    ".join(f"({n}, {str(base).lower()}, {k}, {quoted(p)}, {quoted(label)})" for n, (base, k, p, label) in enumerate(rows))
+    word = lambda x: rf"regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH template(template, base, k, wording, label) AS (
+  VALUES {values}
+), t AS (
+  SELECT *, len(ws) AS size FROM (SELECT template, base, k, label, {word("wording")} AS ws FROM template)
+), place AS (
+  SELECT template, base, k, label, size, i AS place, array_to_string(ws[i + 1 : i + k], ' ') AS gram FROM (SELECT *, unnest(range(size - k + 1)) AS i FROM t)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, {word("coalesce(text, '')")} AS ws FROM documents
+), gram AS (
+  SELECT r, k, i, array_to_string(ws[i + 1 : i + k], ' ') AS gram FROM (SELECT r, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM d, (VALUES ({SHORT}), ({LONG})) AS s(k))
+), diagonal AS (
+  SELECT r, template, base, label, size - k + 1 AS places, greatest(3, size // 20) AS reach, i - place AS g, count(DISTINCT place) AS n, list(DISTINCT place) AS seen
+  FROM gram JOIN place USING (k, gram) GROUP BY ALL
+), near AS (
+  SELECT a.r, a.template, a.label, a.places, a.g, max(struct_pack(n := b.n, g := -b.g)) AS best, len(list_distinct(flatten(list(b.seen)))) / a.places AS share
+  FROM diagonal a JOIN diagonal b ON a.r = b.r AND a.template = b.template AND abs(a.g - b.g) <= a.reach WHERE NOT a.base GROUP BY a.r, a.template, a.label, a.places, a.g
+), span AS (
+  SELECT r, label, base, g AS start, 1.0::DOUBLE AS share FROM diagonal WHERE base AND n = places
+  UNION ALL SELECT r, label, false, g, share FROM near WHERE best.g = -g AND share >= 0.85
+), found AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM span GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (r)
+"""
+
+
+ORACLE = _oracle()

@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op4_near_dedup": near_dedup.ORACLE,
+    "op5_license_scan": license_scan.ORACLE,
     "op7_secret_scan": secret_scan.ORACLE,
     "op10_suffix_dedup": suffix_dedup.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
