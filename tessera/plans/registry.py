@@ -133,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_histogram": _roles(lambda r: operations.metric_histogram(r.table("events"))),
     "cache_prune_plan": _roles(lambda r: operations.cache_prune_plan(operations.cache_entries(r.table("part")))),
     "published_summary": stored.published_summary,
+    "published_timeline": stored.published_timeline,
+    "published_resources": stored.published_resources,
     "candidate_file": _canonical(stored.candidate_file),
     "index_file": _canonical(stored.index_file),
     "snapshot_file": _canonical(stored.snapshot_file),

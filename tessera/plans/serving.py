@@ -81,13 +81,6 @@ def index_merge(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return existing.join(fresh.select("study_id").distinct(), "study_id", "left_anti").select(INDEX).unionByName(fresh.select(INDEX))
 
 
-def nested_index(index: DataFrame) -> DataFrame:
-    """One row for each study: sorted patients and samples, and a map of slides."""
-    ids = lambda kind: F.array_sort(F.collect_set(F.when(F.col("resource_type") == kind, F.col("resource_id"))))
-    slide = F.when(F.col("resource_type") == "slide", F.struct("resource_id", F.struct("patient_id", "source_path")))
-    return index.groupBy("study_id").agg(ids("patient").alias("patients"), ids("sample").alias("samples"), F.map_from_entries(F.array_sort(F.collect_set(slide))).alias("slides"))
-
-
 def best_registry(registry: DataFrame) -> DataFrame:
     """The registry row of each image: a success, then the latest, then the least path and status."""
     return first_by(registry, ["image_id"], [F.col("status") != "success", F.col("rendered_at").desc(), F.col("source_path"), F.col("status")])

@@ -14,7 +14,7 @@ from tessera.functions import exprs as X
 from tessera.operators.relational import first_by, missing
 from tessera.plans import serving
 from tessera.plans.canonical import Canonical
-from tessera.sources import files
+from tessera.sources import documents, files
 
 PATIENT = ["study_id", "patient_id"]
 SAMPLE = [*PATIENT, "sample_id"]
@@ -133,18 +133,26 @@ def load_release(spark: SparkSession, snapshot: DataFrame, patients: DataFrame,
     put back. Returns the release id."""
     if version < 1:
         raise ValueError("version must be positive")
-    rows = slide_rows(snapshot)
-    broken = [f"{r['rule']}: {r['n']}" for r in violations(rows, patients, samples).where("n > 0").collect() if r["rule"] not in waived]
-    if broken:
-        raise ValueError("the snapshot breaks rules: " + ", ".join(sorted(broken)))
-    load, release = Load(rows, patients, samples), release_id()
+    # The rules, five tables and the index all read the rows: the snapshot is parsed once, and each reads its own columns of the table.
+    rows = files.staged(slide_rows(snapshot))
+    try:
+        broken = [f"{r['rule']}: {r['n']}" for r in violations(rows, patients, samples).where("n > 0").collect() if r["rule"] not in waived]
+        if broken:
+            raise ValueError("the snapshot breaks rules: " + ", ".join(sorted(broken)))
+        return _write(spark, Load(rows, patients, samples), folder, version, index_path)
+    finally:
+        files.unstaged(rows)
+
+
+def _write(spark: SparkSession, load: Load, folder: str, version: int, index_path: str | None) -> str:
+    release = release_id()
     tables = {"part": load.part(), "block": load.block(), "slide": load.slide(), "placement": load.placement(), "patient": load.patient()}
     files.write_release(tables, folder, release)
     before = files.current_version(spark, index_path) if index_path else None
     if index_path:
         fresh = load.index()
-        merged = serving.index_merge(files.read_published_index(spark, index_path), fresh) if before else fresh
-        files.publish_index(serving.nested_index(merged), index_path)
+        old = documents.read_index_document(spark, documents.current_document(spark, index_path)) if before else None
+        documents.publish_index_document(serving.index_merge(old, fresh) if before else fresh, index_path)
     try:
         files.mark_release(tables["patient"].select("cancer_study_id").distinct(), folder, release, version)
     except Exception:

@@ -270,3 +270,5 @@ FROM rel WHERE sample_id IS NOT NULL GROUP BY 1"""),
     "coerced_values": "SELECT l_orderkey, l_linenumber, l_linenumber IN (1, 3) flag, if(l_partkey % 3 = 0, l_partkey, NULL)::BIGINT AS number, l_quantity::DECIMAL(12, 2)::DOUBLE quantity FROM lineitem",
 }
 ORACLES["stored_release"] = ORACLES["catalog_release"] = ORACLES["loaded_part"]
+ORACLES["published_timeline"] = ORACLES["timeline_events"]
+ORACLES["published_resources"] = ORACLES["resource_index"]

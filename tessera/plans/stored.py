@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import service as S
 from tessera.plans import nightly, serving, snapshot_load
 from tessera.plans.canonical import Canonical
+from tessera.plans.timeline import timeline
 from tessera.sources import catalog, documents, files, prefix_index, statements
 from tessera.sources.roles import Roles
 from tessera.streaming.registry import Registry, registry_stream
@@ -24,6 +25,22 @@ def published_summary(spark: SparkSession, folder: str) -> DataFrame:
     return nightly.refresh(spark, folder, files.fresh_path(spark, "nightly"), CLOCK)[1]
 
 
+def _after_refresh(spark: SparkSession, folder: str) -> Canonical:
+    out = files.fresh_path(spark, "nightly")
+    nightly.refresh(spark, folder, out, CLOCK)
+    return nightly.published(spark, folder, out, CLOCK)
+
+
+def published_timeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The timeline of the table that a night's refresh has published."""
+    return timeline(_after_refresh(spark, folder).associations)
+
+
+def published_resources(spark: SparkSession, folder: str) -> DataFrame:
+    """The resource index of the published table."""
+    return serving.resources(_after_refresh(spark, folder))
+
+
 def candidate_file(c: Canonical) -> DataFrame:
     path = files.fresh_path(c.roles.spark, "candidates")
     files.write_candidates(serving.thumbnail_candidates(c), path)

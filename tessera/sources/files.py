@@ -31,7 +31,15 @@ def staged(df: DataFrame) -> DataFrame:
     """df written as a table under the shared folder and read back: the lineage ends there, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, "staged")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Deletes a table that staged wrote, once all that was read from it has been written too."""
+    path, fs = hadoop_path(df.sparkSession, df.table_path)
+    fs.delete(path, True)
 
 
 def clinical_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -194,13 +202,6 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return ids("patient").unionByName(ids("sample")).unionByName(slides.select("study_id", F.lit("slide").alias("resource_type"), "resource_id", "b.patient_id", "b.source_path"))
 
 
-def write_index(nested: DataFrame, path: str) -> None:
-    """A version 2 index file of rows (study_id, patients, samples, slides). It is one document, so one task writes it."""
-    by_id = lambda a, b: F.when(a["study_id"] < b["study_id"], -1).otherwise(1)  # noqa: E731  ids are distinct
-    studies = F.map_from_entries(F.array_sort(F.collect_list(F.struct("study_id", F.struct("patients", "samples", "slides"))), by_id)).alias("studies")
-    nested.agg(studies).select(F.lit(2).alias("version"), "studies").coalesce(1).write.mode("overwrite").json(path)
-
-
 def hadoop_path(spark: SparkSession, path: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -254,18 +255,6 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{current_version(spark, path)}")
 
 
-def publish_index(nested: DataFrame, path: str) -> None:
-    """An index file of a new version, read back under all its rules before the pointer is switched."""
-    spark, version = nested.sparkSession, fresh_version()
-    write_index(nested, f"{path.rstrip('/')}/{version}")
-    read_index(spark, f"{path.rstrip('/')}/{version}")
-    set_current_version(spark, path, version)
-
-
-def read_published_index(spark: SparkSession, path: str) -> DataFrame:
-    return read_index(spark, f"{path.rstrip('/')}/{current_version(spark, path)}")
-
-
 def write_candidates(candidates: DataFrame, path: str, limit: int | None = None) -> None:
     """Candidates as JSON lines, by image; with a limit the first ones only."""
     own = candidates.select("image_id", "path").orderBy("image_id", "path")

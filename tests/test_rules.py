@@ -9,7 +9,7 @@ from tessera.functions import service as S
 from tessera.operators import relational
 from tessera.plans import geometry, nightly, operations, requests, serving
 from tessera.plans.timeline import timeline
-from tessera.sources import files, statements
+from tessera.sources import documents, files, statements
 from tessera.streaming.limiter import admit, rate_limit_admissions, rate_limit_stream
 
 
@@ -119,8 +119,9 @@ def test_more_files(spark, tmp_path):
     path.write_text(json.dumps(index))
     rows = files.read_index(spark, str(path))
     assert sorted(tuple(r) for r in rows.fillna("").collect()) == [("s1", "patient", "P1", "", ""), ("s1", "slide", "7", "P1", "")]
-    files.write_index(serving.nested_index(rows), str(tmp_path / "again"))
-    assert files.read_index(spark, str(tmp_path / "again")).exceptAll(rows).isEmpty() and rows.exceptAll(files.read_index(spark, str(tmp_path / "again"))).isEmpty()
+    documents.publish_index_document(rows, str(tmp_path / "again"))
+    again = documents.read_index_document(spark, documents.current_document(spark, str(tmp_path / "again")))
+    assert again.exceptAll(rows).isEmpty() and rows.exceptAll(again).isEmpty()
     first = files.index_revision(spark, str(path))
     for wrong in ({**index, "version": 1}, {"version": 2}, {"version": 2, "studies": {"s": {"slides": None}}}, {"version": 2, "studies": {"s": {"slides": {"7": {"patient_id": ""}}}}}):
         path.write_text(json.dumps(wrong))
@@ -176,6 +177,9 @@ def test_suggestions_and_slices(spark):
 def test_nightly(spark, tmp_path):
     counts = [[t.count() for t in nightly.refresh(spark, "/root/testdata/sf0.001", str(tmp_path))] for _ in range(2)]  # each run replaces the tables
     assert counts[0] == counts[1] and min(counts[0]) > 0
+    later = nightly.published(spark, "/root/testdata/sf0.001", str(tmp_path))
+    plan = timeline(later.associations)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "lineitem" not in plan and later.associations.count() == counts[0][0]
 
 
 def test_entry(spark):

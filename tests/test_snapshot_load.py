@@ -1,11 +1,12 @@
 """Loading snapshots: what is refused, what wins, what readers see."""
 
 import json
+import os
 
 import pytest
 
 from tessera.plans import snapshot_load as L
-from tessera.sources import files
+from tessera.sources import documents, files
 
 SLIDE = "image_id string, sample_id string, reference_sample_id string, part_key string, part_number string, part_type string, block_key string, block_number string, match_level string, specimen_key string, can_serve_tiles string, is_hne string, slide_path string"
 LINES = f"study_id string, patient_id string, slides array<struct<{','.join(x.strip().replace(' ', ':') for x in SLIDE.split(','))}>>"
@@ -68,6 +69,7 @@ def test_first_rows_win_in_input_order(spark, known):
 
 def test_load_is_gated_and_the_index_comes_back(spark, known, tmp_path, monkeypatch):
     folder, index = str(tmp_path / "rel"), str(tmp_path / "index")
+    before = {x for x in os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) if x.startswith("staged-")}
     (tmp_path / "in.json").write_text(json.dumps({"study_id": "s", "patient_id": "P1", "slides": [BASE]}) + "\n\n" + json.dumps({"study_id": "t", "patient_id": "P1", "slides": [{**BASE, "image_id": "70"}]}) + "\n")
     schema = spark.createDataFrame([], LINES).schema
     first = L.load_release(spark, files.read_snapshot(spark, str(tmp_path / "in.json"), schema), *known, folder, 1, index)
@@ -77,7 +79,7 @@ def test_load_is_gated_and_the_index_comes_back(spark, known, tmp_path, monkeypa
     with pytest.raises(ValueError, match="positive"):
         L.load_release(spark, lines(spark, {}), *known, folder, 0, index)
     assert files.read_release(spark, folder, "slide").count() == 2
-    seen = lambda: {(r.study_id, r.resource_id) for r in files.read_published_index(spark, index).where("resource_type = 'slide'").collect()}
+    seen = lambda: {(r.study_id, r.resource_id) for r in documents.read_index_document(spark, documents.current_document(spark, index)).where("resource_type = 'slide'").collect()}
     assert seen() == {("s", "7"), ("t", "70")}
     second = files.read_snapshot(spark, str(tmp_path / "in.json"), schema, "s").selectExpr("study_id", "patient_id", "transform(slides, x -> named_struct(%s)) AS slides" % ", ".join(f"'{c}', " + ("'71'" if c == "image_id" else f"x.{c}") for c in BASE))
     with monkeypatch.context() as m:
@@ -87,3 +89,5 @@ def test_load_is_gated_and_the_index_comes_back(spark, known, tmp_path, monkeypa
     assert seen() == {("s", "7"), ("t", "70")} and files.read_release(spark, folder, "slide").count() == 2
     assert L.load_release(spark, second, *known, folder, 2, index) > first
     assert seen() == {("s", "71"), ("t", "70")} and [r.image_id for r in files.read_release(spark, folder, "slide").collect()] == ["71"]
+    staged = [x for x in os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) if x.startswith("staged-")]
+    assert not set(staged) - before
