@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_own: ContextVar[list[DataFrame] | None] = ContextVar("own", default=None)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: the lineage ends there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
+    if (own := _own.get()) is not None:
+        own.append(out)
     return out
 
 
@@ -42,6 +50,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that cut writes in this block and thread, at its end or when it fails: the block must have written what it read
+    from them. What shall stay is taken out of the list that the block gets; the last entry is the table written last."""
+    own: list[DataFrame] = []
+    token = _own.set(own)
+    try:
+        yield own
+    finally:
+        _own.reset(token)
+        discard(*own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,5 +1,6 @@
 """Each stage on its own input: against its operator's verdicts, with odd rows and with an empty table."""
 
+import os
 from collections import Counter
 
 import corpus_pipeline
@@ -37,3 +38,11 @@ def test_stages_follow_their_operators(spark):
     assert Counter(r.doc_id for r in corpus_pipeline.mixture(spark, docs, SF).collect()) == taken
     pieces = Counter(map(tuple, packing.pieces(docs).collect()))
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.packed(spark, docs, SF).collect()) == pieces
+
+
+def test_a_run_leaves_its_last_table_only(spark):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    got = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("stage-packing") and got.count() > 0
