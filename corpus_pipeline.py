@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, near_dedup, packing, quality_classifier, secret_scan
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, discard, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn. What a stage writes for itself, and its input, go once its rows are written, so the shared folder holds two
+    stages' rows and one stage's steps at most, and the last table in the end."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch() as own:
+            docs = cut(stage(spark, before, sf_dir), "stage-" + name.replace(" ", "-"))
+            own.pop()
+        if name != STAGES[0][0]:
+            discard(before)
+        before = docs
     return docs
