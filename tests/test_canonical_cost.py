@@ -3,7 +3,10 @@
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from tessera.plans import snapshot_load, stored
+from tessera.plans.canonical import Canonical
 from tessera.plans.registry import ORACLES, QUERIES
+from tessera.sources.roles import Roles
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -47,12 +50,21 @@ def moved(spark) -> int:
     return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
 
 
-def test_few_bytes_are_shuffled(spark):
-    """With no side small enough to broadcast, under 250 bytes a line are shuffled: rows travel as numbers, and what homes know as one row each."""
+@pytest.mark.parametrize(("name", "most"), [("canonical_associations", 250), ("index_file", 330), ("loaded_part", 400)])
+def test_few_bytes_are_shuffled(spark, name, most):
+    """With no side small enough to broadcast: rows travel as numbers, and what homes know as one row each; what has several readers is kept."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         before = moved(spark)
-        QUERIES["canonical_associations"](spark, LARGER).write.format("noop").mode("overwrite").save()
-        assert 0 < moved(spark) - before < 250 * 60_000
+        QUERIES[name](spark, LARGER).write.format("noop").mode("overwrite").save()
+        assert 0 < moved(spark) - before < most * 60_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_are_those_of_the_snapshot(spark):
+    c = Canonical(Roles(spark, SF), at=stored.CLOCK)
+    c.stage(c.associations)
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert rows(snapshot_load.rows_of(c)) == rows(snapshot_load.slide_rows(snapshot_load.snapshot_of(c)))
+    c.release()
