@@ -62,6 +62,18 @@ def test_few_bytes_are_shuffled(spark, name, most):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def kept(spark) -> int:
+    """The bytes that the session's executors keep of staged steps."""
+    stored = spark.sparkContext._jsc.sc().getRDDStorageInfo()
+    return sum(r.memSize() + r.diskSize() for r in stored)
+
+
+def test_violations_keep_numbers_and_flags(spark):
+    """Beside the lines, no text but the image id stays on the executors."""
+    QUERIES["release_violations"](spark, LARGER).write.format("noop").mode("overwrite").save()
+    assert 0 < kept(spark) < 90 * 60_000
+
+
 def test_rows_are_those_of_the_snapshot(spark):
     c = Canonical(Roles(spark, SF), at=stored.CLOCK)
     c.stage(c.associations)
