@@ -62,6 +62,11 @@ def test_few_bytes_are_shuffled(spark, name, most):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize(("name", "most"), [("slide_bindings", 160), ("loaded_part", 190), ("loaded_block", 190)])
+def test_rows_move_once_after_the_associations(spark, name, most):
+    test_few_bytes_are_shuffled(spark, name, most)
+
+
 def kept(spark) -> int:
     """The bytes that the session's executors keep of staged steps."""
     stored = spark.sparkContext._jsc.sc().getRDDStorageInfo()
