@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.plans import snapshot_load, stored
 from tessera.plans.canonical import Canonical
 from tessera.plans.registry import ORACLES, QUERIES
+from tessera.sources import files
 from tessera.sources.roles import Roles
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -85,3 +86,11 @@ def test_rows_are_those_of_the_snapshot(spark):
     rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
     assert rows(snapshot_load.rows_of(c)) == rows(snapshot_load.slide_rows(snapshot_load.snapshot_of(c)))
     c.release()
+
+
+def test_published_tables_are_packed(spark, tmp_path):
+    """What a night publishes is written with the closer of the two codecs."""
+    files.publish(spark.range(100), str(tmp_path / "t"))
+    assert files.read_published(spark, str(tmp_path / "t")).count() == 100
+    names = [x.name for x in (tmp_path / "t").rglob("*.parquet")]
+    assert names and all(x.endswith(".zstd.parquet") for x in names)
