@@ -68,6 +68,14 @@ def test_rows_move_once_after_the_associations(spark, name, most):
     test_few_bytes_are_shuffled(spark, name, most)
 
 
+@pytest.mark.parametrize(("name", "most"), [("canonical_associations", 130), ("timeline_events", 200), ("release_slide", 180)])
+def test_few_bytes_are_shuffled_where_orders_are_small(spark, name, most):
+    """With Spark's own threshold, under which these orders would be broadcast and the lines left where no home is."""
+    before = moved(spark)
+    QUERIES[name](spark, LARGER).write.format("noop").mode("overwrite").save()
+    assert 0 < moved(spark) - before < most * 60_000
+
+
 def kept(spark) -> int:
     """The bytes that the session's executors keep of staged steps."""
     stored = spark.sparkContext._jsc.sc().getRDDStorageInfo()
