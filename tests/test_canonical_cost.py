@@ -76,6 +76,18 @@ def test_few_bytes_are_shuffled_where_orders_are_small(spark, name, most):
     assert 0 < moved(spark) - before < most * 60_000
 
 
+def test_lines_are_laid_by_their_number(spark, odd, monkeypatch):
+    """However few bytes are moved, no task sorts many lines with their texts; the rows stay the same."""
+    monkeypatch.setattr(Roles, "LINES_A_TASK", 5_000, raising=False)
+    c = Canonical(Roles(spark, LARGER), at=stored.CLOCK)
+    c.associations.write.format("noop").mode("overwrite").save()
+    sizes = [r["n"] for r in c._lines.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    c.release()
+    assert sum(sizes) == 60_000 and max(sizes) < 10_000
+    monkeypatch.setattr(Roles, "LINES_A_TASK", 500, raising=False)
+    test_odd_keys(spark, odd, "canonical_associations")
+
+
 def kept(spark) -> int:
     """The bytes that the session's executors keep of staged steps."""
     stored = spark.sparkContext._jsc.sc().getRDDStorageInfo()
