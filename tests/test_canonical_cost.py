@@ -88,6 +88,35 @@ def test_lines_are_laid_by_their_number(spark, odd, monkeypatch):
     test_odd_keys(spark, odd, "canonical_associations")
 
 
+@pytest.mark.parametrize(("name", "most"), [("loaded_placement", 190)])
+def test_slides_stay_where_they_lie(spark, name, most):
+    """Internal ids come to the slides' homes; the slides do not go to their patients and samples."""
+    test_few_bytes_are_shuffled(spark, name, most)
+
+
+@pytest.mark.parametrize("table", ["placement"])
+def test_ids_found_at_home_are_those_of_a_join(spark, odd, table):
+    """Also where orders stand twice, some under two customers, and some patients and samples are unknown."""
+    c = Canonical(Roles(spark, odd), at=stored.CLOCK)
+    patients, samples = snapshot_load.identities_of(c, True)
+    rows = lambda load: sorted(map(repr, getattr(load, table)().collect()))
+    got, want = rows(snapshot_load.Load(snapshot_load.homed_rows_of(c), patients, samples, snapshot_load.join_at_home(c))), rows(snapshot_load.Load(snapshot_load.rows_of(c), patients, samples))
+    c.release()
+    assert len(got) > 500 and got == want
+
+
+def test_a_stored_table_is_loaded_without_homes(spark):
+    c = Canonical(Roles(spark, SF), at=stored.CLOCK)
+    want = sorted(map(repr, snapshot_load.loaded(c, "placement").collect()))
+    own = c.stage(c.associations)
+    own.count()
+    again = Canonical(Roles(spark, SF), at=stored.CLOCK)
+    again.use(own)
+    got = snapshot_load.loaded(again, "placement")
+    assert sorted(map(repr, got.collect())) == want and "_lines" not in vars(again)
+    c.release()
+
+
 def kept(spark) -> int:
     """The bytes that the session's executors keep of staged steps."""
     stored = spark.sparkContext._jsc.sc().getRDDStorageInfo()
