@@ -88,13 +88,13 @@ def test_lines_are_laid_by_their_number(spark, odd, monkeypatch):
     test_odd_keys(spark, odd, "canonical_associations")
 
 
-@pytest.mark.parametrize(("name", "most"), [("loaded_placement", 190)])
+@pytest.mark.parametrize(("name", "most"), [("loaded_placement", 190), ("loaded_slide", 160)])
 def test_slides_stay_where_they_lie(spark, name, most):
     """Internal ids come to the slides' homes; the slides do not go to their patients and samples."""
     test_few_bytes_are_shuffled(spark, name, most)
 
 
-@pytest.mark.parametrize("table", ["placement"])
+@pytest.mark.parametrize("table", ["placement", "slide"])
 def test_ids_found_at_home_are_those_of_a_join(spark, odd, table):
     """Also where orders stand twice, some under two customers, and some patients and samples are unknown."""
     c = Canonical(Roles(spark, odd), at=stored.CLOCK)
