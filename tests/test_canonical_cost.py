@@ -88,9 +88,9 @@ def test_lines_are_laid_by_their_number(spark, odd, monkeypatch):
     test_odd_keys(spark, odd, "canonical_associations")
 
 
-@pytest.mark.parametrize(("name", "most"), [("loaded_placement", 190), ("loaded_slide", 160)])
+@pytest.mark.parametrize(("name", "most"), [("loaded_placement", 190), ("loaded_slide", 160), ("load_violations", 180)])
 def test_slides_stay_where_they_lie(spark, name, most):
-    """Internal ids come to the slides' homes; the slides do not go to their patients and samples."""
+    """Internal ids come to the slides' homes, and rules are told there; the slides do not go to their patients and samples."""
     test_few_bytes_are_shuffled(spark, name, most)
 
 
@@ -129,6 +129,12 @@ def test_violations_keep_numbers_and_flags(spark):
     assert 0 < kept(spark) < 90 * 60_000
 
 
+def test_load_violations_keep_names_and_flags(spark):
+    """No text of a slide stays on the executors."""
+    QUERIES["load_violations"](spark, LARGER).write.format("noop").mode("overwrite").save()
+    assert 0 < kept(spark) < 80 * 60_000
+
+
 def test_rows_are_those_of_the_snapshot(spark):
     c = Canonical(Roles(spark, SF), at=stored.CLOCK)
     c.stage(c.associations)

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import snapshot_load as L
 from tessera.sources import documents, files
@@ -49,6 +50,21 @@ def test_rules(spark, known, slides, rules):
     assert broken(spark, known, lines(spark, *slides)) == rules
 
 
+def test_rules_where_rows_lie(spark, known):
+    """The same counts where rows lie by image already, with images that are repeated, missing, in conflict or of two patients, and none moves."""
+    from functools import reduce
+
+    other = {"is_hne": "0", "sample_id": "S2", "slide_path": "s3://b/8.svs"}
+    own = [lines(spark, {}, {}, {}, other, {"image_id": None}, {"image_id": None, "block_key": "?"}, {"image_id": "8"}, {"image_id": "8", "sample_id": "S9", "reference_sample_id": "S2"}), lines(spark, {}, other, {"image_id": "9", "sample_id": None}, patient="P2"), lines(spark, {}, study="t")]
+    rows, kept = L.slide_rows(reduce(lambda a, b: a.unionByName(b), own)).withColumn("home", F.crc32(F.coalesce("image_id", F.lit("")))), []
+    rows = rows.repartition(3, "home")
+    keep = lambda df: kept.append(df) or df
+    want = {r.rule: r.n for r in L.violations(rows.drop("home"), *known).collect()}
+    got = {r.rule: r.n for r in L.violations(rows, *known, near=["home"], stage=keep).collect()}
+    assert got == want and min(want[k] for k in ("duplicate_association", "conflicting_slide", "conflicting_placement", "association_of_other_sample", "conflicting_binding", "several_references", "no_image")) > 0
+    assert kept[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and "slide_path" not in kept[0].columns
+
+
 def test_identities(spark, known):
     patients, samples = known
     assert broken(spark, known, lines(spark, {}, patient="P9")) == {"unknown_patient": 1, "unknown_sample": 1}
